@@ -124,7 +124,7 @@ def st4(t: Tables) -> DataFrame:
     WITH c AS (SELECT c_nationkey AS nation, count(*) AS total_amounts,
         count(*) FILTER (WHERE o_totalprice >= 300000*0.95 AND o_totalprice < 300000) AS bunching_count,
         count(*) FILTER (WHERE o_totalprice < 300000) AS below_threshold {_ORDERS} GROUP BY 1),
-    e AS (SELECT *, below_threshold*0.05 AS ex FROM c),
+    e AS (SELECT *, CAST(below_threshold AS DOUBLE)*0.05 AS ex FROM c),
     p AS (SELECT nation, 1 - coalesce(sum(exp(i*ln(ex) - ex - lgamma(i+1))), 0) AS pv
           FROM e, LATERAL (SELECT unnest(generate_series(0, bunching_count-1)) AS i) WHERE ex > 0 AND bunching_count > 0
           GROUP BY nation)

@@ -52,12 +52,11 @@ def chunk_paragraphs(text: Column, max_chars: int = 4000) -> Column:
     return F.when(F.size(packed) == 0, F.array(text)).otherwise(packed)
 
 
-def topics(text: Column) -> Column:
+# Words that send a finding text to a report section.
+TOPIC_WORDS = {"muster_roll": "muster|attendance", "network": "network|circular|hub account"}
+
+
+def topics(text: Column, words: dict[str, str] = TOPIC_WORDS) -> Column:
     """Report sections a finding text belongs to."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(
-        F.array(
-            F.when(low.rlike("muster|attendance"), "muster_roll"),
-            F.when(low.rlike("network|circular|hub account"), "network"),
-        )
-    )
+    return F.array_compact(F.array(*[F.when(low.rlike(p), name) for name, p in words.items()]))

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 
 from ..functions import scalar as X
 from ..functions.tails import binomial_tail, poisson_tail
-from ..ordered import attach, quantiles, scan, value_bucket
+from ..ordered import attach, quantiles
+from .sequences import rank_weighted_sum
 
 EXPECTED = {d: math.log10(1 + 1 / d) for d in range(1, 10)}
 
@@ -235,21 +236,11 @@ def gini(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     closed form, so only distinct values are ordered, in value classes.
     """
     keys = list(keys)
-    runs = (
-        df.filter(F.col(value) >= 0)
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    ranked = scan(runs, keys, [F.col("_v")], value_bucket(F.col("_v")), sums={"_cum": F.col("_n")})
-    n, cum = F.col("_n").cast("double"), F.col("_cum").cast("double")
-    rank_sum = n * (2 * cum - n + 1) / 2
-    agg = ranked.groupBy(*keys).agg(
-        F.sum(n).alias("_cnt"), F.sum(n * F.col("_v")).alias("_total"), F.sum(rank_sum * F.col("_v")).alias("_w")
-    )
-    g = 2 * F.col("_w") / (F.col("_cnt") * F.col("_total")) - (F.col("_cnt") + 1) / F.col("_cnt")
+    agg = rank_weighted_sum(df.filter(F.col(value) >= 0), keys, value)
+    g = 2 * F.col("rank_weighted") / (F.col("n") * F.col("total")) - (F.col("n") + 1) / F.col("n")
     return agg.select(
-        *keys, F.col("_cnt").cast("long").alias("n"),
-        F.when(F.col("_total") > 0, X.clip(g, 0.0, 1.0)).otherwise(0.0).alias("gini"),
+        *keys, "n",
+        F.when(F.col("total") > 0, X.clip(g, 0.0, 1.0)).otherwise(0.0).alias("gini"),
     )
 
 

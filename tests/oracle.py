@@ -81,7 +81,7 @@ def main(argv):
     prefixes = argv[1:]
     folder = f"/root/testdata/sf{sf}"
     spark = session.build(master="local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g",
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g",
     })
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
