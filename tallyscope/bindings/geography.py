@@ -84,8 +84,8 @@ def _utm_sql(source: str, keep: str) -> str:
 def ge3(t: Tables) -> DataFrame:
     lat, lon = F.col("lat"), F.col("lon")
     zone = geo.utm_zone(lon)
-    e, n = geo.utm_forward(lat, lon, zone)
-    p = order_places(t).withColumns({"zone": zone, "epsg": geo.utm_epsg(lat, lon), "e": e, "n": n})
+    p = order_places(t).withColumns({"zone": zone, "epsg": geo.utm_epsg(lat, lon), "_en": geo.utm_point(lat, lon, zone)})
+    p = p.withColumns({"e": F.col("_en")[0], "n": F.col("_en")[1]})
     la, lo = geo.utm_inverse(F.col("e"), F.col("n"), F.col("zone"), F.lit(True))
     back = (F.abs(la - lat) < 1e-7) & (F.abs(lo - lon) < 1e-7)
     return p.select("o_orderkey", "epsg", rnd("e", 3).alias("easting"), rnd("n", 3).alias("northing"), back.alias("returns"))
@@ -102,14 +102,14 @@ def ge4(t: Tables) -> DataFrame:
     return customer_squares(t).select("c_custkey", rnd(geo.polygon_area_m2(F.col("rings")) / 1e6).alias("area_km2"))
 
 
-@query("ge5_polygon_overlap", "SELECT c_custkey, true AS close_to_half FROM customer")
+@query("ge5_polygon_overlap", "SELECT c_custkey, 50.0::DOUBLE AS overlap_pct FROM customer")
 def ge5(t: Tables) -> DataFrame:
     pairs = customer_squares(t).join(customer_squares(t, 0.25).withColumnRenamed("rings", "other"), "c_custkey")
-    r = places.polygon_overlap(pairs, "c_custkey", "rings", "other", samples=32)
-    return r.select("c_custkey", (F.abs(F.col("overlap_pct") - 50) < 5).alias("close_to_half"))
+    r = places.polygon_overlap(pairs, "c_custkey", "rings", "other")
+    return r.select("c_custkey", rnd("overlap_pct", 6).alias("overlap_pct"))
 
 
-@query("ge6_centroid", f"SELECT c_custkey, round({_CO} + 0.25, 5) AS lon, round({_CA} + 0.25, 5) AS lat, round({_CO}, 2) AS first_lon FROM customer")
+@query("ge6_centroid", f"SELECT c_custkey, round({_CO} + 0.25, 5) AS lon, round({_CA} + 0.25, 5) AS lat, round({_CO}, 3) AS first_lon FROM customer")
 def ge6(t: Tables) -> DataFrame:
     c = customer_squares(t).withColumn("c", geo.ring_centroid(F.col("rings")[0]))
-    return c.select("c_custkey", rnd(F.col("c")[0], 5).alias("lon"), rnd(F.col("c")[1], 5).alias("lat"), geo.rounded_rings(F.col("rings"), 2)[0][0][0].alias("first_lon"))
+    return c.select("c_custkey", rnd(F.col("c")[0], 5).alias("lon"), rnd(F.col("c")[1], 5).alias("lat"), geo.rounded_rings(F.col("rings"), 3)[0][0][0].alias("first_lon"))
