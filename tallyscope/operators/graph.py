@@ -56,3 +56,395 @@ def connected_components(edges: DataFrame, scope: Sequence[str] = ()) -> DataFra
     )
     alone = roots.unionByName(loops).withColumn("component", F.col("v"))
     return out.unionByName(alone)
+
+
+# -- building -------------------------------------------------------------------------
+
+def _node(prefix: str, col: str) -> Column:
+    return F.concat(F.lit(prefix + "_"), F.col(col).cast("string"))
+
+
+def worker_network(payments: DataFrame, works: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, undirected edges) of workers, works, accounts and panchayats.
+
+    Parallel payments become one edge that keeps the last amount by date.
+    """
+    p = payments.select(
+        _node("worker", "worker_id").alias("w"), _node("work", "work_id").alias("k"),
+        F.when(F.col("account").isNotNull(), _node("account", "account")).alias("c"), F.col("amount").cast("double").alias("amount"), "paid_on",
+    )
+    at = works.filter(F.col("panchayat").isNotNull()).select(
+        _node("work", "work_id").alias("src"), _node("panchayat", "panchayat").alias("dst"), F.lit("belongs_to").alias("edge_type"),
+        F.lit(0.0).alias("amount"), F.lit(None).cast(payments.schema["paid_on"].dataType).alias("ts"),
+    ).distinct()
+
+    def pay(a: str, b: str, kind: str) -> DataFrame:
+        return p.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
+            F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(kind).alias("edge_type"), "amount", F.col("paid_on").alias("ts")
+        )
+
+    edges = at.unionByName(pay("w", "k", "enrolled_in")).unionByName(pay("k", "c", "paid_to")).unionByName(pay("w", "c", "paid_to"))
+    ordered = edges.withColumns({"src": F.least("src", "dst"), "dst": F.greatest("src", "dst")})
+    merged = merge_parallel(ordered)
+    return nodes_of(merged), merged
+
+
+def fund_flow(ftos: DataFrame, payments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, directed edges) panchayat -> order -> account."""
+    a = ftos.filter(F.col("panchayat").isNotNull()).select(
+        _node("panchayat", "panchayat").alias("src"), _node("fto", "fto_id").alias("dst"), F.lit("authorised_by").alias("edge_type"),
+        F.col("amount").cast("double").alias("amount"), F.col("issued_on").alias("ts"),
+    )
+    b = payments.select(
+        _node("fto", "fto_id").alias("src"), _node("account", "account").alias("dst"), F.lit("paid_to").alias("edge_type"),
+        F.col("amount").cast("double").alias("amount"), F.col("paid_on").alias("ts"),
+    )
+    merged = merge_parallel(a.unionByName(b))
+    return nodes_of(merged), merged
+
+
+def payment_graph(transfers: DataFrame, materials: DataFrame, mode: str = "last") -> tuple[DataFrame, DataFrame]:
+    """(nodes, directed edges) of a payment district, with unprefixed ids.
+
+    ``transfers``: panchayat, work_id, fto_id, account, worker_id, officer, amount,
+    paid_on. ``materials``: vendor_id, work_id, amount, paid_on.
+    """
+    def part(df: DataFrame, s: str, st: str, d: str, dt: str, kind: str, money: bool) -> DataFrame:
+        amount = F.col("amount").cast("double") if money else F.lit(0.0)
+        return df.filter(F.col(s).isNotNull() & F.col(d).isNotNull()).select(
+            F.col(s).cast("string").alias("src"), F.col(d).cast("string").alias("dst"), F.lit(kind).alias("edge_type"), amount.alias("amount"),
+            F.col("paid_on").alias("ts"), F.lit(st).alias("src_type"), F.lit(dt).alias("dst_type"),
+        )
+
+    parts = [
+        part(transfers, "panchayat", "panchayat", "work_id", "work", "sanctions", True),
+        part(transfers, "work_id", "work", "fto_id", "fto", "generates", True),
+        part(transfers, "fto_id", "fto", "account", "bank_account", "pays", True),
+        part(transfers, "account", "bank_account", "worker_id", "worker", "belongs_to", False),
+        part(transfers.filter(F.col("officer") != ""), "officer", "official", "fto_id", "fto", "approves", False),
+        part(materials, "work_id", "work", "vendor_id", "vendor", "procures_from", True),
+    ]
+    union = parts[0]
+    for x in parts[1:]:
+        union = union.unionByName(x)
+    ends = union.select(F.col("src").alias("id"), F.col("src_type").alias("node_type")).unionByName(
+        union.select(F.col("dst").alias("id"), F.col("dst_type").alias("node_type"))
+    )
+    nodes = ends.groupBy("id").agg(F.max("node_type").alias("node_type"))
+    return nodes, merge_parallel(union.select("src", "dst", "edge_type", "amount", "ts"), mode)
+
+
+def merge_parallel(edges: DataFrame, mode: str = "last") -> DataFrame:
+    """One edge per end points: the last one by time, or the sum of the amounts."""
+    pick = F.struct(F.col("ts").isNotNull(), "ts", "amount", "edge_type")
+    amount = F.max_by("amount", pick) if mode == "last" else F.sum("amount")
+    return edges.groupBy("src", "dst").agg(F.max_by("edge_type", pick).alias("edge_type"), amount.alias("amount"), F.max("ts").alias("ts"))
+
+
+def nodes_of(edges: DataFrame) -> DataFrame:
+    ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    return ids.withColumn("node_type", F.split("id", "_")[0])
+
+
+def undirected(edges: DataFrame) -> DataFrame:
+    """Both directions of every edge, without loops or repeats."""
+    e = edges.filter("src != dst").select("src", "dst")
+    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+
+
+# -- local measures --------------------------------------------------------------------
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """Degree and degree centrality d / (n - 1) of every vertex."""
+    both = undirected(edges)
+    d = both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    n = d.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(0))
+    # a one-row total joined on a constant key
+    return d.withColumn("_k", F.lit(0)).join(n, "_k").select(
+        "id", "degree", F.when(F.col("_n") > 1, F.col("degree") / (F.col("_n") - 1)).otherwise(0.0).alias("centrality")
+    )
+
+
+def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows ``kind, name, count``: totals and node types."""
+    types = nodes.groupBy("node_type").agg(F.count(F.lit(1)).alias("count")).select(
+        F.lit("node_type").alias("kind"), F.col("node_type").alias("name"), "count"
+    )
+    total_n = nodes.agg(F.count(F.lit(1)).alias("count")).select(F.lit("total").alias("kind"), F.lit("nodes").alias("name"), "count")
+    total_e = edges.agg(F.count(F.lit(1)).alias("count")).select(F.lit("total").alias("kind"), F.lit("edges").alias("name"), "count")
+    return types.unionByName(total_n).unionByName(total_e)
+
+
+def export_nodes(nodes: DataFrame, edges: DataFrame, anomalous: DataFrame | None = None) -> DataFrame:
+    """Node table for drawing: type, degree-based size 5..30, anomaly flag."""
+    out = nodes.join(degrees(edges).select("id", "degree"), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    if anomalous is None:
+        out = out.withColumn("is_anomalous", F.lit(False))
+    else:
+        out = out.join(anomalous.select("id").distinct().withColumn("_a", F.lit(True)), "id", "left").withColumn(
+            "is_anomalous", F.coalesce("_a", F.lit(False))).drop("_a")
+    return out.withColumn("size", F.greatest(F.lit(5), F.least(F.lit(30), F.col("degree") * 2)))
+
+
+def hub_accounts(nodes: DataFrame, edges: DataFrame, at_least: int = 5, account: str = "account", panchayat: str = "panchayat") -> DataFrame:
+    """Accounts with many panchayats within two steps, and the money on their edges."""
+    both = edges.select("src", "dst", "amount").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "amount"))
+    acc = nodes.filter(F.col("node_type") == account).select(F.col("id").alias("src"))
+    pan = nodes.filter(F.col("node_type") == panchayat).select(F.col("id").alias("dst"))
+    first = both.join(acc, "src", "left_semi")
+    to_pan = both.join(pan, "dst", "left_semi").select("src", "dst").distinct()
+    one = first.join(pan, "dst", "left_semi").select("src", "dst")
+    two = first.select("src", F.col("dst").alias("_m")).distinct().join(to_pan.withColumnRenamed("src", "_m"), "_m").select("src", "dst")
+    reach = one.unionByName(two).distinct().groupBy("src").agg(F.count(F.lit(1)).alias("panchayats"))
+    money = first.groupBy("src").agg(F.sum("amount").alias("total_amount"), F.count(F.lit(1)).alias("edges"))
+    return reach.filter(F.col("panchayats") >= at_least).join(money, "src").withColumnRenamed("src", "account_node")
+
+
+def rapid_movement(df: DataFrame, fto: str, account: str, ts: str, amount: str, hours: float = 24) -> DataFrame:
+    """Orders credited to two or more accounts within a day."""
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    dated = df.filter(F.col(fto).isNotNull() & F.col(ts).isNotNull())
+    out = dated.groupBy(fto).agg(
+        F.count(F.lit(1)).alias("payments"), ((F.max(t) - F.min(t)) / 3.6e9).alias("span_hours"), F.sum(amount).alias("total_amount")
+    )
+    accounts = dated.select(fto, account).distinct().groupBy(fto).agg(F.count(F.lit(1)).alias("accounts"))
+    return out.join(accounts, fto).filter((F.col("payments") >= 2) & (F.col("span_hours") <= hours) & (F.col("accounts") >= 2))
+
+
+def neighbourhood(edges: DataFrame, suspects: DataFrame, radius: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(nodes with distance, induced edges) within ``radius`` steps of the suspects."""
+    both = undirected(edges)
+    known = both.select(F.col("src").alias("id")).distinct()
+    seen = durable(suspects.select("id").distinct().join(known, "id", "left_semi").withColumn("distance", F.lit(0)))
+    edge = seen
+    for step in range(1, radius + 1):
+        near = edge.select(F.col("id").alias("src")).join(both, "src").select(F.col("dst").alias("id")).distinct()
+        edge = durable(near.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(step)))
+        seen = seen.unionByName(edge)
+    inside = edges.join(seen.select(F.col("id").alias("src")), "src", "left_semi").join(seen.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return seen, inside
+
+
+# -- cycles ----------------------------------------------------------------------------
+
+def _core(edges: DataFrame) -> DataFrame:
+    """Edges left after vertices without way in or out are peeled off repeatedly."""
+    left = durable(edges)
+    n = left.count()
+    while n:
+        ins, outs = left.select(F.col("dst").alias("v")).distinct(), left.select(F.col("src").alias("v")).distinct()
+        live = ins.join(outs, "v", "left_semi")
+        nxt = durable(left.join(live.withColumnRenamed("v", "src"), "src", "left_semi").join(live.withColumnRenamed("v", "dst"), "dst", "left_semi"))
+        m = nxt.count()
+        if m == n:
+            break
+        left, n = nxt, m
+    return left
+
+
+def cycles(edges: DataFrame, shortest: int = 3, longest: int = 8) -> DataFrame:
+    """All simple directed cycles of bounded length: ``path, length, total_amount, min_amount``.
+
+    A path starts at its smallest vertex and only meets larger ones, so each cycle
+    is found once. Vertices off every cycle are peeled away first.
+    """
+    core = _core(edges.filter("src != dst").groupBy("src", "dst").agg(F.max_by("amount", "amount").alias("amount")))
+    step = core.select(F.col("src").alias("_last"), F.col("dst").alias("_next"), F.col("amount").alias("_w"))
+    paths = core.filter("dst > src").select(
+        F.col("src").alias("_first"), F.col("dst").alias("_last"), F.array("src", "dst").alias("path"), F.col("amount").alias("_sum"), F.col("amount").alias("_min")
+    )
+    back = core.select(F.col("src").alias("_last"), F.col("dst").alias("_first"), F.col("amount").alias("_w"))
+    found = None
+    for size in range(2, longest + 1):
+        if size > 2:
+            grown = paths.join(step, "_last").filter((F.col("_next") > F.col("_first")) & ~F.array_contains("path", F.col("_next")))
+            paths = durable(grown.select(
+                "_first", F.col("_next").alias("_last"), F.concat("path", F.array("_next")).alias("path"),
+                (F.col("_sum") + F.col("_w")).alias("_sum"), F.least("_min", "_w").alias("_min"),
+            ))
+        if size >= shortest:
+            closed = paths.join(back, ["_last", "_first"]).select(
+                "path", F.lit(size).alias("length"), (F.col("_sum") + F.col("_w")).alias("total_amount"), F.least("_min", "_w").alias("min_amount")
+            )
+            found = closed if found is None else found.unionByName(closed)
+    return found
+
+
+def distinct_cycles(found: DataFrame) -> DataFrame:
+    """One cycle per set of vertices."""
+    first = F.min_by(F.struct("path", "total_amount"), "path").alias("_f")
+    return found.groupBy(F.array_sort("path").alias("members"), "length").agg(first).select("_f.*", "length")
+
+
+def official_cycles(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Cycles through an official or a panchayat, with a confidence."""
+    keyed = found.withColumn("_id", F.array_join(F.transform("path", lambda v: v.cast("string")), ">"))
+    types = keyed.select("_id", F.explode("path").alias("id")).join(nodes.select("id", "node_type"), "id").groupBy("_id").agg(
+        F.count_if(F.col("node_type") == "official").alias("officials"), F.count_if(F.col("node_type") == "panchayat").alias("panchayats")
+    )
+    conf = F.when(F.col("officials") > 0, 0.7).otherwise(0.5) + F.when(F.col("length") <= 4, 0.1).otherwise(0.0)
+    return keyed.join(types, "_id").filter((F.col("officials") > 0) | (F.col("panchayats") > 0)).withColumn("confidence", conf).drop("_id")
+
+
+# -- centrality --------------------------------------------------------------------------
+
+def eigenvector(edges: DataFrame, max_rounds: int = 500, tolerance: float = 1e-6, stride: int = 5) -> DataFrame:
+    """Eigenvector centrality by power iteration on A + I; zeros when it does not settle.
+
+    ``stride`` multiplications run as one job; only then the vector is scaled and
+    the last two iterates are compared.
+    """
+    both = durable(undirected(edges).repartition("src"))
+    ids = both.select(F.col("src").alias("id")).distinct()
+    n = ids.count()
+    if n == 0:
+        return ids.withColumn("eigenvector", F.lit(0.0))
+    x = ids.withColumn("y", F.lit(1.0 / n))
+    for _ in range(0, max_rounds, stride):
+        for _ in range(stride):
+            pushed = both.join(x.select(F.col("id").alias("src"), "y"), "src").select(F.col("dst").alias("id"), "y", F.lit(0.0).alias("x"))
+            own = x.select("id", "y", F.col("y").alias("x"))
+            x = pushed.unionByName(own).groupBy("id").agg(F.sum("y").alias("y"), F.sum("x").alias("x"))
+        x = durable(x)
+        ny, nx = x.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))), F.sqrt(F.sum(F.col("x") * F.col("x")))).first()
+        moved = x.agg(F.sum(F.abs(F.col("y") / ny - F.col("x") / nx))).first()[0]
+        x = x.select("id", (F.col("y") / ny).alias("y"))
+        if moved < n * tolerance:
+            return x.withColumnRenamed("y", "eigenvector")
+    return x.select("id", F.lit(0.0).alias("eigenvector"))
+
+
+def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Normalised betweenness of an undirected graph.
+
+    Breadth-first search from all sources at once, keyed by (source, vertex), then
+    dependencies summed back level by level. With ``sources`` (an ``id`` table) the
+    result is the usual estimate scaled up from those pivots.
+    """
+    both = durable(undirected(edges))
+    ids = durable(both.select(F.col("src").alias("id")).distinct())
+    n = ids.count()
+    start = ids if sources is None else sources.select("id").distinct().join(ids, "id", "left_semi")
+    k = n if sources is None else start.count()
+    levels = [durable(start.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("sigma"), F.lit(0).alias("d")))]
+    seen = levels[0].select("s", "v")
+    while True:
+        nxt = (
+            levels[-1].withColumnRenamed("v", "src").join(both, "src").groupBy("s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma"))
+            .join(seen, ["s", "v"], "left_anti").withColumn("d", F.lit(len(levels)))
+        )
+        nxt = durable(nxt)
+        if nxt.isEmpty():
+            break
+        levels.append(nxt)
+        seen = seen.unionByName(nxt.select("s", "v"))
+    total, delta = None, None
+    for here, above in zip(reversed(levels), [None, *reversed(levels[1:])]):
+        mine = here.withColumn("delta", F.lit(0.0))
+        if above is not None:
+            flow = (
+                delta.withColumnRenamed("v", "dst").join(both, "dst").select("s", F.col("src").alias("v"), ((1 + F.col("delta")) / F.col("sigma")).alias("_f"))
+                .groupBy("s", "v").agg(F.sum("_f").alias("_f"))
+            )
+            mine = here.join(flow, ["s", "v"], "left").withColumn("delta", F.col("sigma") * F.coalesce("_f", F.lit(0.0))).drop("_f")
+        delta = durable(mine)
+        part = delta.filter("s != v").select("v", "delta")
+        total = part if total is None else total.unionByName(part)
+    scale = 1.0 / ((n - 1) * (n - 2)) * n / max(k, 1) if n > 2 else 0.0
+    sums = total.groupBy(F.col("v").alias("id")).agg((F.sum("delta") * scale).alias("betweenness"))
+    return ids.join(sums, "id", "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0)))
+
+
+def bridges(edges: DataFrame, top: int = 20, sources: DataFrame | None = None) -> DataFrame:
+    """Vertices with the highest betweenness."""
+    b = betweenness(edges, sources).join(degrees(edges).select("id", "degree"), "id")
+    return b.orderBy(F.col("betweenness").desc(), "id").limit(top)
+
+
+# -- communities ---------------------------------------------------------------------------
+
+def modularity(weighted: DataFrame, membership: DataFrame, resolution: float = 1.0) -> float:
+    """Modularity of a membership (``v, c``) on symmetric weighted edges (``src, dst, w``)."""
+    m2 = weighted.agg(F.sum("w")).first()[0] or 0.0
+    if not m2:
+        return 0.0
+    tagged = weighted.join(membership.select(F.col("v").alias("src"), F.col("c").alias("cs")), "src").join(
+        membership.select(F.col("v").alias("dst"), F.col("c").alias("cd")), "dst")
+    inner = tagged.groupBy("cs").agg(F.sum(F.when(F.col("cs") == F.col("cd"), F.col("w")).otherwise(0.0)).alias("i"), F.sum("w").alias("k"))
+    return inner.agg(F.sum(F.col("i") / m2 - resolution * F.pow(F.col("k") / m2, F.lit(2)))).first()[0]
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20, levels: int = 10, gain: float = 1e-4) -> DataFrame:
+    """Louvain communities of an undirected graph: ``id, community``.
+
+    Vertices move at the same time, but only those of one hash half per round, so
+    that neighbours do not swap for ever; communities are then contracted to
+    vertices, until modularity stops rising.
+    """
+    graph = durable(undirected(edges).withColumn("w", F.lit(1.0)))
+    final = durable(graph.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id")))
+    m2 = graph.agg(F.sum("w")).first()[0]
+    if not m2:
+        return final
+    best = None
+    for _ in range(levels):
+        member = _local_moves(graph, m2, resolution, rounds)
+        q = modularity(graph, member, resolution)
+        if best is not None and q <= best + gain:
+            break
+        best = q
+        names = member.groupBy("c").agg(F.min("v").alias("_name"))
+        member = durable(member.join(names, "c").select("v", F.col("_name").alias("c")))
+        final = durable(final.join(member.withColumnRenamed("v", "community"), "community").select("id", F.col("c").alias("community")))
+        graph = durable(
+            graph.join(member.select(F.col("v").alias("src"), F.col("c").alias("_s")), "src")
+            .join(member.select(F.col("v").alias("dst"), F.col("c").alias("_d")), "dst")
+            .groupBy(F.col("_s").alias("src"), F.col("_d").alias("dst")).agg(F.sum("w").alias("w"))
+        )
+    return final
+
+
+def _local_moves(graph: DataFrame, m2: float, resolution: float, rounds: int) -> DataFrame:
+    strength = graph.groupBy(F.col("src").alias("v")).agg(F.sum("w").alias("k"))
+    member = durable(strength.select("v", "k", F.col("v").alias("c")))
+    links = graph.filter("src != dst")
+    idle = 0
+    for r in range(rounds):
+        total = member.groupBy("c").agg(F.sum("k").alias("_tot"))
+        turn = member.filter(F.pmod(F.xxhash64("v"), F.lit(2)) == r % 2).select("v", "k", F.col("c").alias("_own"))
+        pull = (
+            links.join(member.select(F.col("v").alias("dst"), "c"), "dst").join(turn.select(F.col("v").alias("src")), "src", "left_semi")
+            .groupBy(F.col("src").alias("v"), "c").agg(F.sum("w").alias("_in"))
+        )
+        # staying is an option even without a link to the own community
+        stay = turn.select("v", F.col("_own").alias("c"), F.lit(0.0).alias("_in"))
+        options = pull.unionByName(stay).groupBy("v", "c").agg(F.sum("_in").alias("_in")).join(turn, "v").join(total, "c")
+        own = F.col("c") == F.col("_own")
+        rest = F.when(own, F.col("_tot") - F.col("k")).otherwise(F.col("_tot"))
+        scored = options.withColumn("_s", F.col("_in") - resolution * F.col("k") * rest / m2)
+        choice = scored.groupBy("v").agg(
+            F.max_by("c", F.struct("_s", "c")).alias("_to"), F.max("_s").alias("_top"), F.max(F.when(own, F.col("_s"))).alias("_now")
+        ).filter(F.col("_top") > F.col("_now") + 1e-12)
+        member = durable(
+            member.join(choice.select("v", "_to"), "v", "left").select("v", "k", F.coalesce("_to", "c").alias("c"), F.col("_to").isNotNull().alias("_moved"))
+        )
+        idle = idle + 1 if member.filter("_moved").isEmpty() else 0
+        if idle == 2:
+            break
+        member = member.drop("_moved")
+    return member.select("v", "c")
+
+
+def community_profile(membership: DataFrame, edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Size, node types, inner edges and inner amount of every community."""
+    tag = membership.select(F.col("id").alias("src"), F.col("community").alias("_a"))
+    tag2 = membership.select(F.col("id").alias("dst"), F.col("community").alias("_b"))
+    inner = edges.join(tag, "src").join(tag2, "dst").filter("_a = _b").groupBy(F.col("_a").alias("community")).agg(
+        F.count(F.lit(1)).alias("internal_edges"), F.sum("amount").alias("total_amount")
+    )
+    size = membership.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
+    out = size.join(inner, "community", "left").fillna(0, ["internal_edges", "total_amount"])
+    if nodes is not None:
+        kinds = membership.join(nodes, "id").groupBy("community").agg(F.array_sort(F.collect_set("node_type")).alias("node_types"))
+        out = out.join(kinds, "community", "left")
+    return out
