@@ -294,17 +294,20 @@ def eigenvector(edges: DataFrame, max_rounds: int = 500, tolerance: float = 1e-6
     ``stride`` multiplications run as one job; only then the vector is scaled and
     the last two iterates are compared.
     """
-    both = durable(undirected(edges).repartition("src"))
-    ids = both.select(F.col("src").alias("id")).distinct()
+    plain = durable(undirected(edges))
+    ids = plain.select(F.col("src").alias("id")).distinct()
+    # the identity part of A + I as one loop per vertex
+    both = durable(plain.unionByName(ids.select(F.col("id").alias("src"), F.col("id").alias("dst"))).repartition("src"))
     n = ids.count()
     if n == 0:
         return ids.withColumn("eigenvector", F.lit(0.0))
     x = ids.withColumn("y", F.lit(1.0 / n))
     for _ in range(0, max_rounds, stride):
         for _ in range(stride):
-            pushed = both.join(x.select(F.col("id").alias("src"), "y"), "src").select(F.col("dst").alias("id"), "y", F.lit(0.0).alias("x"))
-            own = x.select("id", "y", F.col("y").alias("x"))
-            x = pushed.unionByName(own).groupBy("id").agg(F.sum("y").alias("y"), F.sum("x").alias("x"))
+            pushed = both.join(x.select(F.col("id").alias("src"), "y"), "src")
+            x = pushed.groupBy(F.col("dst").alias("id")).agg(
+                F.sum("y").alias("y"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("y"))).alias("x")
+            )
         x = durable(x)
         ny, nx = x.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))), F.sqrt(F.sum(F.col("x") * F.col("x")))).first()
         moved = x.agg(F.sum(F.abs(F.col("y") / ny - F.col("x") / nx))).first()[0]
@@ -374,12 +377,12 @@ def modularity(weighted: DataFrame, membership: DataFrame, resolution: float = 1
     return inner.agg(F.sum(F.col("i") / m2 - resolution * F.pow(F.col("k") / m2, F.lit(2)))).first()[0]
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20, levels: int = 10, gain: float = 1e-4) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 8, levels: int = 5, gain: float = 1e-4) -> DataFrame:
     """Louvain communities of an undirected graph: ``id, community``.
 
-    Vertices move at the same time, but only those of one hash half per round, so
-    that neighbours do not swap for ever; communities are then contracted to
-    vertices, until modularity stops rising.
+    Vertices move at the same time, but only one random half per round, so that
+    neighbours do not swap for ever; a level ends when hardly any vertex moves.
+    Communities are then contracted to vertices, until modularity stops rising.
     """
     graph = durable(undirected(edges).withColumn("w", F.lit(1.0)))
     final = durable(graph.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id")))
@@ -408,10 +411,10 @@ def _local_moves(graph: DataFrame, m2: float, resolution: float, rounds: int) ->
     strength = graph.groupBy(F.col("src").alias("v")).agg(F.sum("w").alias("k"))
     member = durable(strength.select("v", "k", F.col("v").alias("c")))
     links = graph.filter("src != dst")
-    idle = 0
+    few, idle = member.count() // 100, 0
     for r in range(rounds):
         total = member.groupBy("c").agg(F.sum("k").alias("_tot"))
-        turn = member.filter(F.pmod(F.xxhash64("v"), F.lit(2)) == r % 2).select("v", "k", F.col("c").alias("_own"))
+        turn = member.filter(F.pmod(F.xxhash64(F.col("v"), F.lit(r)), F.lit(2)) == 0).select("v", "k", F.col("c").alias("_own"))
         pull = (
             links.join(member.select(F.col("v").alias("dst"), "c"), "dst").join(turn.select(F.col("v").alias("src")), "src", "left_semi")
             .groupBy(F.col("src").alias("v"), "c").agg(F.sum("w").alias("_in"))
@@ -428,7 +431,7 @@ def _local_moves(graph: DataFrame, m2: float, resolution: float, rounds: int) ->
         member = durable(
             member.join(choice.select("v", "_to"), "v", "left").select("v", "k", F.coalesce("_to", "c").alias("c"), F.col("_to").isNotNull().alias("_moved"))
         )
-        idle = idle + 1 if member.filter("_moved").isEmpty() else 0
+        idle = idle + 1 if member.filter("_moved").count() <= few else 0
         if idle == 2:
             break
         member = member.drop("_moved")

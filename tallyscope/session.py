@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -39,23 +40,26 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not sc.master.startswith("local"):
+def _shared_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can read")
-        shared = tempfile.mkdtemp(prefix="tallyscope-checkpoint-")
-    sc.setCheckpointDir(shared)
+        folder = tempfile.mkdtemp(prefix="tallyscope-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there.
+    """Write ``df`` as a table in the shared checkpoint folder and continue from there.
 
-    Used between rounds of an iterative job: the plan stays short and a lost
-    executor costs one re-read, not a replay of all earlier rounds.
+    Used between rounds of an iterative job: the plan stays short, a lost executor
+    costs one re-read instead of a replay of all earlier rounds, and the columnar
+    files can be pruned. The folder is the cluster's ``spark.checkpoint.dir``; its
+    files may be removed once the results are written.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/tallyscope-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
