@@ -40,7 +40,7 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
@@ -60,6 +60,6 @@ def durable(df: DataFrame) -> DataFrame:
     files may be removed once the results are written.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/tallyscope-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tallyscope-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
