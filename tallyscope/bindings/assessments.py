@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import payments as P
 from ..operators import rollup
+from ..operators.sequences import period_change
 from ..plans import findings, reports, risk
 from . import roles
 from .audits import _WORK_COST, work_costs
@@ -35,8 +37,6 @@ def k1(t: Tables) -> DataFrame:
 
 def scored(t: Tables) -> DataFrame:
     """All panchayats with attendance, satellite, photo and payment scores."""
-    from ..operators import payments as P
-
     units = roles.panchayats(t).select("panchayat", "block", "district", "state")
     att = risk.attendance_score(musters(t), ["panchayat"], days="person_days", verified="verified", category="material_type", day="paid_on", earthwork="R")
     pay = P.payment_score(work_costs(t), ["panchayat"], labour="labour", material="material", shell="shell", split="split")
@@ -87,6 +87,12 @@ def a14(t: Tables) -> DataFrame:
     return risk.roll_up_max(scored(t), "district").withColumn("risk_score", rnd("risk_score", 6))
 
 
+@query("k4_investigation_routing", f"WITH {_SCORED} SELECT panchayat, CASE WHEN NOT (e >= 0.6 OR a >= 0.6 OR s >= 0.6 OR f >= 0.6 OR y >= 0.6) THEN 4 ELSE "
+       "(s >= 0.6 OR e >= 0.6)::INT + (a >= 0.6)::INT + (y >= 0.6 OR e >= 0.6)::INT + (f >= 0.6)::INT END AS steps FROM sc")
+def k4(t: Tables) -> DataFrame:
+    return risk.investigations(scored(t), "panchayat").select("panchayat", F.size("steps").alias("steps"))
+
+
 @query("k5_pilot_recommendation", f"WITH {ANOMALIES} SELECT district, count(*) FILTER (WHERE severity = 'critical') AS ghosts, CAST(sum(CAST(loss AS DECIMAL(14,2))) AS DOUBLE)*100 AS amount, "
        "count(*) FILTER (WHERE status = 'escalated') AS mismatches, count(*) AS findings, CASE WHEN count(*) FILTER (WHERE severity = 'critical') > 10 OR CAST(sum(CAST(loss AS DECIMAL(14,2))) AS DOUBLE)*100 > 1000000 OR count(*) FILTER (WHERE status = 'escalated') > 2 "
        "THEN 'HIGH RISK' WHEN count(*) > 5 OR CAST(sum(CAST(loss AS DECIMAL(14,2))) AS DOUBLE)*100 > 500000 THEN 'MODERATE RISK' ELSE 'LOW RISK' END AS recommendation FROM anomalies GROUP BY 1")
@@ -290,7 +296,5 @@ def c10(t: Tables) -> DataFrame:
 @query("c11_risk_trend", "WITH w AS (SELECT user_id, CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS n FROM events GROUP BY 1, 2), l AS (SELECT *, lag(n) OVER (PARTITION BY user_id ORDER BY week) AS previous FROM w) "
        "SELECT user_id, week, CASE WHEN (n-previous)*100.0/previous > 10 THEN 'increasing' WHEN (n-previous)*100.0/previous < -10 THEN 'decreasing' ELSE 'stable' END AS trend FROM l WHERE previous IS NOT NULL")
 def c11(t: Tables) -> DataFrame:
-    from ..operators.sequences import period_change
-
     w = t.events.groupBy("user_id", F.to_date(F.date_trunc("week", "ts")).alias("week")).agg(F.count(F.lit(1)).alias("n"))
     return period_change(w, ["user_id"], "week", "n", 10.0).select("user_id", "week", "trend")

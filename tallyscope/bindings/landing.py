@@ -124,18 +124,18 @@ def src9(t: Tables) -> DataFrame:
 
 def _upsert(t: Tables) -> tuple[DataFrame, DataFrame]:
     current = t.orders.filter("o_orderkey % 3 <> 0").select("o_orderkey", "o_orderstatus", "o_totalprice", F.lit("old").alias("note"))
-    incoming = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.lit("X").alias("o_orderstatus"), F.col("l_extendedprice").alias("o_totalprice"), F.lit("new").alias("note"), "l_partkey", "l_suppkey")
+    incoming = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.lit("X").alias("o_orderstatus"), F.col("l_extendedprice").alias("o_totalprice"), F.lit("new").alias("note"), "l_partkey", "l_suppkey", F.col("l_extendedprice").alias("seq"))
     return current, incoming
 
 
-_MERGED = ("WITH i AS (SELECT l_orderkey AS k, max(l_partkey*100000 + l_suppkey) AS m, arg_max(l_extendedprice, l_partkey*100000 + l_suppkey) AS p FROM lineitem GROUP BY 1), c AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) "
+_MERGED = ("WITH i AS (SELECT l_orderkey AS k, arg_max(l_extendedprice, (l_partkey, l_suppkey, l_extendedprice)) AS p FROM lineitem GROUP BY 1), c AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) "
            "SELECT coalesce(o_orderkey, k) AS o_orderkey, CASE WHEN k IS NOT NULL THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN k IS NOT NULL THEN p ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey IS NOT NULL THEN 'old' ELSE 'new' END AS note FROM c FULL JOIN i ON k = o_orderkey")
 
 
 @query("snk1_merge", _MERGED)
 def snk1(t: Tables) -> DataFrame:
     current, incoming = _upsert(t)
-    last = sinks.latest(incoming, ["o_orderkey"], "l_partkey", "l_suppkey")
+    last = sinks.latest(incoming, ["o_orderkey"], "l_partkey", "l_suppkey", "seq")
     return sinks.merge(current, last, ["o_orderkey"], ["o_orderstatus", "o_totalprice"])
 
 
@@ -230,8 +230,8 @@ def s5(t: Tables) -> DataFrame:
         version["n"] += 1
 
     src = t.spark.readStream.schema(t.lineitem.schema).option("pathGlobFilter", "lineitem.parquet").parquet(t.folder)
-    rows = src.select(F.col("l_orderkey").alias("o_orderkey"), F.lit("X").alias("o_orderstatus"), F.col("l_extendedprice").alias("o_totalprice"), F.lit("new").alias("note"), "l_partkey", "l_suppkey")
-    q = jobs.merge_stream(rows, read, write, ["o_orderkey"], ["o_orderstatus", "o_totalprice"], ["l_partkey", "l_suppkey"], f"{base}/state")
+    rows = src.select(F.col("l_orderkey").alias("o_orderkey"), F.lit("X").alias("o_orderstatus"), F.col("l_extendedprice").alias("o_totalprice"), F.lit("new").alias("note"), "l_partkey", "l_suppkey", F.col("l_extendedprice").alias("seq"))
+    q = jobs.merge_stream(rows, read, write, ["o_orderkey"], ["o_orderstatus", "o_totalprice"], ["l_partkey", "l_suppkey", "seq"], f"{base}/state")
     q.awaitTermination()
     return read()
 

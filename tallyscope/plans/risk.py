@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalar import tier
+from ..operators.joins import relevant_steps
 from ..operators.stats import benford_deviation, mean_of_available
 from ..ordered import attach
 
@@ -22,6 +23,20 @@ FLAG_NAMES = {
 }
 
 
+# Kinds of anomaly that start each analysis.
+TRIGGERS = {
+    "satellite_verification": ("satellite_mismatch", "expenditure_anomaly"),
+    "muster_roll_forensics": ("attendance_anomaly", "ghost_worker", "muster_roll_fraud"),
+    "payment_analysis": ("payment_anomaly", "material_ratio_violation", "expenditure_anomaly"),
+    "photo_verification": ("photo_anomaly",),
+}
+
+
+def investigations(scored: DataFrame, key: str) -> DataFrame:
+    """Analyses to run for every unit, from its flags; all of them without flags."""
+    return relevant_steps(scored, [key], "anomaly_flags", TRIGGERS)
+
+
 def attendance_score(df: DataFrame, keys: Sequence[str], *, days: str, verified: str, category: str, day: str, earthwork: str = "earthwork") -> DataFrame:
     """Mean of first-digit deviation, biometric gap and heavy monsoon earthwork share."""
     keys = list(keys)

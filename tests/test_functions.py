@@ -1,0 +1,91 @@
+import datetime as dt
+import math
+
+from pyspark.sql import functions as F
+
+from tallyscope.functions import dates, geo, scalar, tails, text
+
+
+def one(spark, col):
+    return spark.range(1).select(col.alias("v")).first()["v"]
+
+
+def test_indian_grouping(spark):
+    cases = {1234: "1,234", 123456: "1,23,456", 12345678: "1,23,45,678", 999: "999", 1234.5: "1,234.50", -123456: "-1,23,456"}
+    for v, want in cases.items():
+        assert one(spark, scalar.indian_grouping(F.lit(float(v)))) == want
+
+
+def test_human_amount(spark):
+    assert one(spark, scalar.human_amount(F.lit(25_000_000.0))) == "Rs 2.5 Cr"
+    assert one(spark, scalar.human_amount(F.lit(250_000.0))) == "Rs 2.5 L"
+    assert one(spark, scalar.human_amount(F.lit(99_999.0))) == "Rs 99,999"
+
+
+def test_first_digit_variants(spark):
+    rows = {0.05: (None, None, 5), 0.5: (5, None, 5), 0.0: (None, None, None), 123.4: (1, 1, 1), -87.0: (8, 8, 8)}
+    for v, want in rows.items():
+        c = F.lit(v)
+        assert one(spark, F.array(scalar.first_digit_text(c), scalar.first_digit_whole(c), scalar.first_digit_strict(c))) == list(want)
+
+
+def test_risk_band_boundaries(spark):
+    for v, want in {75: "critical", 74.9: "high", 55: "high", 54.9: "medium", 35: "medium", 34.9: "low"}.items():
+        assert one(spark, scalar.risk_band(F.lit(float(v)))) == want
+
+
+def test_financial_year(spark):
+    assert one(spark, dates.financial_year(F.lit("2025-01-15").cast("date"))) == "2024-2025"
+    assert one(spark, dates.financial_year(F.lit("2025-04-01").cast("date"))) == "2025-2026"
+    assert one(spark, dates.financial_year_valid(F.lit("2005-2006"))) is False
+    assert one(spark, dates.financial_year_valid(F.lit("2024-2026"))) is False
+
+
+def test_working_days_against_a_loop(spark):
+    start, end = dt.date(2024, 1, 1), dt.date(2024, 3, 31)
+    fixed = {(m, d) for m, d, _ in dates.HOLIDAYS}
+    n, day = 0, start
+    while day <= end:
+        nth = math.ceil(day.day / 7)
+        if not (day.weekday() == 6 or (day.weekday() == 5 and nth in (2, 4)) or (day.month, day.day) in fixed):
+            n += 1
+        day += dt.timedelta(1)
+    assert one(spark, dates.working_days(F.lit(start), F.lit(end))) == n
+
+
+def test_hex_hamming_top_bit_and_length(spark):
+    assert one(spark, scalar.hex_hamming(F.lit("ffffffffffffffff"), F.lit("7fffffffffffffff"))) == 1
+    assert one(spark, scalar.hex_hamming(F.lit("ff"), F.lit("f"))) == 8
+
+
+def test_names_similar(spark):
+    assert one(spark, text.names_similar(F.lit("A B Traders Pvt Ltd"), F.lit("A B Traders Co"))) is True
+    assert one(spark, text.names_similar(F.lit("Ram Stores"), F.lit("Shyam Stores"))) is False
+
+
+def test_chunks(spark):
+    assert one(spark, text.chunk_paragraphs(F.lit("aaaa\n\nbbbb\n\ncccc"), 12)) == ["aaaa\n\nbbbb", "cccc"]
+    assert one(spark, text.chunk_paragraphs(F.lit("   "), 10)) == ["   "]
+    assert one(spark, text.chunk_paragraphs(F.lit("x" * 30 + "\n\ny"), 10)) == ["x" * 30, "y"]
+
+
+def test_tails():
+    for n, k in ((20, 5), (600, 80), (600, 40)):
+        want = sum(math.comb(n, i) * 0.1**i * 0.9 ** (n - i) for i in range(k, n + 1))
+        assert abs(float(tails.binomial_upper([k], [n], 0.1)[0]) - want) < 1e-12
+    for lam, k in ((2.5, 4), (40.0, 55), (40.0, 20)):
+        want = 1 - sum(math.exp(-lam + i * math.log(lam) - math.lgamma(i + 1)) for i in range(k))
+        assert abs(float(tails.poisson_upper([k], [lam])[0]) - want) < 1e-10
+
+
+def test_utm_known_point(spark):
+    # a point on the central meridian of zone 43: easting is exactly half a million
+    e, n = one(spark, geo.utm_point(F.lit(20.0), F.lit(75.0), F.lit(43)))
+    assert abs(e - 500_000) < 1e-6
+    assert abs(n - 2_211_481.0) < 100
+
+
+def test_in_polygon_hole(spark):
+    rings = "array(array(array(0D,0D),array(4D,0D),array(4D,4D),array(0D,4D),array(0D,0D)), array(array(1D,1D),array(3D,1D),array(3D,3D),array(1D,3D),array(1D,1D)))"
+    assert one(spark, geo.in_polygon(F.expr(rings), F.lit(0.5), F.lit(0.5))) is True
+    assert one(spark, geo.in_polygon(F.expr(rings), F.lit(2.0), F.lit(2.0))) is False
