@@ -131,11 +131,11 @@ def e1(t: Tables) -> DataFrame:
 
 @query("e2_evidence_chain", f"WITH {ANOMALIES}, p AS (SELECT user_id, anomaly_type, arg_min(anomaly_id, (-confidence, detected_at, anomaly_id)) AS i FROM anomalies GROUP BY 1, 2), "
        "q AS (SELECT user_id, count(*) AS n, string_agg(anomaly_type || ':' || i, ',' ORDER BY anomaly_type) AS primaries FROM p GROUP BY 1), a AS (SELECT user_id, count(*) AS items, round(avg(confidence), 9) AS m FROM anomalies GROUP BY 1) "
-       "SELECT user_id AS case_id, items, round(m, 6) AS mean_confidence, n AS evidence_types, primaries, CASE WHEN n >= 3 AND m >= 0.7 THEN 'strong' WHEN n >= 2 AND m >= 0.5 THEN 'moderate' ELSE 'weak' END AS strength FROM a JOIN q USING (user_id)")
+       "SELECT user_id AS case_id, items, m AS mean_confidence, n AS evidence_types, primaries, CASE WHEN n >= 3 AND m >= 0.7 THEN 'strong' WHEN n >= 2 AND m >= 0.5 THEN 'moderate' ELSE 'weak' END AS strength FROM a JOIN q USING (user_id)")
 def e2(t: Tables) -> DataFrame:
     r = reports.evidence_chain(evidence(t))
     text = F.array_join(F.transform("primaries", lambda p: F.concat_ws(":", p["evidence_type"], p["evidence_id"].cast("string"))), ",")
-    return r.select("case_id", "items", rnd("mean_confidence", 6).alias("mean_confidence"), "evidence_types", text.alias("primaries"), "strength")
+    return r.select("case_id", "items", "mean_confidence", "evidence_types", text.alias("primaries"), "strength")
 
 
 def cases(t: Tables) -> DataFrame:
