@@ -78,7 +78,7 @@ def greedy(sets, order, t):
 
 def test_clone_groups_follow_the_sequential_rule(spark):
     sets = sets_fixture(5, 10, 20, 6)
-    rows = [("w", m, pd.Timestamp("2024-01-01") + pd.Timedelta(days=i)) for m, s in sets.items() for i in s]
+    rows = [("w", m, (pd.Timestamp("2024-01-01") + pd.Timedelta(days=i)).to_pydatetime()) for m, s in sets.items() for i in s]
     df = spark.createDataFrame(rows, "work string, worker long, ts timestamp").withColumn("day", F.to_date("ts"))
     order = sorted(sets, key=lambda m: (min(sets[m]), m))
     want = greedy(sets, order, 0.8)
