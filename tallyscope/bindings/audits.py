@@ -159,13 +159,8 @@ _WORK_COST = ("wc AS (SELECT l_orderkey AS work_id, o_custkey AS panchayat, c_na
 
 def work_costs(t: Tables) -> DataFrame:
     money = F.col("amount").cast("decimal(14,2)")
-    rows = roles.payments(t).join(
-        t.lineitem.select(
-            F.col("l_orderkey").alias("work_id"), F.col("l_partkey").alias("worker_id"), F.col("l_suppkey").alias("account"), F.col("l_linenumber").alias("line"), "l_linestatus"
-        ), ["work_id", "worker_id", "account", "line"],
-    )
-    labour = F.col("l_linestatus") == "O"
-    return rows.groupBy("work_id", "panchayat", "district").agg(
+    labour = F.col("line_status") == "O"
+    return roles.payments(t).groupBy("work_id", "panchayat", "district").agg(
         F.sum(F.when(labour, money).otherwise(F.lit(0))).cast("double").alias("labour"),
         F.sum(F.when(~labour, money).otherwise(F.lit(0))).cast("double").alias("material"),
         (F.count_distinct("account") < F.count(F.lit(1))).alias("shell"), (F.max("quantity") < 30).alias("split"),

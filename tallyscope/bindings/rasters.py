@@ -306,7 +306,7 @@ def r19(t: Tables) -> DataFrame:
     return s.groupBy("site_id", "phase").agg(F.sum("nir").alias("levels"), F.count(F.lit(1)).alias("pixels"))
 
 
-@query("r20_comparison_rows", f"WITH {_MEAS} SELECT work_id, s AS verification_status, n AS measures FROM vd")
+@query("r20_comparison_rows", f"WITH {_MEAS} SELECT work_id, dimension, estimated, reported, round(d, 6) AS deviation_pct, s AS verification_status FROM dv JOIN vd USING (work_id)")
 def r20(t: Tables) -> DataFrame:
     r = R.comparison_rows(measures(t), tolerance_pct=20.000001)
-    return r.select("work_id", "verification_status", F.size("measures").cast("long").alias("measures"))
+    return r.select("work_id", "dimension", "estimated", "reported", rnd("deviation_pct", 6).alias("deviation_pct"), "verification_status")

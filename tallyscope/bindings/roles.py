@@ -97,6 +97,7 @@ def payments(t: Tables) -> DataFrame:
             F.col("l_linenumber").alias("line"), F.col("l_extendedprice").alias("amount"), F.col("l_quantity").alias("quantity"),
             F.to_date("l_shipdate").alias("paid_on"), F.col("o_orderpriority").alias("officer"),
             F.col("o_custkey").alias("panchayat"), F.col("c_nationkey").alias("district"), F.col("l_returnflag").alias("material_type"),
+            F.col("l_linestatus").alias("line_status"),
         )
     )
 

@@ -455,10 +455,9 @@ def work_verdict(measures: DataFrame, work: str = "work_id", tolerance_pct: floa
 
 
 def comparison_rows(measures: DataFrame, work: str = "work_id", tolerance_pct: float = 20.0) -> DataFrame:
-    """One row per work with status, confidence and its measures (a few each)."""
-    m = with_deviation(measures)
-    parts = m.groupBy(work).agg(F.array_sort(F.collect_list(F.struct("dimension", "estimated", "reported", "deviation_pct"))).alias("measures"))
-    return work_verdict(measures, work, tolerance_pct).join(parts, work)
+    """One row per work and dimension with its deviation and the verdict of the work."""
+    rows = with_deviation(measures).select(work, "dimension", "estimated", "reported", "deviation_pct")
+    return rows.join(work_verdict(measures, work, tolerance_pct), work)
 
 
 def satellite_score(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -65,7 +65,11 @@ def observations(cases: DataFrame, case: str, year: int) -> DataFrame:
 
 
 def numbered_paragraphs(df: DataFrame, keys: Sequence[str], amount: str, tie: str, top: int = 10) -> DataFrame:
-    """The largest observations per key, numbered from 1."""
+    """The largest observations per key, numbered from 1.
+
+    The rank filter lets Spark cut every task to its own top rows before the
+    shuffle, so a key with very many rows sends only a few.
+    """
     w = W.partitionBy(*keys).orderBy(F.col(amount).desc(), F.col(tie))
     ranked = df.withColumn("para_no", F.row_number().over(w))
     return ranked.filter(F.col("para_no") <= top)
