@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import severity_rank
 
-# Columns of the list views.
+# Columns of the list views (activity is the caller's flag column).
 DISTRICT_SUMMARY = (
-    "id", "district_code", "district_name", "state_code", "state_name", "region", "risk_score", "risk_band",
-    "total_works", "flagged_count", "total_expenditure_lakhs", "mgnrega_active",
+    "id", "district_code", "district_name", "state_code", "state_name", "state_type", "region", "lat", "lng",
+    "total_works", "total_expenditure_lakhs", "verified_count", "flagged_count", "anomalies_count",
+    "estimated_leakage_lakhs", "risk_score", "risk_band", "person_days", "active_workers", "total_households",
+    "completion_rate_pct",
 )
 STATE_SUMMARY = (
     "id", "state_code", "state_name", "state_type", "region", "avg_wage_rate", "total_districts",
@@ -86,6 +88,11 @@ def newest_first(df: DataFrame, when: str, tie: str) -> DataFrame:
     return df.orderBy(F.col(when).desc(), F.col(tie))
 
 
+def summary(df: DataFrame, columns: Sequence[str] = DISTRICT_SUMMARY, *extra: str) -> DataFrame:
+    """The list-view columns; those a table lacks come out NULL."""
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in (*columns, *extra)])
+
+
 def sort_by(df: DataFrame, key: str, tie: str, order: str = "desc") -> DataFrame:
     """Sort by any column; the id breaks ties, so that pages never overlap."""
     col = F.col(key)
