@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import bpe_codec, mixing, secret_scan, token_counts
+from . import bpe_codec, mixing, secret_scan, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +42,14 @@ def _secrets(spark, table):
     return secret_scan.digest(secret_scan.scan(table("documents")))
 
 
+@query("op3_toxicity")
+def _toxicity(spark, table):
+    docs, held_out = table("documents"), toxicity.fold() == 1
+    model = toxicity.train(docs, table("labels").filter(~held_out))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "offending")
+
+
 MIX_SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
