@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import bpe_codec, mixing, quality_rules, secret_scan, token_counts, toxicity
+from . import bpe_codec, mixing, neighbours, quality_rules, secret_scan, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -94,6 +94,11 @@ def _mixture(spark, table):
     return mixing.mix(table("documents"))
 
 
+@query("op7_nearest_neighbours")
+def _neighbours(spark, table):
+    return neighbours.search(table("embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op8_bpe_codec")
 def _codec(spark, table):
     coded = bpe_codec.encode(table("documents"), WORDS_49K)
