@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import bpe_codec, mixing, neighbours, quality_rules, secret_scan, token_counts, toxicity
+from . import bpe_codec, jaccard_join, mixing, neighbours, quality_rules, secret_scan, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,6 +50,11 @@ def _toxicity(spark, table):
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "offending")
 
 
+@query("op4_ngram_jaccard_join")
+def _similar(spark, table):
+    return jaccard_join.join(table("documents"))
+
+
 @query("op5_quality_rules")
 def _quality(spark, table):
     judged = quality_rules.quality(table("documents"), table("labels"))
