@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import bpe_codec, jaccard_join, mixing, neighbours, quality_rules, secret_scan, token_counts, toxicity
+from . import bpe_codec, jaccard_join, line_dedup, mixing, neighbours, quality_rules, secret_scan, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +42,12 @@ def _secrets(spark, table):
     return secret_scan.digest(secret_scan.scan(table("documents")))
 
 
+@query("op2_line_dedup")
+def _lines(spark, table):
+    docs = table("documents")
+    return line_dedup.report(docs, line_dedup.decisions(docs))
+
+
 @query("op3_toxicity")
 def _toxicity(spark, table):
     docs, held_out = table("documents"), toxicity.fold() == 1
