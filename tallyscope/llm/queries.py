@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import bpe_codec, jaccard_join, line_dedup, mixing, neighbours, quality_rules, secret_scan, token_counts, toxicity
+from . import bpe_codec, jaccard_join, line_dedup, mixing, neighbours, perplexity, quality_rules, secret_scan, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -119,3 +119,8 @@ def _codec(spark, table):
 @query("op9_token_counts")
 def _tokens(spark, table):
     return token_counts.count_tokens(table("documents"), BYTES_50K)
+
+
+@query("op10_quality_classifier")
+def _perplexity(spark, table):
+    return perplexity.classify(table("documents"), table("labels"))
