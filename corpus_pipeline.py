@@ -1,16 +1,69 @@
-"""A corpus pipeline of the operators in tallyscope.llm."""
+"""A corpus pipeline: quality rules, line dedup, near duplicates, mixing, tokens.
+
+Each stage takes (spark, docs, folder of the tables), works on all documents that the
+stage before it kept, and returns documents of the same columns; the last returns
+token ids. Documents without an id go with the first stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyscope.llm import bpe_codec, jaccard_join, line_dedup, mixing, quality_rules
+from tallyscope.llm.pairing import if_small
+from tallyscope.llm.queries import WORDS_49K
+from tallyscope.session import durable, tune
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is in ``ids``."""
+    ids = durable(ids.distinct())
+    return docs.join(if_small(ids, ids.count()), "doc_id", "left_semi").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or a learned one go."""
+    labels = tune(spark).read.parquet(f"{sf_dir}/labels.parquet")
+    return _only(docs, quality_rules.quality(docs, labels).filter("kept").select("doc_id"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One line of each group of similar lines stays; documents left without content go."""
+    tune(spark)
+    return line_dedup.apply(docs, line_dedup.decisions(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of equal or similar texts stays: the one of smallest id."""
+    tune(spark)
+    return _only(docs, jaccard_join.join(docs).filter("doc_id = class_id").select("doc_id"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; a document may occur twice, one a source may be cut."""
+    tune(spark)
+    return mixing.apply(docs, durable(mixing.mix(docs)))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id``, ``n_tokens`` and ``ids`` of every document."""
+    coded = bpe_codec.encode(docs, WORDS_49K)
+    ids = F.when(F.col("n_tokens") > 0, F.split("ids", " ").cast("array<int>")).otherwise(F.array().cast("array<int>"))
+    return coded.select("doc_id", "n_tokens", ids.alias("ids"))
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_jaccard_join", near_duplicates), ("mixing", mixture), ("bpe_codec", tokens)]
 
-STAGES: list = []
+#: The learned rules, MinHash and BPE have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``."""
+    """All stages on ``documents``, each read from what the one before wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = durable(docs)
     return docs
