@@ -9,6 +9,10 @@ from collections.abc import Iterator
 #: Bytes that stand for themselves; the other bytes take code points from 256 on (fixed values of the format).
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
+#: Bits of a token id; ids are below 1 << _ID.
+_ID = 20
+_NONE = 1 << 60
+
 
 def byte_letters() -> list[str]:
     """The letter of each byte in a byte-level vocabulary."""
@@ -30,10 +34,11 @@ class Merges:
         self.added: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.texts: dict[int, str] = {i: t for t, i in [*self.vocab.items(), *self.added.items()]}
         self.letters = byte_letters()
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        # rank and result of a pair as one number, which compares faster than a tuple
+        self.pairs: dict[tuple[int, int], int] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.pairs[self.vocab[left], self.vocab[right]] = (rank, self.vocab[left + right])
+            self.pairs[self.vocab[left], self.vocab[right]] = rank << _ID | self.vocab[left + right]
         self.first = [self.vocab.get(x, -1) for x in self.letters]
         self.last = [self.vocab.get(x + self.suffix, -1) for x in self.letters]
 
@@ -46,38 +51,38 @@ class Merges:
         return self._long(ids) if len(ids) > 96 else self._short(ids)
 
     def _short(self, ids: list[int]) -> list[int]:
-        get, none = self.pairs.get, (1 << 60, 0)
-        ranks = [get(p, none) for p in zip(ids, ids[1:])]
+        get, mask = self.pairs.get, (1 << _ID) - 1
+        ranks = [get(p, _NONE) for p in zip(ids, ids[1:])]
         while ranks:
             best = min(ranks)
-            if best is none:
+            if best == _NONE:
                 break
             i = ranks.index(best)
-            ids[i : i + 2] = [best[1]]
-            del ranks[i]
+            ids[i] = best & mask
+            del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
+                ranks[i - 1] = get((ids[i - 1], ids[i]), _NONE)
             if i < len(ranks):
-                ranks[i] = get((ids[i], ids[i + 1]), none)
+                ranks[i] = get((ids[i], ids[i + 1]), _NONE)
         return ids
 
     def _long(self, ids: list[int]) -> list[int]:
         """The same with a heap and a linked list, for words of any length."""
-        n, get = len(ids), self.pairs.get
+        n, get, mask = len(ids), self.pairs.get, (1 << _ID) - 1
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(*p, i, ids[i], ids[i + 1]) for i in range(n - 1) if (p := get((ids[i], ids[i + 1])))]
+        heap = [(p, i, ids[i], ids[i + 1]) for i in range(n - 1) if (p := get((ids[i], ids[i + 1]), _NONE)) != _NONE]
         heapq.heapify(heap)
         while heap:
-            _, new, i, left, right = heapq.heappop(heap)
+            best, i, left, right = heapq.heappop(heap)
             j = after[i]
             if ids[i] != left or j >= n or ids[j] != right:
                 continue
-            ids[i], ids[j], after[i] = new, -1, after[j]
+            ids[i], ids[j], after[i] = best & mask, -1, after[j]
             if after[j] < n:
                 before[after[j]] = i
             for k in (before[i], i):
-                if k >= 0 and after[k] < n and (p := get((ids[k], ids[after[k]]))):
-                    heapq.heappush(heap, (*p, k, ids[k], ids[after[k]]))
+                if k >= 0 and after[k] < n and (p := get((ids[k], ids[after[k]]), _NONE)) != _NONE:
+                    heapq.heappush(heap, (p, k, ids[k], ids[after[k]]))
         return [x for x in ids if x >= 0]
 
     def segments(self, text: str) -> Iterator[tuple[str, int | None]]:

@@ -9,9 +9,8 @@ ids. The automaton is a flat file in the cluster's shared folder that Spark
 distributes and workers map into memory. Words that it does not hold are merged
 exactly, so the results do not depend on the counts.
 
-Pieces of text between white space are normalised, cut into words and looked up
-on their own: no rule of the tokenizer reaches across white space. Null counts as
-empty, which has no tokens. Strings of added tokens become these tokens.
+Null counts as empty, which has no tokens. Strings of added tokens become these
+tokens.
 """
 
 from __future__ import annotations
@@ -36,8 +35,6 @@ from .columns import pieces
 
 #: The vocabulary's pre-tokens (fixed value of its file); what lies between them is dropped.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Separators that str.split() takes for white space, but the tokenizer does not.
-_CONTROLS = regex.compile(r"[\x1c-\x1f]")
 
 
 def normalise(text: str) -> str:
@@ -135,48 +132,45 @@ class Lexicon:
 
 
 class Codec:
-    """Encodes and decodes with the tables of one tokenizer."""
+    """Encodes and decodes with the tables of one tokenizer.
 
-    def __init__(self, merges: Merges, lexicon: Lexicon | None, most: int = 400_000) -> None:
+    Words are remembered as decimal ids and decoded text, whatever stands around them.
+    """
+
+    def __init__(self, merges: Merges, lexicon: Lexicon | None, most: int = 300_000) -> None:
         self.merges, self.lexicon = merges, lexicon
-        self.words, self.chunks = regex.compile(PATTERN), Memo(self._chunk, most)
+        self.pattern, self.words = regex.compile(PATTERN), Memo(self._word, most)
 
-    def _ids(self, chunk: str) -> list[int]:
-        ids: list[int] = []
-        for word in self.words.findall(normalise(chunk)):
-            raw = word.encode()
-            known = self.lexicon.get(raw) if self.lexicon else None
-            ids += self.merges.encode(raw) if known is None else known
-        return ids
+    def ids(self, word: str) -> list[int]:
+        """Token ids of one normalised pre-token: from the lexicon, or merged."""
+        raw = word.encode()
+        known = self.lexicon.get(raw) if self.lexicon else None
+        return self.merges.encode(raw) if known is None else known
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary names no decoder: tokens, word ends included, joined by spaces."""
         return " ".join([self.merges.texts[i] for i in ids])
 
-    def _chunk(self, chunk: str) -> tuple[str, str, int]:
-        ids = self._ids(chunk)
-        return " ".join(map(str, ids)), self.decode(ids), len(ids)
-
-    def encode(self, text: str) -> list[int]:
-        return [int(x) for part in self._parts(text) for x in part[0].split()]
+    def _word(self, word: str) -> tuple[str, str]:
+        ids = self.ids(word)
+        return " ".join(map(str, ids)), self.decode(ids)
 
-    def _parts(self, text: str) -> list[tuple[str, str, int]]:
-        if any(t in text for t in self.merges.added):
-            parts = []
-            for plain, added in self.merges.segments(text):
-                parts += self._plain(plain)
-                if added is not None:
-                    parts.append((str(added), self.merges.texts[added], 1))
-            return parts
-        return self._plain(text)
-
-    def _plain(self, text: str) -> list[tuple[str, str, int]]:
-        return [self._chunk(text)] if _CONTROLS.search(text) else list(map(self.chunks.__getitem__, text.split()))
+    def _parts(self, text: str) -> list[tuple[str, str]]:
+        known = self.words.__getitem__
+        if not any(t in text for t in self.merges.added):
+            return list(map(known, self.pattern.findall(normalise(text))))
+        parts = []
+        for plain, added in self.merges.segments(text):
+            parts += map(known, self.pattern.findall(normalise(plain)))
+            if added is not None:
+                parts.append((str(added), self.merges.texts[added]))
+        return parts
 
     def both(self, text: str) -> tuple[str, str, int]:
         """Decimal ids, decoded text and number of tokens."""
-        parts = [p for p in self._parts(text) if p[2]]
-        return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), sum([p[2] for p in parts])
+        parts = [p for p in self._parts(text) if p[0]]
+        ids = " ".join([p[0] for p in parts])
+        return ids, " ".join([p[1] for p in parts]), ids.count(" ") + 1 if ids else 0
 
 
 class _Tables:
@@ -222,12 +216,12 @@ def _place(spark: SparkSession, data: bytes) -> str:
     return name
 
 
-def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", frequent: float = 1e-5, remembered: int = 400_000) -> DataFrame:
+def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", frequent: float = 1e-5, remembered: int = 300_000) -> DataFrame:
     """``id_col``, ``ids`` (decimal, joined by spaces), ``decoded`` and ``n_tokens`` of every row.
 
     ``vocabulary`` is the path of the tokenizer file, read on the driver only.
     ``frequent`` (a share of all words that occur twice or more) and ``remembered``
-    (pieces that a worker keeps) change the speed, never a result.
+    (words that a worker keeps) change the speed, never a result.
     """
     spark, merges = df.sparkSession, Merges(vocabulary)
     words = {w.encode(): merges.encode(w.encode()) for w in map(normalise, frequent_words(word_counts(df, text_col), frequent))}

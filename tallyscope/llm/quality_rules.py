@@ -140,9 +140,10 @@ def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
           least: int = 5, most_rules: int = 12, most_conditions: int = 4) -> list[Rule]:
     """Rules for label 0 ("bad") from the labelled rows of ``stats``.
 
-    ``grid`` thresholds a statistic are quantiles of its labelled rows. A rule
-    must reach ``precision`` on the pruning rows (a third, by hash of the id) and
-    cover ``least`` bad ones there. Of several labels of an id the lowest counts.
+    About ``grid`` thresholds a statistic are quantiles, ends included, of its good and
+    of its bad rows. A rule must reach ``precision`` on the pruning rows (a third, by
+    hash of the id) and cover ``least`` bad ones there. Of several labels of an id the
+    lowest counts.
     """
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(F.col(label_col).cast("int")).alias("label"))
     rows = durable(stats.join(known, id_col).select(
@@ -150,9 +151,9 @@ def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
         *[c for c in stats.columns if c != id_col],
     ))
     names = list(rates())
-    probs = [i / grid for i in range(1, grid)]
-    cuts = rows.agg(*[F.percentile_approx(c, probs, 10_000).alias(k) for k, c in rates().items()]).first()
-    thresholds = {k: sorted(set(cuts[k] or [])) for k in names}
+    probs = [2 * i / grid for i in range(grid // 2 + 1)]
+    cuts = rows.agg(*[F.percentile_approx(F.when(F.col("bad") == side, c), probs, 10_000).alias(f"{k}{side}") for k, c in rates().items() for side in (0, 1)]).first()
+    thresholds = {k: sorted({*(cuts[f"{k}0"] or []), *(cuts[f"{k}1"] or [])}) for k in names}
     # the number of thresholds that a value reaches
     places = [_place(c, thresholds[k]) for k, c in rates().items()]
     binned = durable(rows.withColumn("places", F.array(*places)))
