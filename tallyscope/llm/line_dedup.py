@@ -122,11 +122,11 @@ def report(df: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str
 
 def apply(df: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` without the removed lines; rows that have no content left by that are gone too."""
-    own = gone.select(F.col("id").alias("_id"), "removed")
+    own = gone.select(F.col("id").alias("_id"), F.col("removed").alias("_gone"))
     kept = F.transform(
         F.array(F.split(F.col(text_col), "\n")),
-        lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed")), lambda i: lines[i]), "\n"),
+        lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: lines[i]), "\n"),
     )[0]
     joined = df.join(own, F.col(id_col).cast("long") == own["_id"], "left")
-    out = joined.withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(kept))
-    return out.filter(F.col("removed").isNull() | F.col(text_col).rlike(_CONTENT)).select(*df.columns)
+    out = joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept))
+    return out.filter(F.col("_gone").isNull() | F.col(text_col).rlike(_CONTENT)).select(*df.columns)

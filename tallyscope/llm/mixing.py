@@ -98,9 +98,9 @@ def apply(df: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str
 
     Ids are unique here. Columns are those of ``df``.
     """
-    own = plan.select(F.col(id_col).alias("_id"), "size", "taken")
-    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    part = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
+    own = plan.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    whole = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(0).cast("int")
+    part = F.when(F.col("_size") > 0, F.col("_taken") % F.col("_size")).otherwise(0).cast("int")
     joined = df.join(own, df[id_col].eqNullSafe(own["_id"])).withColumn("_whole", whole).withColumn("_part", part)
     repeats = F.concat(F.array_repeat(F.lit(0), F.col("_whole")), F.when(F.col("_part") > 0, F.array(F.col("_part"))).otherwise(F.array().cast("array<int>")))
     dealt = joined.withColumn("_words", F.explode(repeats))

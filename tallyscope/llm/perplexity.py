@@ -188,9 +188,9 @@ def score(docs: DataFrame, model: Model, table: DataFrame, chunk: int = 16 << 20
             rows, count, numbers = opened(group, 0)
             seen, n = (group.column(c).to_numpy()[1:].astype(np.int64) for c in (4, 5))
             logs = shared.value.log_probability(bigrams(numbers.astype(np.int64), count), seen, n)
-            sums = np.bincount(np.repeat(np.arange(len(count)), count), logs, len(count))
+            sums = np.bincount(np.repeat(np.arange(len(count)), count), logs, len(count)).astype(float)
             known = [rows.column(c).combine_chunks() for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*known, pa.array(count, pa.int64()), pa.array(sums)], ["id", "lang", "words", "log_probability"])
+            yield pa.RecordBatch.from_arrays([*known, pa.array(count, pa.int64()), pa.array(sums, pa.float64())], ["id", "lang", "words", "log_probability"])
 
     return ordered.mapInArrow(add_up, "id long, lang string, words long, log_probability double")
 

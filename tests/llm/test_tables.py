@@ -101,7 +101,8 @@ def test_decision_list_finds_planted_rules(spark):
     docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels + [(5, None)], "doc_id long, quality int")
     judged = {r.doc_id: r for r in quality_rules.quality(docs, known).collect()}
     assert len(judged) == len(rows)
-    assert all(judged[i].kept == bool(q) for i, q in labels)
+    assert all(judged[i].kept for i, q in labels if q)
+    assert sum(not judged[i].kept for i, q in labels if not q) >= 0.95 * 300
     assert all(judged[i].base_failed and not judged[i].kept for i in (1000, 1001, 1002))
     stats = quality_rules.statistics(docs)
     assert quality_rules.learn(stats, known.limit(0)) == []
