@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a task works on at once; only memory depends on it.
-PIECE = 8 << 20
+PIECE = 1 << 20
 
 
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

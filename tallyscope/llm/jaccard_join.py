@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from .columns import flat, mix, packed, pieces, run_hashes, spans_of
-from .pairing import if_small, least_matches, minhash, set_of, similar
+from .pairing import if_small, least_matches, minhash, similar
 
 _BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
 
@@ -66,16 +66,13 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     items = classes.filter("sign IS NOT NULL").select(F.col("rep").alias("id"), "sign")
 
     def fetch(wanted: DataFrame, rows: int) -> DataFrame:
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in pieces(batches, 1):
-                grams, begin = ngrams(*flat(part.column(1)), n)
-                found = [set_of(grams[a:b]) for a, b in zip(begin[:-1], begin[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
+        return docs.join(if_small(wanted, rows), "id", "left_semi")
 
-        chosen = docs.join(if_small(wanted, rows), "id", "left_semi")
-        return chosen.mapInArrow(sets, "id long, shingles binary")
+    def sets(texts: list[str]) -> list[np.ndarray]:
+        grams, begin = ngrams(*flat(pa.array(texts, pa.large_string())), n)
+        return [grams[a:b] for a, b in zip(begin[:-1], begin[1:])]
 
-    links, linked = similar(items, fetch, bands, threshold, least_matches(size, step, threshold, tolerance))
+    links, linked = similar(items, fetch, sets, bands, threshold, least_matches(size, step, threshold, tolerance))
     about = classes.select("equal", "rep").join(linked.withColumnRenamed("id", "rep"), "rep", "left").join(links.withColumnRenamed("id", "rep"), "rep", "left")
     about = about.select("equal", F.coalesce("component", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
     return signed.select("id", "equal").join(about, "equal").select(F.col("id").alias(id_col), "class_id", "n_links")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from .columns import mix, packed, pieces
-from .pairing import ROWS, if_small, minhash, set_of, similar
+from .pairing import BLOCK, ROWS, if_small, minhash, similar
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _CONTENT = r"[^\x20\x09-\x0D]"
@@ -36,15 +36,32 @@ def shingles(texts: list[str], n: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character n-grams of texts of at least ``n`` characters, and where each text's begin."""
     if n != 7:
         raise ValueError("n-grams of 7 characters are built from pairs and fours")
-    code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
-    two = code[:-1] * _A + code[1:]
-    four = mix(two[:-2] * _B + two[2:])
-    seven = mix(four[:-3] * _C + four[3:])
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    code += np.uint64(1)
+    two = code[:-1] * _A
+    two += code[1:]
+    four = two[:-2] * _B
+    four += two[2:]
+    seven = four[:-3] * _C
+    seven += four[3:]
     length = np.array([len(t) for t in texts])
-    count = length - 6
-    begin = np.append(0, np.cumsum(count))
-    place = np.arange(begin[-1]) + np.repeat(np.cumsum(length) - length - begin[:-1], count)
-    return seven[place], begin
+    head = np.cumsum(length) - length
+    inside = np.ones(len(code), bool)
+    for k in range(1, n):
+        inside[head + length - k] = False
+    return mix(seven[inside[: len(seven)]]), np.append(0, np.cumsum(length - n + 1))
+
+
+def signs(lines: list[str], size: int, n: int = 7) -> np.ndarray:
+    """MinHash values of lines, taken in blocks that stay in the cache."""
+    length = np.cumsum([len(x) for x in lines])
+    cuts = np.unique(np.append(np.searchsorted(length, np.arange(BLOCK, length[-1], BLOCK)), len(lines)))
+    out = []
+    for a, b in zip(np.append(0, cuts[:-1]), cuts):
+        if a < b:
+            grams, begin = shingles(lines[a:b], n)
+            out.append(minhash(grams, begin[:-1], size))
+    return np.concatenate(out)
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -70,9 +87,8 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
                         lines.append(line)
             if not lines:
                 continue
-            grams, begin = shingles(lines, n)
             equal = [hashlib.md5(x.encode()).digest() for x in lines]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(equal, pa.binary()), packed(minhash(grams, begin[:-1], bands * ROWS))], ["doc", "line_no", "equal", "sign"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(equal, pa.binary()), packed(signs(lines, bands * ROWS, n))], ["doc", "line_no", "equal", "sign"])
 
     signed = docs.mapInArrow(sign, "doc long, line_no int, equal binary, sign binary")
     place = F.struct("doc", "line_no")
@@ -81,25 +97,18 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     items = durable(items.select(F.monotonically_increasing_id().alias("id"), "equal", "x.doc", "x.line_no", "x.sign"))
 
     def fetch(wanted: DataFrame, rows: int) -> DataFrame:
-        at = items.join(if_small(wanted, rows), "id", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"))  # lines of one document
-        chosen = docs.join(if_small(at, rows).withColumnRenamed("doc", "id"), "id").select("text", "wanted")
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in pieces(batches, 0):
-                found, lines = [], []
-                for text, wanted_ in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    split = text.split("\n")
-                    # a row that shares its id with another may lack the line
-                    own = [(x["id"], split[x["line_no"]]) for x in wanted_ if x["line_no"] < len(split) and len(split[x["line_no"]]) >= n]
-                    found += [i for i, _ in own]
-                    lines += [x for _, x in own]
-                if found:
-                    grams, begin = shingles(lines, n)
-                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([set_of(grams[a:b]) for a, b in zip(begin[:-1], begin[1:])], pa.binary())], ["id", "shingles"])
-
-        return chosen.mapInArrow(sets, "id long, shingles binary")
-
-    _, linked = similar(items.select("id", "sign"), fetch, bands, threshold)
+        at = items.select("id", "doc", "line_no").join(if_small(wanted, rows), "id", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"))  # lines of one document
+        at = durable(at)
+        chosen = docs.join(if_small(at, rows).withColumnRenamed("doc", "id"), "id").select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+        # a row that shares its id with another may lack the line
+        found = chosen.select(F.col("w.id").alias("id"), F.get("lines", F.col("w.line_no")).alias("text"))
+        return found.filter(F.char_length("text") >= n)
+
+    def sets(lines: list[str]) -> list[np.ndarray]:
+        grams, begin = shingles(lines, n)
+        return [grams[a:b] for a, b in zip(begin[:-1], begin[1:])]
+
+    _, linked = similar(items.select("id", "sign"), fetch, sets, bands, threshold)
     grouped = items.select("id", "equal", "doc", "line_no").join(linked, "id")
     first = grouped.groupBy("component").agg(F.min(place).alias("first"))
     fuzzy = grouped.join(first, "component").select("equal", "first")

@@ -22,6 +22,7 @@ from .columns import mix
 
 ROWS = 4
 TILE = 256
+BLOCK = 1 << 16
 #: A side of at most so many rows of a few numbers is broadcast; larger ones are shuffled.
 SMALL = 2_000_000
 
@@ -33,19 +34,22 @@ def if_small(side: DataFrame, rows: int) -> DataFrame:
 def minhash(shingles: np.ndarray, first: np.ndarray, size: int, seed: int = 11) -> np.ndarray:
     """``size`` values of 16 bits for each run of ``shingles`` that begins at ``first``; no run is empty."""
     factors = np.random.default_rng(seed).integers(0, 1 << 31, size).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-    low = (shingles >> np.uint64(32)).astype(np.uint32)
-    out, product = np.empty((len(first), size), np.uint16), np.empty_like(low)
-    for k, f in enumerate(factors):
-        np.multiply(low, f, out=product)
-        # low bits of the smallest product; they are as random as the shingle
-        out[:, k] = np.minimum.reduceat(product, first).astype(np.uint16) if len(first) else 0
+    out = np.empty((len(first), size), np.uint16)
+    # blocks of runs that stay in the cache for all factors
+    cuts = np.unique(np.append(np.searchsorted(first, np.arange(0, len(shingles), BLOCK)), len(first)))
+    for a, b in zip(np.append(0, cuts[:-1]), cuts):
+        if a == b:
+            continue
+        begin, end = first[a], first[b] if b < len(first) else len(shingles)
+        low, heads = (shingles[begin:end] >> np.uint64(32)).astype(np.uint32), first[a:b] - begin
+        product = np.empty_like(low)
+        for k, f in enumerate(factors):
+            np.multiply(low, f, out=product)
+            # low bits of the smallest product; they are as random as the shingle
+            out[a:b, k] = np.minimum.reduceat(product, heads).astype(np.uint16)
     return out
 
 
-def set_of(shingles: np.ndarray) -> bytes:
-    return np.unique(shingles).tobytes()
-
-
 def least_matches(size: int, step: int, threshold: float, tolerance: float) -> list[tuple[int, int]]:
     """For each number n of compared values the fewest matches that keep a pair.
 
@@ -150,16 +154,16 @@ def candidates(items: DataFrame, members: DataFrame, prune: list[tuple[int, int]
     return ordered.mapInArrow(work, "bucket long, lo int, hi int, a array<long>, b array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, sets: Callable[[list[str]], list[np.ndarray]], threshold: float) -> DataFrame:
     """``id``, ``links`` and ``root`` of each item with a link in a pair of tiles.
 
-    ``sets`` has ``id`` and ``shingles``, sorted 64-bit hashes. ``root`` is the smallest
-    item of the links' component inside the pair of tiles.
+    ``texts`` has ``id`` and ``text``; ``sets`` makes the hashed shingles of texts.
+    ``root`` is the smallest item of the links' component inside the pair of tiles.
     """
     needed = pairs.select("bucket", "lo", "hi", F.explode(F.array_union("a", "b")).alias("id"))
     none = F.lit(None).cast("array<long>")
-    known = needed.join(sets, "id").select("bucket", "lo", "hi", F.lit(1).alias("kind"), "id", "shingles", none.alias("a"), none.alias("b"))
-    asked = pairs.select("bucket", "lo", "hi", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("shingles"), "a", "b")
+    known = needed.join(texts, "id").select("bucket", "lo", "hi", F.lit(1).alias("kind"), "id", "text", none.alias("a"), none.alias("b"))
+    asked = pairs.select("bucket", "lo", "hi", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "a", "b")
     both = known.unionByName(asked).repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "kind", "id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +172,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 continue
             a, b = (group.column(c)[0].values.to_numpy() for c in (6, 7))
             ids = group.column(4).to_numpy()[1:].astype(np.int64)
-            raw = [np.frombuffer(x, np.uint64) for x in group.column(5).to_pylist()[1:]]
+            raw = [np.unique(x) for x in sets(group.column(5).to_pylist()[1:])]
             size = np.array([len(x) for x in raw])
             _, codes = np.unique(np.concatenate(raw), return_inverse=True)
             begin = np.cumsum(size) - size
@@ -237,12 +241,13 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(tops)
 
 
-def similar(items: DataFrame, fetch: Callable[[DataFrame, int], DataFrame], bands: int, threshold: float, prune: list[tuple[int, int]] | None = None) -> tuple[DataFrame, DataFrame]:
+def similar(items: DataFrame, fetch: Callable[[DataFrame, int], DataFrame], sets: Callable[[list[str]], list[np.ndarray]], bands: int, threshold: float,
+            prune: list[tuple[int, int]] | None = None) -> tuple[DataFrame, DataFrame]:
     """Links of ``items`` (``id``, ``sign``): (``id``, ``links``) and (``id``, ``component``) of linked items.
 
-    ``fetch(ids, rows)`` returns ``id`` and ``shingles`` of the wanted ids.
+    ``fetch(ids, rows)`` returns ``id`` and ``text`` of the wanted ids, ``sets`` their shingles.
     """
     pairs = durable(candidates(items, buckets(items, bands), prune or []))
     wanted = durable(pairs.select(F.explode(F.array_union("a", "b")).alias("id")).distinct())
-    found = durable(verified(pairs, fetch(wanted, wanted.count()), threshold))
+    found = durable(verified(pairs, fetch(wanted, wanted.count()), sets, threshold))
     return found.groupBy("id").agg(F.sum("links").alias("links")), components(found)

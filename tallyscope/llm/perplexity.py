@@ -150,16 +150,29 @@ def score(docs: DataFrame, model: Model, table: DataFrame, chunk: int = 16 << 20
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, place = zstandard.ZstdCompressor(3), TaskContext.get().partitionId() << 32
-        for part in pieces(batches, 1, chunk):
-            numbers, count = shared.value.vocabulary.numbered(*flat(part.column(1)))
-            # the frame around the numbers: ids and languages as one Arrow stream
-            names = pa.BufferOutputStream()
-            with pa.ipc.new_stream(names, part.select([0, 2]).schema) as out:
-                out.write_batch(part.select([0, 2]))
+        place = TaskContext.get().partitionId() << 32
+        held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
+
+        def closed() -> pa.RecordBatch:
+            # ids and languages as one Arrow stream
+            names, press = pa.BufferOutputStream(), zstandard.ZstdCompressor(3)
+            with pa.ipc.new_stream(names, held[0][0].schema) as out:
+                for batch, _, _ in held:
+                    out.write_batch(batch)
+            numbers, count = (np.concatenate([h[k] for h in held]) for k in (1, 2))
             packed = [press.compress(x) for x in (names.getvalue().to_pybytes(), count.astype("<i4").tobytes(), numbers.astype("<u4").tobytes())]
-            yield pa.RecordBatch.from_arrays([pa.array([place]), *[pa.array([x], pa.binary()) for x in packed]], ["chunk", "rows", "count", "numbers"])
-            place += 1
+            return pa.RecordBatch.from_arrays([pa.array([place]), *[pa.array([x], pa.binary()) for x in packed]], ["chunk", "rows", "count", "numbers"])
+
+        size = 0
+        for part in pieces(batches, 1):
+            offsets, data = flat(part.column(1))
+            held.append((part.select([0, 2]), *shared.value.vocabulary.numbered(offsets, data)))
+            size += len(data)
+            if size >= chunk:
+                yield closed()
+                held, size, place = [], 0, place + 1
+        if held:
+            yield closed()
 
     # written once: the two uses below must see the same chunks
     chunks = durable(docs.select("id", "text", "lang").mapInArrow(number, "chunk long, rows binary, count binary, numbers binary"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import PIECE, flat, pieces
+from .columns import flat, pieces
 
 
 @dataclass(frozen=True)
@@ -285,7 +285,7 @@ def find(a: Automaton, offsets: np.ndarray, data: np.ndarray, width: int = 1 <<
     return found
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, piece: int = PIECE) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, piece: int = 4 << 20) -> DataFrame:
     """``id_col`` and ``spans`` of every row, ordered by start, then by the rules' order.
 
     Only the two columns are read; repeated ids stay separate rows.
