@@ -269,21 +269,21 @@ _HAV = ("2*6371000.0*atan2(sqrt(hv), sqrt(1-hv))")
 
 
 @query("j17_within_distance", f"""
-    WITH p AS (SELECT o_orderkey AS point_id, 8 + (o_orderkey*7919 % 29000)/1000.0::DOUBLE AS lat, 69 + (o_orderkey*104729 % 28000)/1000.0::DOUBLE AS lon FROM orders),
-    s AS (SELECT c_custkey AS site_id, 8 + (c_custkey*31337 % 29000)/1000.0::DOUBLE AS slat, 69 + (c_custkey*65537 % 28000)/1000.0::DOUBLE AS slon FROM customer),
+    WITH p AS (SELECT o_orderkey AS point_id, -89 + (o_orderkey*7919 % 178000)/1000.0::DOUBLE AS lat, -180 + (o_orderkey*104729 % 360000)/1000.0::DOUBLE AS lon FROM orders),
+    s AS (SELECT c_custkey AS site_id, -89 + (c_custkey*31337 % 178000)/1000.0::DOUBLE AS slat, -180 + (c_custkey*65537 % 360000)/1000.0::DOUBLE AS slon FROM customer),
     j AS (SELECT *, power(sin(radians(slat-lat)/2),2) + cos(radians(lat))*cos(radians(slat))*power(sin(radians(slon-lon)/2),2) AS hv
-          FROM p JOIN s ON abs(slat-lat) < 0.1 AND abs(slon-lon) < 0.13)
-    SELECT point_id, site_id, round({_HAV}, 3) AS distance_m FROM j WHERE {_HAV} <= 10000
+          FROM p JOIN s ON abs(slat-lat) < 1)
+    SELECT point_id, site_id, round({_HAV}, 3) AS distance_m FROM j WHERE {_HAV} <= 100000
     """)
 def j17(t: Tables) -> DataFrame:
     def place(key: str, a: int, b: int) -> tuple[Column, Column]:
-        return 8 + (F.col(key) * a % 29000) / F.lit(1000.0), 69 + (F.col(key) * b % 28000) / F.lit(1000.0)
+        return -89 + (F.col(key) * a % 178000) / F.lit(1000.0), -180 + (F.col(key) * b % 360000) / F.lit(1000.0)
 
     lat, lon = place("o_orderkey", 7919, 104729)
     slat, slon = place("c_custkey", 31337, 65537)
     points = t.orders.select(F.col("o_orderkey").alias("point_id"), lat.alias("lat"), lon.alias("lon"))
     sites = t.customer.select(F.col("c_custkey").alias("site_id"), slat.alias("site_lat"), slon.alias("site_lon"))
-    r = joins.within_distance(points, sites, 10_000)
+    r = joins.within_distance(points, sites, 100_000)
     return r.select("point_id", "site_id", rnd("distance_m", 3).alias("distance_m"))
 
 

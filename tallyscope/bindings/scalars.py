@@ -30,18 +30,20 @@ def x2(t: Tables) -> DataFrame:
     return t.events.select("event_id", scalar.risk_band(F.col("value")).alias("band"))
 
 
-@query("x3_indian_money", """
-    WITH v AS (SELECT o_orderkey, CAST(CAST(floor(o_totalprice) AS BIGINT)*(o_orderkey % 1000 + 1) AS BIGINT) AS w FROM orders),
-    s AS (SELECT *, CAST(w AS VARCHAR) AS s FROM v)
-    SELECT o_orderkey, CASE WHEN length(s) > 3 THEN reverse(regexp_replace(reverse(s[1:length(s)-3]), '(\\d{2})', '\\1,', 'g')) || ',' || right(s, 3) ELSE s END AS grouped,
-      w >= 10000000 AS is_crore FROM s
-    """.replace("reverse(regexp_replace(reverse(s[1:length(s)-3]), '(\\d{2})', '\\1,', 'g'))",
-                "ltrim(reverse(regexp_replace(reverse(s[1:length(s)-3]), '(\\d{2})', '\\1,', 'g')), ',')"))
+@query("x3_indian_money", r"""
+    WITH v AS (SELECT o_orderkey, CAST(o_totalprice * 100 AS BIGINT) * (o_orderkey % 1000 + 1) AS paise FROM orders),
+    a AS (SELECT *, CAST(paise // 100 AS VARCHAR) AS s, paise % 100 AS c, paise / 100.0::DOUBLE AS w FROM v),
+    g AS (SELECT *, CASE WHEN length(s) > 3 THEN ltrim(reverse(regexp_replace(reverse(s[1:length(s)-3]), '(\d{2})', '\1,', 'g')), ',') || ',' || right(s, 3) ELSE s END
+          || CASE WHEN c > 0 THEN '.' || lpad(CAST(c AS VARCHAR), 2, '0') ELSE '' END AS grouped FROM a)
+    SELECT o_orderkey, grouped,
+      CASE WHEN w >= 10000000 THEN 'Rs ' || regexp_replace(CAST(CAST(round(w / 10000000, 2) AS DECIMAL(30,2)) AS VARCHAR), '0$', '') || ' Cr'
+           WHEN w >= 100000 THEN 'Rs ' || regexp_replace(CAST(CAST(round(w / 100000, 2) AS DECIMAL(30,2)) AS VARCHAR), '0$', '') || ' L'
+           ELSE 'Rs ' || grouped END AS amount
+    FROM g
+    """)
 def x3(t: Tables) -> DataFrame:
-    w = F.floor("o_totalprice").cast("long") * (F.col("o_orderkey") % 1000 + 1)
-    return t.orders.select(
-        "o_orderkey", scalar.indian_grouping(w).alias("grouped"), scalar.human_amount(w.cast("double")).endswith("Cr").alias("is_crore")
-    )
+    w = F.round(F.col("o_totalprice") * 100).cast("long") * (F.col("o_orderkey") % 1000 + 1) / F.lit(100.0)
+    return t.orders.select("o_orderkey", scalar.indian_grouping(w).alias("grouped"), scalar.human_amount(w).alias("amount"))
 
 
 @query("x4_safe_parse", "SELECT event_id, coalesce(try_cast(regexp_replace(props, '[^0-9.\\-]', '', 'g') AS DOUBLE), 0) AS as_float, "

@@ -68,17 +68,20 @@ def clip(value: Column, low: float, high: float) -> Column:
 # -- money text -----------------------------------------------------------
 
 def indian_grouping(value: Column) -> Column:
-    """``12345678`` -> ``1,23,45,678``; two decimals only when above half a paisa."""
+    """Thousands, then pairs of digits: ``9876543`` -> ``98,76,543``.
+
+    Two decimals, rounded half up, only when the fraction is above half a paisa; a
+    fraction that rounds to 100 carries into the whole part.
+    """
     v = F.abs(value.cast("double"))
-    whole = F.floor(v).cast("string")
-    frac = v - F.floor(v)
-    head = F.expr("''")
-    head = F.when(F.length(whole) > 3, F.substring(whole, F.lit(1), F.length(whole) - 3)).otherwise(head)
+    some = v - F.floor(v) > 0.005
+    exact = F.when(some, F.round(v, 2).cast("decimal(38,2)")).otherwise(F.floor(v).cast("decimal(38,2)")).cast("string")
+    whole, cents = F.substring_index(exact, ".", 1), F.substring_index(exact, ".", -1)
+    head = F.when(F.length(whole) > 3, F.substring(whole, F.lit(1), F.length(whole) - 3)).otherwise(F.lit(""))
     tail = F.when(F.length(whole) > 3, F.right(whole, F.lit(3))).otherwise(whole)
     pairs = F.regexp_replace(F.reverse(head), r"(\d{2})(?=\d)", "$1,")
     grouped = F.when(F.length(head) > 0, F.concat(F.reverse(pairs), F.lit(","), tail)).otherwise(tail)
-    cents = F.lpad(F.round(frac * 100).cast("int").cast("string"), 2, "0")
-    body = F.when(frac > 0.005, F.concat(grouped, F.lit("."), cents)).otherwise(grouped)
+    body = F.when(some, F.concat(grouped, F.lit("."), cents)).otherwise(grouped)
     return F.when(value < 0, F.concat(F.lit("-"), body)).otherwise(body)
 
 
@@ -94,12 +97,17 @@ def to_crores(value: Column) -> Column:
     return F.round(value / CRORE, 2)
 
 
+def _plain(value: Column) -> Column:
+    """A number of two decimals without exponent; a second zero is left out."""
+    return F.regexp_replace(value.cast("decimal(38,2)").cast("string"), "0$", "")
+
+
 def human_amount(value: Column) -> Column:
     """Crore and lakh text for large amounts, grouped rupees otherwise."""
     size = F.abs(value)
     return (
-        F.when(size >= CRORE, F.concat(F.lit("Rs "), to_crores(value).cast("string"), F.lit(" Cr")))
-        .when(size >= LAKH, F.concat(F.lit("Rs "), to_lakhs(value).cast("string"), F.lit(" L")))
+        F.when(size >= CRORE, F.concat(F.lit("Rs "), _plain(to_crores(value)), F.lit(" Cr")))
+        .when(size >= LAKH, F.concat(F.lit("Rs "), _plain(to_lakhs(value)), F.lit(" L")))
         .otherwise(inr(value))
     )
 

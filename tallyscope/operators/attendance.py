@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 import numpy as np
@@ -127,13 +129,14 @@ def _hull(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     """Indices of points that can be an end of the longest great-circle distance.
 
     In a gnomonic view great circles are straight, so these are the corners of the
-    convex hull; points that do not fit one hemisphere are all kept.
+    convex hull, as long as no two points are more than a quarter of the globe apart.
+    That holds within 45 degrees of a centre; points spread wider are all kept.
     """
     la, lo = np.radians(lat), np.radians(lon)
     xyz = np.c_[np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)]
     mid = xyz.mean(axis=0)
     norm = np.linalg.norm(mid)
-    if norm < 1e-6 or (xyz @ (mid / norm)).min() < 0.05:
+    if norm < 1e-6 or (xyz @ (mid / norm)).min() < math.cos(math.radians(45)) + 1e-9:
         return np.arange(len(lat))
     mid = mid / norm
     east = np.cross([0.0, 0.0, 1.0], mid)
@@ -165,6 +168,7 @@ def max_spread(df: DataFrame, keys: Sequence[str], lat: str, lon: str, direct: i
 
     Small keys compare their places directly. A key with many places is cut into
     chunks, each reduced to its hull corners; corners of all chunks then compare.
+    ``direct`` and ``chunk`` set the way only: both ways are exact.
     """
     keys = list(keys)
     places = df.filter((F.col(lat) != 0) & (F.col(lon) != 0)).select(*keys, F.col(lat).alias("_la"), F.col(lon).alias("_lo")).distinct()

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import METRES_PER_DEGREE, haversine_m
+from ..functions.geo import EARTH_RADIUS_M, METRES_PER_DEGREE, haversine_m
 
 # Which analysis follows which kind of anomaly.
 ROUTES = {
@@ -202,25 +202,33 @@ def compare_measures(detected: DataFrame, reported: DataFrame, keys: Sequence[st
     )
 
 
-def within_distance(points: DataFrame, sites: DataFrame, radius_m: float, max_abs_lat: float = 37.0) -> DataFrame:
-    """Point-site pairs within a radius.
+def within_distance(points: DataFrame, sites: DataFrame, radius_m: float) -> DataFrame:
+    """Point-site pairs within a radius, anywhere on the globe.
 
     ``points`` has ``point_id, lat, lon``; ``sites`` has ``site_id, site_lat,
-    site_lon``. Cells are at least one radius wide, so a site is listed in its own
-    and the eight cells around it, and points join once on their cell.
+    site_lon``. Bands of latitude are one radius high and cut into whole cells that
+    are about one radius wide in their band. A site is listed in every cell that its
+    circle's box touches in its own and the two bands beside it, across the 180th
+    meridian and around the poles; a point joins on its one cell.
     """
-    dlat = radius_m / METRES_PER_DEGREE * 1.01
-    dlon = dlat / math.cos(math.radians(min(max_abs_lat, 85.0)))
-
-    def cell(col: Column, width: float) -> Column:
-        return F.floor(col / width).cast("int")
-
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    around = (
-        sites.withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps))
-        .withColumn("_cy", cell(F.col("site_lat"), dlat) + F.col("_dy"))
-        .withColumn("_cx", cell(F.col("site_lon"), dlon) + F.col("_dx")).drop("_dy", "_dx")
-    )
-    placed = points.withColumn("_cy", cell(F.col("lat"), dlat)).withColumn("_cx", cell(F.col("lon"), dlon))
+    high = radius_m / METRES_PER_DEGREE * 1.01
+    reach = radius_m / EARTH_RADIUS_M * 1.0001
+
+    def cells(band: Column) -> Column:
+        widest = F.least(F.greatest(F.abs(band * high), F.abs((band + 1) * high)), F.lit(90.0))
+        return F.greatest(F.floor(360.0 * F.cos(F.radians(widest)) / high), F.lit(1)).cast("long")
+
+    def column(lon: Column, band: Column) -> Column:
+        return F.floor((lon + 180.0) * cells(band) / 360.0).cast("long")
+
+    sine = F.sin(F.lit(min(reach, math.pi / 2))) / F.greatest(F.cos(F.radians("site_lat")), F.lit(1e-12))
+    pole = F.abs(F.radians("site_lat")) + reach >= math.pi / 2
+    wide = F.when(pole | (sine >= 1), F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(sine, F.lit(1.0)))) * 1.0001)
+    band = F.floor(F.col("site_lat") / high).cast("long")
+    around = sites.withColumn("_cy", F.explode(F.sequence(band - 1, band + 1))).withColumn("_k", cells(F.col("_cy")))
+    first, last = column(F.col("site_lon") - wide, F.col("_cy")), column(F.col("site_lon") + wide, F.col("_cy"))
+    around = around.withColumn("_cx", F.explode(F.sequence(first, F.least(last, first + F.col("_k") - 1)))).withColumn("_cx", F.pmod("_cx", "_k")).drop("_k")
+    placed = points.withColumn("_cy", F.floor(F.col("lat") / high).cast("long"))
+    placed = placed.withColumn("_cx", F.pmod(column(F.col("lon"), F.col("_cy")), cells(F.col("_cy"))))
     dist = haversine_m(F.col("lat"), F.col("lon"), F.col("site_lat"), F.col("site_lon"))
     return placed.join(around, ["_cy", "_cx"]).withColumn("distance_m", dist).filter(F.col("distance_m") <= radius_m).drop("_cy", "_cx")
