@@ -6,7 +6,7 @@ the smallest distance. A hash function is one random projection. Rows are dealt
 a hash of their id into blocks of about ``block`` rows, queries likewise; every
 block of rows meets every block of queries in one task, where each projection is an
 array sorted by value. A query opens a window around its own value in every array;
-a row inside the window collides. Rows that collide in ``threshold`` arrays or more
+a row whose place in the array is inside the window collides. Rows that collide in ``threshold`` arrays or more
 are verified by their exact inner product. As long as the k-th best verified row is
 farther away than the radius the windows stand for, all windows grow by ``growth``
 (virtual rehashing: no array is built again).
@@ -45,49 +45,52 @@ def search_block(rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, que
     unit = rows / longest
     rest = np.sqrt(np.maximum(0.0, 1.0 - (unit**2).sum(axis=1)))
     values = axes[:, :-1] @ unit.T + axes[:, -1:] * rest
-    order = np.argsort(values, axis=1).astype(np.int32)
+    order = np.argsort(values, axis=1)
     values = np.take_along_axis(values, order, axis=1)
     norms = np.sqrt((queries**2).sum(axis=1))
     centres = axes[:, :-1] @ (queries / norms[:, None]).T
-    out = []
-    for q in range(len(queries)):
-        counts, open_ = np.zeros(n, np.int64), np.ones(n, bool)
-        open_[row_ids == query_ids[q]] = False
-        here, scores = np.zeros(0, np.int64), np.zeros(0)
-        reach, lo, hi = radius, None, None
-        while True:
-            left = [int(np.searchsorted(v, c - reach, "left")) for v, c in zip(values, centres[:, q])]
-            right = [int(np.searchsorted(v, c + reach, "right")) for v, c in zip(values, centres[:, q])]
-            if lo is None:
-                fresh = [order[i, a:b] for i, (a, b) in enumerate(zip(left, right))]
-            else:
-                fresh = [order[i, a:b] for i, (a, b) in enumerate(zip(left, lo))] + [order[i, a:b] for i, (a, b) in enumerate(zip(hi, right))]
-            lo, hi = left, right
-            counts += np.bincount(np.concatenate(fresh), minlength=n)
-            found = np.flatnonzero((counts >= need) & open_)
+    own = np.argsort(row_ids, kind="stable")
+    # place of each row in each array, counted from the window's lower end without sign
+    kind, tally = (np.uint16 if n < 1 << 16 else np.uint32), (np.uint8 if projections < 256 else np.uint16)
+    places = np.empty((projections, n), kind)
+    np.put_along_axis(places, order, np.arange(n, dtype=kind)[None, :].repeat(projections, axis=0), axis=1)
+    ahead, inside = np.empty_like(places), np.empty(places.shape, bool)
+    closed = np.zeros((len(queries), n), bool)
+    for q, who in enumerate(query_ids):
+        closed[q, own[np.searchsorted(row_ids[own], who) : np.searchsorted(row_ids[own], who, "right")]] = True
+    here = [np.zeros(0, np.int64) for _ in queries]
+    scores = [np.zeros(0) for _ in queries]
+    active, reach = list(range(len(queries))), radius
+    while active:
+        lo = np.array([np.searchsorted(v, c - reach, "left") for v, c in zip(values, centres)])
+        hi = np.array([np.searchsorted(v, c + reach, "right") for v, c in zip(values, centres)])
+        going = []
+        for q in active:
+            np.subtract(places, lo[:, q, None].astype(kind), out=ahead)
+            np.less(ahead, (hi - lo)[:, q, None].astype(kind), out=inside)
+            collisions = np.add.reduce(inside.view(np.uint8), axis=0, dtype=tally)
+            found = np.flatnonzero((collisions >= need) & ~closed[q])
             if len(found):
-                open_[found] = False
-                here = np.concatenate([here, found])
+                closed[q, found] = True
                 # row by row, so that equal vectors get equal numbers
-                scores = np.concatenate([scores, np.einsum("ij,j->i", rows[found], queries[q])])
-                if len(here) > 4 * k:
-                    best = np.lexsort((row_ids[here], -scores))[:k]
-                    here, scores = here[best], scores[best]
-            if len(here) >= k:
-                # distance of the k-th best among unit vectors
-                cosine = np.partition(scores, len(scores) - k)[len(scores) - k] / (norms[q] * longest)
-                if np.sqrt(max(0.0, 2 - 2 * cosine)) <= reach:
-                    break
-            if not open_.any() or all(b - a == n for a, b in zip(lo, hi)):
-                break
-            reach *= growth
-        best = np.lexsort((row_ids[here], -scores))[:k]
-        out.append((q, here[best], scores[best]))
+                both = np.concatenate([here[q], found]), np.concatenate([scores[q], np.einsum("ij,j->i", rows[found], queries[q])])
+                best = np.lexsort((row_ids[both[0]], -both[1]))[:k] if len(both[0]) > k else slice(None)
+                here[q], scores[q] = both[0][best], both[1][best]
+            # distance of the k-th best among unit vectors
+            cosine = scores[q].min() / (norms[q] * longest) if len(here[q]) >= k else -1.0
+            near = len(here[q]) >= k and np.sqrt(max(0.0, 2 - 2 * cosine)) <= reach
+            if not near and not (hi[:, q] - lo[:, q] == n).all():
+                going.append(q)
+        active, reach = going, reach * growth
+    out = []
+    for q in range(len(queries)):
+        best = np.lexsort((row_ids[here[q]], -scores[q]))
+        out.append((q, here[q][best], scores[q][best]))
     return out
 
 
 def search(df: DataFrame, asks: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", projections: int = 64, miss: float = 0.1,
-           growth: float = 1.15, radius: float = 0.4, block: int = 8192, query_block: int = 2048, seed: int = 7) -> DataFrame:
+           growth: float = 1.2, radius: float = 0.5, block: int = 8192, query_block: int = 1024, seed: int = 7) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the k nearest rows of each row where ``asks``."""
     given = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), asks.alias("asks"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
