@@ -208,34 +208,46 @@ def j13(t: Tables) -> DataFrame:
     return r.withColumn("similarity", rnd("similarity", 8))
 
 
-def sign_hash(vec: Column) -> Column:
-    """64-bit sign hash of a vector's first 64 numbers."""
-    bits = F.transform(F.slice(vec, 1, 64), lambda x: F.when(x > 0, 1).otherwise(0).cast("long"))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda h, b: F.shiftleft(h, 1).bitwiseOR(b))
+def order_hashes(t: Tables) -> DataFrame:
+    """64-bit hash of each order: its customer's, with up to six bits turned by the order, so that near copies abound."""
+    digest = F.md5(F.col("o_custkey").cast("string"))
+    half = [F.conv(F.substring(digest, a, 8), 16, 10).cast("long") for a in (1, 9)]
+    turned = F.lit(0).cast("long")
+    for i in range(6):
+        bit = F.expr(f"shiftleft(1L, CAST((o_orderkey * {2 * i + 7} + {11 * i}) % 64 AS INT))")
+        turned = turned.bitwiseXOR(F.when(F.col("o_orderkey") % 7 > i, bit).otherwise(F.lit(0).cast("long")))
+    h = F.shiftleft(half[0], 32).bitwiseOR(half[1]).bitwiseXOR(turned)
+    rows = t.orders.withColumn("h64", h).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return rows.select("o_orderkey", F.col("c_nationkey").alias("scope"), "h64")
 
 
-HASH = ("h AS (SELECT vec_id, label, list_reduce(list_prepend(0::HUGEINT, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1::HUGEINT ELSE 0::HUGEINT END)), lambda a, b: a*2 + b) AS h FROM embeddings)")
+def _turned_sql() -> str:
+    value = "('0x' || md5(CAST(o_custkey AS VARCHAR))[1:16])::UBIGINT"
+    for i in range(6):
+        bit = f"1::UBIGINT << ((o_orderkey * {2 * i + 7} + {11 * i}) % 64)::INT"
+        value = f"xor({value}, CASE WHEN o_orderkey % 7 > {i} THEN {bit} ELSE 0::UBIGINT END)"
+    return value
 
 
-def _hamming_sql(scoped: bool, distance: int) -> str:
-    same = "AND a.label = b.label" if scoped else ""
-    scope = "label," if scoped else ""
-    out = "a.label AS scope," if scoped else ""
-    return (f"WITH {HASH}, f AS (SELECT {scope} h, min(vec_id) AS rep, count(*) AS members FROM h GROUP BY {scope} h), "
-            f"p AS (SELECT {out} a.rep AS a, b.rep AS b, a.members AS members_a, b.members AS members_b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance "
-            f"FROM f a JOIN f b ON (a.rep < b.rep OR (a.rep = b.rep AND a.members > 1)) {same}) SELECT * FROM p WHERE distance <= {distance}")
+HASH = f"h AS (SELECT o_orderkey AS id, c_nationkey AS scope, {_turned_sql()} AS h FROM orders JOIN customer ON o_custkey = c_custkey)"
 
 
-@query("j14_hamming_join", _hamming_sql(False, 15))
+def _hamming_sql(distance: int, scope: str = "") -> str:
+    """``scope`` is empty or ``scope,``."""
+    same, out = ("a.scope = b.scope AND", "a.scope,") if scope else ("", "")
+    return (f"WITH {HASH}, f AS (SELECT {scope} h, min(id) AS rep, count(*) AS members FROM h GROUP BY {scope} h) "
+            f"SELECT {out} a.rep AS a, b.rep AS b, a.members AS members_a, b.members AS members_b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance "
+            f"FROM f a JOIN f b ON {same} (a.rep < b.rep OR (a.rep = b.rep AND a.members > 1)) AND bit_count(xor(a.h, b.h)) <= {distance}")
+
+
+@query("j14_hamming_join", _hamming_sql(10))
 def j14(t: Tables) -> DataFrame:
-    h = t.embeddings.select("vec_id", sign_hash(F.col("embedding")).alias("h64"))
-    return similarity.hamming_pairs(h, [], "vec_id", "h64", 15, bands=8)
+    return similarity.hamming_pairs(order_hashes(t), [], "o_orderkey", "h64", 10)
 
 
-@query("j14_hamming_scoped", _hamming_sql(True, 15))
+@query("j14_hamming_scoped", _hamming_sql(10, "scope,"))
 def j14_scoped(t: Tables) -> DataFrame:
-    h = t.embeddings.select("vec_id", F.col("label").alias("scope"), sign_hash(F.col("embedding")).alias("h64"))
-    return similarity.hamming_pairs(h, ["scope"], "vec_id", "h64", 15, bands=8)
+    return similarity.hamming_pairs(order_hashes(t), ["scope"], "o_orderkey", "h64", 10)
 
 
 @query("j15_best_scenes", f"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import photos as P
 from .base import Tables, query, rnd
-from .joins import HASH, sign_hash
+from .joins import HASH, order_hashes
 from .scalars import spot, spot_sql
 
 
@@ -58,12 +58,12 @@ def p1(t: Tables) -> DataFrame:
     return r.select("work_id", "photo_id", rnd(F.round(F.col("detail").cast("double"), 1) / 1000, 3).alias("detail_km"))
 
 
-@query("p2_near_duplicates", f"WITH {HASH}, f AS (SELECT label, h, min(vec_id) AS rep, count(*) AS members FROM h GROUP BY 1, 2), "
-       "p AS (SELECT a.label AS work_id, a.rep AS a, b.rep AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM f a JOIN f b ON a.label = b.label AND (a.rep < b.rep OR (a.rep = b.rep AND a.members > 1))) "
-       "SELECT *, CASE WHEN distance <= 5 THEN 'critical' ELSE 'high' END AS severity FROM p WHERE distance <= 20")
+@query("p2_near_duplicates", f"WITH {HASH}, f AS (SELECT scope, h, min(id) AS rep, count(*) AS members FROM h GROUP BY 1, 2), "
+       "p AS (SELECT a.scope AS work_id, a.rep AS a, b.rep AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM f a JOIN f b ON a.scope = b.scope AND (a.rep < b.rep OR (a.rep = b.rep AND a.members > 1))) "
+       "SELECT *, CASE WHEN distance <= 5 THEN 'critical' ELSE 'high' END AS severity FROM p WHERE distance <= 10")
 def p2(t: Tables) -> DataFrame:
-    rows = t.embeddings.select(F.col("label").alias("work_id"), F.col("vec_id").alias("photo_id"), sign_hash(F.col("embedding")).alias("phash"))
-    return P.near_duplicates(rows, ("work_id",), 20, bands=8).drop("members_a", "members_b")
+    rows = order_hashes(t).select(F.col("scope").alias("work_id"), F.col("o_orderkey").alias("photo_id"), F.col("h64").alias("phash"))
+    return P.near_duplicates(rows).drop("members_a", "members_b")
 
 
 @query("p3_reused_hashes", f"WITH {PHOTOS} SELECT phash_hex, count(DISTINCT work_id) AS works, count(*) AS photos FROM photos GROUP BY 1 HAVING count(DISTINCT work_id) > 1")

@@ -54,9 +54,9 @@ def edited(photos: DataFrame) -> DataFrame:
     return _finding(photos.filter(F.lower("software").rlike(pattern)), "software_editing", "critical", F.col("software"))
 
 
-def near_duplicates(photos: DataFrame, scope: Sequence[str] = ("work_id",), max_distance: int = 10, bands: int = 4) -> DataFrame:
+def near_duplicates(photos: DataFrame, scope: Sequence[str] = ("work_id",), max_distance: int = 10, equal: int = 3) -> DataFrame:
     """Near-equal pictures inside a scope (work or district), by 64-bit hash."""
-    pairs = hamming_pairs(photos, list(scope), "photo_id", "phash", max_distance, bands)
+    pairs = hamming_pairs(photos, list(scope), "photo_id", "phash", max_distance, equal)
     return pairs.withColumn("severity", F.when(F.col("distance") <= 5, "critical").otherwise("high"))
 
 

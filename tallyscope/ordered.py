@@ -18,10 +18,17 @@ from pyspark.sql import Window as W
 
 
 def value_bucket(value: Column, per_octave: int = 64) -> Column:
-    """Monotone integer class of a number on a log scale (about 1 % wide)."""
+    """Monotone integer class of a number: its exponent and the leading part of its mantissa.
+
+    About 1 % wide at any magnitude, so shares and scores below 1 are told apart as
+    well as amounts. Zero is class 0.
+    """
     v = value.cast("double")
-    scaled = F.floor(F.log2(F.abs(v) + 1.0) * per_octave).cast("long")
-    return F.when(v < 0, -scaled - 1).otherwise(scaled)
+    size = F.abs(v)
+    exponent = F.floor(F.log2(F.least(size, F.lit(1.7e308))))
+    scaled = (exponent + 1100) * per_octave + F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * per_octave)
+    scaled = F.when(size == 0, F.lit(0)).otherwise(F.least(scaled, F.lit(2200 * per_octave))).cast("long")
+    return F.when(v < 0, -scaled).otherwise(scaled)
 
 
 def _null_safe(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:

@@ -1,5 +1,7 @@
 """The skew-proof building blocks against plain pandas and sequential code."""
 
+import collections
+import itertools
 import random
 
 import numpy as np
@@ -141,6 +143,23 @@ def test_hamming_pairs_are_complete(spark):
     reps = sorted(first.values())
     want = {(a, b): bin(hashes[a] ^ hashes[b]).count("1") for a in reps for b in reps if a < b and bin(hashes[a] ^ hashes[b]).count("1") <= 10}
     assert got == want
+    pairs = similarity.hamming_pairs(df, [], "i", "h", 6, equal=2)
+    assert pairs.count() == len({(r["a"], r["b"]) for r in pairs.collect()}) == sum(d <= 6 for d in want.values()) + sum(hashes.count(hashes[r]) > 1 for r in reps)
+
+
+def test_hamming_candidates_are_few():
+    """Chance meetings of random hashes at distance 10, among the ordered pairs."""
+    rnd = random.Random(5)
+    n = 1500
+    hashes = [rnd.getrandbits(64) for _ in range(n)]
+    slices = similarity._slices(13)
+    met = 0
+    for chosen in itertools.combinations(slices, 3):
+        mask = sum(((1 << w) - 1) << f for f, w in chosen)
+        met += sum(c * (c - 1) // 2 for c in collections.Counter(h & mask for h in hashes).values())
+    share = met / (n * (n - 1))
+    print(f"candidates: {share:.2%} of the ordered pairs")
+    assert share < 0.01
 
 
 def test_spread_of_a_crowded_day(spark):
