@@ -73,7 +73,11 @@ def search_block(rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, que
             if len(found):
                 closed[q, found] = True
                 # row by row, so that equal vectors get equal numbers
-                both = np.concatenate([here[q], found]), np.concatenate([scores[q], np.einsum("ij,j->i", rows[found], queries[q])])
+                products = np.einsum("ij,j->i", rows[found], queries[q])
+                if len(here[q]) >= k:
+                    better = products >= scores[q].min()
+                    found, products = found[better], products[better]
+                both = np.concatenate([here[q], found]), np.concatenate([scores[q], products])
                 best = np.lexsort((row_ids[both[0]], -both[1]))[:k] if len(both[0]) > k else slice(None)
                 here[q], scores[q] = both[0][best], both[1][best]
             # distance of the k-th best among unit vectors
@@ -90,7 +94,7 @@ def search_block(rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, que
 
 
 def search(df: DataFrame, asks: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", projections: int = 64, miss: float = 0.1,
-           growth: float = 1.2, radius: float = 0.5, block: int = 8192, query_block: int = 1024, seed: int = 7) -> DataFrame:
+           growth: float = 1.1, radius: float = 0.9, block: int = 8192, query_block: int = 1024, seed: int = 7) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the k nearest rows of each row where ``asks``."""
     given = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), asks.alias("asks"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
