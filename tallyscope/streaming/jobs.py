@@ -26,22 +26,28 @@ def upload_bursts(stream: DataFrame, work: str, ts: str, gap: str = "300 seconds
 
 
 def rapid_transfers(stream: DataFrame, fto: str, account: str, ts: str, amount: str, hours: int = 24, late: str = "1 hour") -> DataFrame:
-    """Orders paid to two or more accounts within a day.
-
-    State per order: count, first, last, total, and the first account with a flag
-    that a second one was seen; its size does not grow with the payments.
+    """Orders paid to two or more accounts within a day, as far as payments are known.
+
+    An order is judged when the watermark has passed its last payment by the span.
+    State per order: count, first, last, total, the first account with a flag that a
+    second one was seen, and the last verdict told; its size does not grow with the
+    payments, and it stays, so that later payments correct the verdict. Of the rows of
+    an order the one with most ``payments`` holds; ``rapid`` is false where a later
+    payment took it back.
     """
     span = hours * 3_600_000
-    out = f"{fto} string, payments long, several boolean, span_hours double, total_amount double"
+    columns = [fto, "payments", "several", "span_hours", "total_amount", "rapid"]
+    out = f"{fto} string, payments long, several boolean, span_hours double, total_amount double, rapid boolean"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            n, lo, hi, total, _, several = state.get
-            state.remove()
-            if n >= 2 and several and hi - lo <= span:
-                yield pd.DataFrame([(key[0], n, True, (hi - lo) / 3_600_000, total)], columns=[fto, "payments", "several", "span_hours", "total_amount"])
+            n, lo, hi, total, first, several, told = state.get
+            rapid = bool(n >= 2 and several and hi - lo <= span)
+            state.update((n, lo, hi, total, first, several, rapid))
+            if rapid or told:
+                yield pd.DataFrame([(key[0], n, several, (hi - lo) / 3_600_000, total, rapid)], columns=columns)
             return
-        n, lo, hi, total, first, several = state.get if state.exists else (0, None, None, 0.0, None, False)
+        n, lo, hi, total, first, several, told = state.get if state.exists else (0, None, None, 0.0, None, False, False)
         for pdf in batches:
             ms = pdf[ts].astype("datetime64[ms]").astype("int64")
             n += len(pdf)
@@ -51,12 +57,12 @@ def rapid_transfers(stream: DataFrame, fto: str, account: str, ts: str, amount:
             names = pdf[account].astype(str)
             first = names.iloc[0] if first is None else first
             several = bool(several or (names != first).any())
-        state.update((n, lo, hi, total, first, several))
+        state.update((n, lo, hi, total, first, several, told))
         state.setTimeoutTimestamp(max(hi + span, state.getCurrentWatermarkMs()) + 1)
 
     rows = stream.withWatermark(ts, late).select(F.col(fto).cast("string").alias(fto), F.col(account).cast("string").alias(account), ts, F.col(amount).cast("double").alias(amount))
     return rows.groupBy(fto).applyInPandasWithState(
-        step, out, "n long, lo long, hi long, total double, first string, several boolean", "append", GroupStateTimeout.EventTimeTimeout
+        step, out, "n long, lo long, hi long, total double, first string, several boolean, told boolean", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -68,11 +74,11 @@ def reused_hashes(stream: DataFrame, hash_col: str, work: str) -> DataFrame:
         first, told = state.get if state.exists else (None, False)
         hit = None
         for pdf in batches:
-            for w in pdf[work]:
-                if first is None:
-                    first = w
-                elif w != first and not told:
-                    told, hit = True, w
+            works = pdf[work].unique()
+            first = works[0] if first is None else first
+            others = works[works != first]
+            if len(others) and not told:
+                told, hit = True, others[0]
         state.update((first, told))
         if hit is not None:
             yield pd.DataFrame([(key[0], first, hit)], columns=[hash_col, "first_work", "other_work"])
@@ -103,6 +109,28 @@ def daily_counts(stream: DataFrame, ts: str, kind: str, late: str = "1 hour") ->
     )
 
 
+def drain(stream: DataFrame, ts: str, build: Callable[[DataFrame], DataFrame], folder: str, closing: dict[str, object] | None = None) -> DataFrame:
+    """Everything that ``build(stream)`` emits until the landed input ends, open groups included.
+
+    The query runs to the end of the input. Then one closing row of a far time lands
+    in a folder that the query also reads, and it runs on from its checkpoint: the
+    watermark passes all groups, which are emitted. The closing row has ``closing``
+    and is null elsewhere; its own group stays open.
+    """
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/end")
+    ends = spark.readStream.schema(stream.schema).parquet(f"{folder}/end")
+    out = build(stream.unionByName(ends))
+    for last in (False, True):
+        if last:
+            values = {**(closing or {}), ts: "2200-01-01"}
+            row = spark.range(1).select(*[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in stream.schema])
+            row.write.mode("append").parquet(f"{folder}/end")
+        run = out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
+        run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/rows")
+
+
 def merge_stream(
     stream: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], keys: Sequence[str], update: Sequence[str],
     order: Sequence[str], checkpoint: str,
