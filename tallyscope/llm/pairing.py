@@ -68,27 +68,39 @@ def least_matches(size: int, step: int, threshold: float, tolerance: float) -> l
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+Columns = list  # of numpy arrays (integers, null as 0) and lists (everything else)
+
+
+def _plain(column: pa.Array):
+    return column.fill_null(0).to_numpy(zero_copy_only=False) if pa.types.is_integer(column.type) else column.to_pylist()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[Columns]:
     """Consecutive rows that agree in the first ``keys`` columns, across batches."""
-    carry: pa.Table | None = None
+    parts: list[Columns] = []  # of the group that is still open
+
+    def closed() -> Columns:
+        if len(parts) == 1:
+            return parts[0]
+        return [np.concatenate(c) if isinstance(c[0], np.ndarray) else [x for part in c for x in part] for c in zip(*parts)]
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        if carry is not None:
-            table = pa.concat_tables([carry, table]).combine_chunks()
-        columns = [table.column(i).to_numpy() for i in range(keys)]
-        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        cuts = [0, *new.tolist(), table.num_rows]
-        for a, b in zip(cuts[:-2], cuts[1:-1]):
-            yield table.slice(a, b - a)
-        carry = table.slice(cuts[-2])
-    if carry is not None:
-        yield carry
+        columns = [_plain(c) for c in batch.columns]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:keys]], axis=0)) + 1
+        cuts = [0, *new.tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if parts and any(parts[-1][k][-1] != columns[k][a] for k in range(keys)):
+                yield closed()
+                parts = []
+            parts.append([c[a:b] for c in columns])
+    if parts:
+        yield closed()
 
 
-def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.array([np.frombuffer(x, kind) for x in column.to_pylist()])
+def _matrix(rows: list[bytes], kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1)
 
 
 def buckets(items: DataFrame, bands: int) -> DataFrame:
@@ -98,7 +110,7 @@ def buckets(items: DataFrame, bands: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            signs = _matrix(batch.column(1), np.uint16)[:, : bands * ROWS]
+            signs = _matrix(batch.column(1).to_pylist(), np.uint16)[:, : bands * ROWS]
             keys = np.ascontiguousarray(signs).view(np.uint64)
             keys = mix(keys + mix(np.arange(1, bands + 1)))
             where = np.repeat(np.arange(batch.num_rows), bands)
@@ -109,10 +121,10 @@ def buckets(items: DataFrame, bands: int) -> DataFrame:
 
     # one shuffle serves the counts and the join
     rows = items.select("id", "sign").mapInArrow(explode, "bucket long, band byte, id long").repartition("bucket")
-    counts = rows.groupBy("bucket").agg(F.min("band").alias("_band"), F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("_sum"), F.min("id").alias("_min"))
+    counts = rows.groupBy("bucket").agg(F.min("band").alias("_band"), F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("id")).alias("_xor"), F.sum(F.hash("id").cast("long")).alias("_sum"))
     counts = counts.filter("members > 1")
     # buckets of other bands with the same members: the first band stays
-    once = counts.groupBy("members", "_sum", "_min").agg(F.min(F.struct("_band", "bucket")).alias("b"))
+    once = counts.groupBy("members", "_xor", "_sum").agg(F.min(F.struct("_band", "bucket")).alias("b"))
     kept = once.select(F.col("b.bucket").alias("bucket"), "members")
     return rows.join(kept, "bucket")
 
@@ -128,9 +140,8 @@ def candidates(items: DataFrame, members: DataFrame, prune: list[tuple[int, int]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
-            lo, hi = group.column(1)[0].as_py(), group.column(2)[0].as_py()
-            band, ids = group.column(4)[0].as_py(), group.column(5).to_numpy()
-            signs, tile = _matrix(group.column(6), np.uint16), group.column(3).to_numpy()
+            _, lo, hi, tile, bands_, ids, raw = group
+            lo, hi, band, signs = lo[0], hi[0], int(bands_[0]), _matrix(raw, np.uint16)
             second = int(np.searchsorted(tile, hi)) if lo != hi else 0
             left, right = [], []
             for i in range(second if lo != hi else len(ids) - 1):
@@ -149,7 +160,7 @@ def candidates(items: DataFrame, members: DataFrame, prune: list[tuple[int, int]
             a = np.concatenate(left) if left else np.zeros(0, np.int64)
             if len(a):
                 b = np.concatenate(right)
-                yield pa.RecordBatch.from_arrays([*[group.column(c).slice(0, 1).combine_chunks() for c in range(3)], pa.array([a]), pa.array([b])], ["bucket", "lo", "hi", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(group[0][:1], pa.int64()), pa.array([lo], pa.int32()), pa.array([hi], pa.int32()), pa.array([a]), pa.array([b])], ["bucket", "lo", "hi", "a", "b"])
 
     return ordered.mapInArrow(work, "bucket long, lo int, hi int, a array<long>, b array<long>")
 
@@ -168,11 +179,11 @@ def verified(pairs: DataFrame, texts: DataFrame, sets: Callable[[list[str]], lis
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
-            if group.num_rows < 3:
+            _, _, _, _, ids, texts_, a, b = group
+            if len(ids) < 3 or a[0] is None:
                 continue
-            a, b = (group.column(c)[0].values.to_numpy() for c in (6, 7))
-            ids = group.column(4).to_numpy()[1:].astype(np.int64)
-            raw = [np.unique(x) for x in sets(group.column(5).to_pylist()[1:])]
+            a, b, ids = np.array(a[0]), np.array(b[0]), ids[1:]
+            raw = [np.unique(x) for x in sets(texts_[1:])]
             size = np.array([len(x) for x in raw])
             _, codes = np.unique(np.concatenate(raw), return_inverse=True)
             begin = np.cumsum(size) - size

@@ -177,14 +177,14 @@ def score(docs: DataFrame, model: Model, table: DataFrame, chunk: int = 16 << 20
     # written once: the two uses below must see the same chunks
     chunks = durable(docs.select("id", "text", "lang").mapInArrow(number, "chunk long, rows binary, count binary, numbers binary"))
 
-    def opened(batch: pa.RecordBatch | pa.Table, i: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-        names, count, numbers = (zstandard.ZstdDecompressor().decompress(batch.column(c)[i].as_py()) for c in (1, 2, 3))
+    def opened(packed: list[bytes]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        names, count, numbers = map(zstandard.ZstdDecompressor().decompress, packed)
         return pa.ipc.open_stream(names).read_all(), np.frombuffer(count, "<i4"), np.frombuffer(numbers, "<u4")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                _, count, numbers = opened(batch, i)
+                _, count, numbers = opened([batch.column(c)[i].as_py() for c in (1, 2, 3)])
                 codes = np.unique(bigrams(numbers.astype(np.int64), count))
                 for a in range(0, len(codes), 100_000):
                     part = codes[a : a + 100_000]
@@ -198,8 +198,8 @@ def score(docs: DataFrame, model: Model, table: DataFrame, chunk: int = 16 << 20
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 1):
-            rows, count, numbers = opened(group, 0)
-            seen, n = (group.column(c).to_numpy()[1:].astype(np.int64) for c in (4, 5))
+            rows, count, numbers = opened([group[c][0] for c in (1, 2, 3)])
+            seen, n = group[4][1:], group[5][1:]
             logs = shared.value.log_probability(bigrams(numbers.astype(np.int64), count), seen, n)
             sums = np.bincount(np.repeat(np.arange(len(count)), count), logs, len(count)).astype(float)
             known = [rows.column(c).combine_chunks() for c in (0, 1)]
