@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -26,11 +27,11 @@ def _path_norm(n: float) -> float:
 
 def impute_median(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """NULL features replaced by the exact median of their column."""
-    out = df.withColumn("_k", F.lit(0))
-    for f in features:
-        med = quantiles(df.withColumn("_k", F.lit(0)), ["_k"], f, {"_med": 0.5})
-        out = out.join(med, "_k", "left").withColumn(f, F.coalesce(F.col(f).cast("double"), F.col("_med"))).drop("_med")
-    return out.drop("_k")
+    # a row a feature; together one row that goes to every task
+    medians = [quantiles(df, [], f, {f"_m_{f}": 0.5}) for f in features]
+    one = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), medians)
+    filled = {f: F.coalesce(F.col(f).cast("double"), F.col(f"_m_{f}")) for f in features}
+    return df.crossJoin(F.broadcast(one)).withColumns(filled).select(*df.columns)
 
 
 def isolation_forest(
@@ -38,23 +39,23 @@ def isolation_forest(
 ) -> DataFrame:
     """``key, anomaly_score, is_anomaly`` for every row; lower scores are stranger.
 
-    Sampling is the algorithm's own: each tree sees ``sample`` rows with the lowest
-    hash of (key, tree). A pool that is a small multiple of what all trees need is
-    drawn by hash first, so that only pool rows are listed per tree. The forest is
-    bounded by ``trees * 2 * sample`` nodes, which is what travels to the workers.
+    Sampling is the algorithm's own: each tree sees the ``sample`` rows of the whole
+    table with the lowest hash of (key, tree). A row is listed only for the trees for
+    which its hash is low enough to be among them, with six standard deviations to
+    spare. The forest is bounded by ``trees * 2 * sample`` nodes, which is what travels
+    to the workers.
     """
     feats = list(features)
     base = durable(impute_median(df.select(key, *feats), feats))
     n = base.count()
     m = min(sample, n)
-    share = min(1.0, 4.0 * sample * math.sqrt(trees) / max(n, 1))
-    unit = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    pool = base.filter(unit < share)
-    size = max(n * share, 1)
-    # a little more than needed per tree, cut to exactly ``sample`` below
-    rate = min(1.0, 2.0 * m / size)
-    draw = F.pmod(F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    listed = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_u", draw).filter(F.col("_u") < rate)
+    rate = min(1.0, (m + 6 * math.sqrt(m) + 10) / max(n, 1))
+
+    def draw(tree: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(F.col(key), tree, F.lit(seed)), 11) / float(1 << 53)
+
+    low = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < rate)
+    listed = base.withColumn("tree", F.explode(low)).withColumn("_u", draw(F.col("tree")))
     rank = F.row_number().over(W.partitionBy("tree").orderBy("_u", key))
     drawn = listed.withColumn("_r", rank).filter(F.col("_r") <= m)
     limit = math.ceil(math.log2(max(m, 2)))
@@ -109,6 +110,6 @@ def isolation_forest(
 
     kind = base.schema[key].dataType.simpleString()
     scored = durable(base.mapInPandas(score, f"{key} {kind}, _score double"))
-    cut = quantiles(scored.withColumn("_k", F.lit(0)), ["_k"], "_score", {"_cut": contamination})
-    out = scored.withColumn("_k", F.lit(0)).join(cut, "_k")
+    cut = quantiles(scored, [], "_score", {"_cut": contamination})
+    out = scored.crossJoin(F.broadcast(cut))
     return out.select(key, (F.col("_score") - F.col("_cut")).alias("anomaly_score")).withColumn("is_anomaly", F.col("anomaly_score") < 0)

@@ -158,9 +158,9 @@ def degrees(edges: DataFrame) -> DataFrame:
     """Degree and degree centrality d / (n - 1) of every vertex."""
     both = undirected(edges)
     d = both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
-    n = d.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(0))
-    # a one-row total joined on a constant key
-    return d.withColumn("_k", F.lit(0)).join(n, "_k").select(
+    n = d.agg(F.count(F.lit(1)).alias("_n"))
+    # a total of one row goes to every task
+    return d.crossJoin(F.broadcast(n)).select(
         "id", "degree", F.when(F.col("_n") > 1, F.col("degree") / (F.col("_n") - 1)).otherwise(0.0).alias("centrality")
     )
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
 from ..plans.findings import union_all
+from ..session import durable
 from .sequences import close_pairs, gap_sessions, mode_per_group
 from .similarity import hamming_pairs
 
@@ -205,35 +206,42 @@ def label_centroids(df: DataFrame, label: str, vec: str) -> DataFrame:
     )
 
 
-def zero_shot(df: DataFrame, vec: str, labels: DataFrame, max_labels: int = 1000) -> DataFrame:
-    """Most similar label of each vector and its softmax share.
+def zero_shot(df: DataFrame, vec: str, labels: DataFrame, block: int = 256) -> DataFrame:
+    """Most similar label of each vector and its softmax share; ties go to the first label.
 
-    ``labels`` (``label, vec``) is a list of categories; it becomes a constant of
-    the query, and more than ``max_labels`` of them is refused.
+    ``labels`` (``label, vec``) is dealt into blocks of about ``block``; each row meets
+    each block once. With one block a row is done there; with more, rows are written
+    with a number first and their best and sums are combined by it. Both ways give
+    the same numbers for any count of labels.
     """
-    rows = labels.select("label", "vec").orderBy("label").limit(max_labels + 1).collect()
-    if len(rows) > max_labels:
-        raise ValueError("labels must be a short category list")
 
-    def unit(v: list[float]) -> list[float]:
-        norm = sum(x * x for x in v) ** 0.5 or 1.0
-        return [x / norm for x in v]
+    def norm(v: Column) -> Column:
+        return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, e: s + e * e))
 
-    known = F.array(*[F.struct(F.lit(r["label"]).alias("label"), F.lit(unit(list(r["vec"]))).alias("v")) for r in rows])
-    x = F.transform(F.col(vec), lambda e: e.cast("double"))
-    norm = F.sqrt(F.aggregate(F.col("_x"), F.lit(0.0), lambda s, e: s + e * e))
+    blocks = max(1, -(-labels.count() // block))
+    named = labels.select("label", F.transform("vec", lambda e: e.cast("double")).alias("v")).withColumn("n", norm(F.col("v")))
+    unit = F.transform("v", lambda e: e / F.when(F.col("n") > 0, F.col("n")).otherwise(1.0))
+    dealt = named.select("label", unit.alias("v"), F.pmod(F.xxhash64("label"), F.lit(blocks)).alias("_b"))
+    known = dealt.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("label", "v"))).alias("_known"))  # about ``block`` labels
+    rows = df if blocks == 1 else durable(df.withColumn("_row", F.monotonically_increasing_id()))
+    met = rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(known, "_b").drop("_b")
+    met = met.withColumn("_x", F.transform(F.col(vec), lambda e: e.cast("double"))).withColumn("_norm", norm(F.col("_x")))
 
     def dot(v: Column) -> Column:
         return F.aggregate(F.zip_with(F.col("_x"), v, lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e) / F.col("_norm")
 
-    best = F.array_max(F.transform("_sims", lambda s: F.struct(s["sim"].alias("sim"), s["label"].alias("label"))))
-    denominator = F.aggregate("_sims", F.lit(0.0), lambda a, s: a + F.exp(s["sim"] - F.col("_best")["sim"]))
+    sims = F.transform("_known", lambda k: F.struct(k["label"].alias("label"), dot(k["v"]).alias("sim")))
+    met = met.withColumn("_sims", sims).drop("_known", "_x", "_norm")
+    best = F.aggregate(F.slice("_sims", 2, 1 << 30), F.col("_sims")[0], lambda a, s: F.when(s["sim"] > a["sim"], s).otherwise(a))
+    # similarities are cosines, so their exponentials need no shift
+    met = met.withColumn("_best", best).withColumn("_total", F.aggregate("_sims", F.lit(0.0), lambda a, s: a + F.exp(s["sim"]))).drop("_sims")
+    if blocks > 1:
+        worse = F.struct(-F.col("_best")["sim"], F.col("_best")["label"])
+        joined = met.groupBy("_row").agg(F.min_by("_best", worse).alias("_best"), F.sum("_total").alias("_total"))
+        met = rows.join(joined, "_row").drop("_row")
     return (
-        df.withColumn("_x", x).withColumn("_norm", norm)
-        .withColumn("_sims", F.transform(known, lambda k: F.struct(k["label"].alias("label"), dot(k["v"]).alias("sim"))))
-        .withColumn("_best", best)
-        .withColumn("predicted", F.col("_best")["label"]).withColumn("similarity", F.col("_best")["sim"])
-        .withColumn("confidence", 1 / denominator).drop("_x", "_norm", "_sims", "_best")
+        met.withColumn("predicted", F.col("_best")["label"]).withColumn("similarity", F.col("_best")["sim"])
+        .withColumn("confidence", F.exp(F.col("_best")["sim"]) / F.col("_total")).drop("_best", "_total")
     )
 
 

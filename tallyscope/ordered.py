@@ -124,9 +124,8 @@ def quantiles(
     )
     ranked = scan(counts, keys, [F.col("_v")], value_bucket(F.col("_v")), sums={"_cum": F.col("_n")})
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    both = attach(ranked, sizes, keys, "inner") if keys else ranked.withColumn("_k", F.lit(0)).join(
-        sizes.withColumn("_k", F.lit(0)), "_k"
-    ).drop("_k")
+    # without keys there is one row of sizes
+    both = attach(ranked, sizes, keys, "inner") if keys else ranked.crossJoin(F.broadcast(sizes))
     aggs: list[Column] = []
     for i, (name, p) in enumerate(probs.items()):
         pos = F.lit(float(p)) * (F.col("_total") - 1)

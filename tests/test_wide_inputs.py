@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyscope.functions import scalar, tails
-from tallyscope.operators import attendance, joins
+from tallyscope.operators import attendance, joins, photos
 
 R = 6_371_000.0
 
@@ -85,3 +85,18 @@ def test_money_text_of_fractions_and_large_amounts(spark):
     amounts = {2e14: "Rs 20000000.0 Cr", 12_340_000.0: "Rs 1.23 Cr", 150_000.0: "Rs 1.5 L", 99_999.5: "Rs 99,999.50"}
     df = spark.createDataFrame([(k,) for k in amounts], "v double")
     assert {r.v: r.t for r in df.select("v", scalar.human_amount(F.col("v")).alias("t")).collect()} == amounts
+
+
+def test_zero_shot_with_many_labels_and_ties(spark):
+    rng = np.random.default_rng(3)
+    labels = [(f"l{i:03d}", [float(x) for x in rng.standard_normal(6)]) for i in range(60)]
+    labels += [("a_tie", labels[7][1])]
+    rows = [(i, [float(x) for x in rng.standard_normal(6)]) for i in range(40)] + [(99, labels[7][1])]
+    df, known = spark.createDataFrame(rows, "i int, v array<double>"), spark.createDataFrame(labels, "label string, vec array<double>")
+    one, many = ({r.i: r for r in photos.zero_shot(df, "v", known, block=b).collect()} for b in (256, 7))
+    m = np.array([v for _, v in labels])
+    for i, v in rows:
+        cos = m @ v / np.linalg.norm(m, axis=1) / np.linalg.norm(v)
+        assert one[i].predicted == many[i].predicted and math.isclose(one[i].similarity, cos.max(), rel_tol=1e-12)
+        assert math.isclose(one[i].confidence, np.exp(cos.max()) / np.exp(cos).sum(), rel_tol=1e-9) and math.isclose(one[i].confidence, many[i].confidence, rel_tol=1e-9)
+    assert one[99].predicted == "a_tie"
