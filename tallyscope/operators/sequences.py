@@ -178,29 +178,27 @@ def forward_window(
     """
     keys = list(keys)
     reach = (days + 1) * 86_400_000_000
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    base = df.withColumn("_us", us)
-    cut = base.withColumn("_kind", F.lit(1)).withColumn("_at", F.col("_us"))
-    # an end marker per row sits just before the first instant outside the window
-    ends = base.withColumn("_kind", F.lit(0)).withColumn("_at", F.col("_us") + reach)
+    base = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    # rows of one instant and tie-break count each other: they are one place with a weight
+    marked = F.when(mark if mark is not None else F.lit(False), 1).otherwise(0)
+    places = base.groupBy(*keys, tie, "_us").agg(F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_sum"), F.sum(marked).alias("_marks"))
+    cut = places.withColumn("_kind", F.lit(1)).withColumn("_at", F.col("_us"))
+    # an end marker per place sits just before the first instant outside the window
+    ends = places.withColumn("_kind", F.lit(0)).withColumn("_at", F.col("_us") + reach)
     both = cut.unionByName(ends).withColumn("_day", F.floor(F.col("_at") / 86_400_000_000))
     real = F.col("_kind") == 1
     run = scan(
         both, keys, [F.col("_at"), F.col("_kind"), F.col(tie)], F.col("_day"),
         sums={
-            "_c": F.when(real, 1).otherwise(0),
-            "_t": F.when(real, F.col(amount)).otherwise(F.lit(0).cast("decimal(1,0)")),
-            "_m": F.when(real & (mark if mark is not None else F.lit(False)), 1).otherwise(0),
+            "_c": F.when(real, F.col("_n")).otherwise(0),
+            "_t": F.when(real, F.col("_sum")).otherwise(F.lit(0).cast("decimal(1,0)")),
+            "_m": F.when(real, F.col("_marks")).otherwise(0),
         },
     )
-    here = run.filter(real).drop("_kind", "_at", "_day")
-    there = run.filter(~real).select(
-        *keys, tie, F.col("_us"), F.col("_c").alias("_ec"), F.col("_t").alias("_et"), F.col("_m").alias("_em")
-    )
-    return (
-        attach(here, there, [*keys, tie, "_us"], "inner")
-        .withColumn("window_count", F.col("_ec") - F.col("_c") + 1)
-        .withColumn("window_total", F.col("_et") - F.col("_t") + F.col(amount))
-        .withColumn("window_marked", F.col("_em") - F.col("_m") + (mark.cast("int") if mark is not None else F.lit(0)))
-        .drop("_us", "_c", "_t", "_m", "_ec", "_et", "_em")
+    # the two sums of a place meet in one aggregate
+    window = run.groupBy(*keys, tie, "_us").agg(
+        F.sum(F.when(real, -F.col("_c") + F.col("_n")).otherwise(F.col("_c"))).alias("window_count"),
+        F.sum(F.when(real, -F.col("_t") + F.col("_sum")).otherwise(F.col("_t"))).alias("window_total"),
+        F.sum(F.when(real, -F.col("_m") + F.col("_marks")).otherwise(F.col("_m"))).alias("window_marked"),
     )
+    return attach(base, window, [*keys, tie, "_us"], "inner").drop("_us")

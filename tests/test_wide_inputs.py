@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyscope.functions import scalar, tails
-from tallyscope.operators import attendance, joins, photos
+from tallyscope.operators import attendance, joins, photos, sequences
 
 R = 6_371_000.0
 
@@ -100,3 +100,17 @@ def test_zero_shot_with_many_labels_and_ties(spark):
         assert one[i].predicted == many[i].predicted and math.isclose(one[i].similarity, cos.max(), rel_tol=1e-12)
         assert math.isclose(one[i].confidence, np.exp(cos.max()) / np.exp(cos).sum(), rel_tol=1e-9) and math.isclose(one[i].confidence, many[i].confidence, rel_tol=1e-9)
     assert one[99].predicted == "a_tie"
+
+
+def test_forward_window_with_repeated_rows(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), rng.randint(1, 20), rng.choice([1, 1, 2]), rng.randint(1, 9)) for _ in range(120)]
+    rows += rows[:20] + [(None, 3, 1, 5), (None, 3, 1, 5)]
+    df = spark.createDataFrame(rows, "k string, day int, tie int, amount long").withColumn("ts", F.expr("timestamp'2024-01-01' + make_dt_interval(day)"))
+    got = sorted((r.k or "", r.day, r.tie, r.amount, r.window_count, r.window_total, r.window_marked)
+                 for r in sequences.forward_window(df, ["k"], "ts", "tie", "amount", 3, F.col("amount") > 5).collect())
+    want = []
+    for k, d, t, a in rows:
+        inside = [x for kk, dd, tt, x in rows if kk == k and ((dd == d and tt >= t) or d < dd <= d + 3)]
+        want.append((k or "", d, t, a, len(inside), sum(inside), sum(x > 5 for x in inside)))
+    assert got == sorted(want)
