@@ -23,6 +23,8 @@ from .columns import mix
 ROWS = 4
 TILE = 256
 BLOCK = 1 << 16
+#: Groups whose results leave a task in one batch.
+TOGETHER = 1000
 #: A side of at most so many rows of a few numbers is broadcast; larger ones are shuffled.
 SMALL = 2_000_000
 
@@ -139,8 +141,14 @@ def candidates(items: DataFrame, members: DataFrame, prune: list[tuple[int, int]
     ordered = signed.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "tile", "id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def closed() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], ["bucket", "lo", "hi", "a", "b"])
+
         for group in _groups(batches, 3):
-            _, lo, hi, tile, bands_, ids, raw = group
+            bucket, lo, hi, tile, bands_, ids, raw = group
             lo, hi, band, signs = lo[0], hi[0], int(bands_[0]), _matrix(raw, np.uint16)
             second = int(np.searchsorted(tile, hi)) if lo != hi else 0
             left, right = [], []
@@ -159,12 +167,29 @@ def candidates(items: DataFrame, members: DataFrame, prune: list[tuple[int, int]
                 right.append(ids[near])
             a = np.concatenate(left) if left else np.zeros(0, np.int64)
             if len(a):
-                b = np.concatenate(right)
-                yield pa.RecordBatch.from_arrays([pa.array(group[0][:1], pa.int64()), pa.array([lo], pa.int32()), pa.array([hi], pa.int32()), pa.array([a]), pa.array([b])], ["bucket", "lo", "hi", "a", "b"])
+                held.append((bucket[0], lo, hi, a, np.concatenate(right)))
+            if len(held) >= TOGETHER:
+                yield closed()
+                held = []
+        if held:
+            yield closed()
 
     return ordered.mapInArrow(work, "bucket long, lo int, hi int, a array<long>, b array<long>")
 
 
+def _parts(texts: list[str], size: int = 1 << 20) -> Iterator[list[str]]:
+    """Texts in order, about ``size`` characters or one text at a time."""
+    part, n = [], 0
+    for x in texts:
+        part.append(x)
+        n += len(x)
+        if n >= size:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
 def verified(pairs: DataFrame, texts: DataFrame, sets: Callable[[list[str]], list[np.ndarray]], threshold: float) -> DataFrame:
     """``id``, ``links`` and ``root`` of each item with a link in a pair of tiles.
 
@@ -177,46 +202,64 @@ def verified(pairs: DataFrame, texts: DataFrame, sets: Callable[[list[str]], lis
     asked = pairs.select("bucket", "lo", "hi", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "a", "b")
     both = known.unionByName(asked).repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "kind", "id")
 
+    def checked(ids: np.ndarray, raw: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items with a link, their numbers of links and roots, from pairs of places."""
+        if len(ids) == 2:
+            common = len(np.intersect1d(raw[0], raw[1], assume_unique=True))
+            good = common / (len(raw[0]) + len(raw[1]) - common) >= threshold
+            return (ids, np.ones(2, np.int64), ids[[0, 0]]) if good else (ids[:0], ids[:0], ids[:0])
+        size = np.array([len(x) for x in raw])
+        _, codes = np.unique(np.concatenate(raw), return_inverse=True)
+        begin = np.cumsum(size) - size
+        by = np.argsort(a, kind="stable")
+        a, b = a[by], b[by]
+        mark = np.zeros(int(codes.max()) + 1, np.int32)
+        links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for i in np.unique(a):
+            others = b[np.searchsorted(a, i) : np.searchsorted(a, i, "right")]
+            own = codes[begin[i] : begin[i] + size[i]]
+            mark[own] = 1
+            head = np.cumsum(size[others]) - size[others]
+            place = np.repeat(begin[others] - head, size[others]) + np.arange(int(size[others].sum()))
+            common = np.add.reduceat(mark[codes[place]], head)
+            mark[own] = 0
+            good = others[common / (size[i] + size[others] - common) >= threshold]
+            links[i] += len(good)
+            links[good] += 1
+            for j in good:
+                x, y = root(int(i)), root(int(j))
+                parent[max(x, y)] = min(x, y)
+        found = np.flatnonzero(links)
+        roots = np.array([root(int(x)) for x in found], np.int64)
+        return ids[found], links[found], ids[roots]
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3):
-            _, _, _, _, ids, texts_, a, b = group
+        held: list[tuple] = []
+        size = 0
+
+        def closed() -> pa.RecordBatch:
+            # the shingles of many small groups are made at once
+            raw = (np.unique(x) for part in _parts([t for _, texts_, _, _ in held for t in texts_]) for x in sets(part))
+            out = [checked(ids, [next(raw) for _ in ids], np.searchsorted(ids, a), np.searchsorted(ids, b)) for ids, _, a, b in held]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], ["id", "links", "root"])
+
+        for _, _, _, _, ids, texts_, a, b in _groups(batches, 3):
             if len(ids) < 3 or a[0] is None:
                 continue
-            a, b, ids = np.array(a[0]), np.array(b[0]), ids[1:]
-            raw = [np.unique(x) for x in sets(texts_[1:])]
-            size = np.array([len(x) for x in raw])
-            _, codes = np.unique(np.concatenate(raw), return_inverse=True)
-            begin = np.cumsum(size) - size
-            a, b = np.searchsorted(ids, a), np.searchsorted(ids, b)
-            by = np.argsort(a, kind="stable")
-            a, b = a[by], b[by]
-            mark = np.zeros(int(codes.max()) + 1, np.int32)
-            links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
-
-            def root(x: int) -> int:
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            for i in np.unique(a):
-                others = b[np.searchsorted(a, i) : np.searchsorted(a, i, "right")]
-                own = codes[begin[i] : begin[i] + size[i]]
-                mark[own] = 1
-                head = np.cumsum(size[others]) - size[others]
-                place = np.repeat(begin[others] - head, size[others]) + np.arange(int(size[others].sum()))
-                common = np.add.reduceat(mark[codes[place]], head)
-                mark[own] = 0
-                good = others[common / (size[i] + size[others] - common) >= threshold]
-                links[i] += len(good)
-                links[good] += 1
-                for j in good:
-                    x, y = root(int(i)), root(int(j))
-                    parent[max(x, y)] = min(x, y)
-            found = np.flatnonzero(links)
-            if len(found):
-                roots = np.array([root(int(x)) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(links[found]), pa.array(ids[roots])], ["id", "links", "root"])
+            held.append((ids[1:], texts_[1:], np.array(a[0]), np.array(b[0])))
+            size += sum(map(len, texts_[1:]))
+            if size >= BLOCK or len(held) >= TOGETHER:
+                yield closed()
+                held, size = [], 0
+        if held:
+            yield closed()
 
     return both.mapInArrow(work, "id long, links long, root long")
 
