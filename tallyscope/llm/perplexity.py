@@ -145,7 +145,7 @@ def train(trusted: DataFrame, frequent: float = 5e-5) -> tuple[Model, DataFrame]
     return Model(Vocabulary.of(known), discount, context, lower, continuation, float(np.log(max(types - len(known), 1)))), table
 
 
-def score(docs: DataFrame, model: Model, table: DataFrame, chunk: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, model: Model, table: DataFrame, chunk: int = 8 << 20) -> DataFrame:
     """``id``, ``lang``, ``words`` and ``log_probability`` of every row of ``docs`` (``id``, ``text``, ``lang``)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
