@@ -14,7 +14,7 @@ from ..session import shared_folder
 from ..sources import landed, sinks
 from ..streaming import jobs
 from . import roles
-from .audits import vendor_rows, work_costs
+from .audits import work_costs
 from .base import Tables, query, rnd
 from .roles import AREAS, PAYMENTS, WORKS
 from .scalars import spot, spot_sql
