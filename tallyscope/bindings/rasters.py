@@ -6,7 +6,6 @@ a strip, a round patch and a pond change between the phases.
 
 from __future__ import annotations
 
-
 import re
 
 from pyspark.sql import DataFrame
