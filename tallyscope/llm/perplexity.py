@@ -1,16 +1,13 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney bigram model.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model.
 
-The model is trained on trusted documents. Words that make up at least ``frequent``
-of their words are the vocabulary, so there are at most ``1 / frequent`` however
-large the corpus is; all others are one unknown word whose probability is shared by
-the unknown types seen. Bigrams are counted over all trusted documents. Counts,
-contexts and continuations are Spark aggregates; the bigram table stays distributed.
+``classify`` takes trigrams over all words of the trusted documents (``ngrams``): the
+tables grow with the input, and only words never seen share one price. All languages
+are counted together; a word keeps its counts however small its language is.
 
-To score, a task turns about ``chunk`` bytes of texts into one row of word numbers.
-Each chunk asks for its distinct bigrams once; a join with the table, sharded by
-bigram, answers with the counts, and a second shuffle brings the answers back to the
-chunk, which adds up its documents' log probabilities. Everything that a bigram needs
-besides its count is an array over the vocabulary.
+``train`` and ``score`` are a smaller bigram model: words that make up at least
+``frequent`` of the training words are its vocabulary, all others are one unknown
+word whose probability is shared by the unknown types seen. ``classify`` does not
+use it.
 
 A document is kept if its perplexity is at most the ``quantile`` of its language
 among trusted documents that were left out of training (a tenth, by hash of the id);
@@ -32,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import durable
+from . import ngrams
 from .columns import flat, pieces, run_hashes, spans_of
 from .pairing import _groups, if_small
 
@@ -209,15 +207,15 @@ def score(docs: DataFrame, model: Model, table: DataFrame, chunk: int = 8 << 20)
 
 
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality",
-             trusted: Column | None = None, quantile: float = 0.995, frequent: float = 5e-5) -> DataFrame:
+             trusted: Column | None = None, quantile: float = 0.995) -> DataFrame:
     """``id_col``, ``lang``, ``perplexity``, ``threshold`` and ``kept`` of every row; trusted are ids with label 1 (or ``trusted``)."""
     good = labels.filter(F.col(label_col) == 1 if trusted is None else trusted).select(F.col(id_col).cast("long").alias("id")).filter("id IS NOT NULL").distinct()
     good = durable(good)
     near = if_small(good, good.count())
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     apart = F.pmod(F.xxhash64("id", F.lit("apart")), F.lit(10)) == 0
-    model, table = train(docs.filter(~apart).join(near, "id", "left_semi"), frequent)
-    scored = score(docs, model, table)
+    model, table = ngrams.train(docs.filter(~apart).join(near, "id", "left_semi"))
+    scored = ngrams.score(docs, model, table)
     perplexity = F.when(F.col("words") > 0, F.exp(-F.col("log_probability") / F.col("words")))
     scored = durable(scored.withColumn("perplexity", perplexity))
     left_out = scored.filter(apart & F.col("perplexity").isNotNull()).join(near, "id", "left_semi")
