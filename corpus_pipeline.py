@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, folder of the tables), works on all documents that the
 stage before it kept, and returns documents of the same columns; the last returns
 token ids. Documents without an id go with the first stage.
+
+An id may repeat. Rows are told apart by id and text (its hash), and judged one by
+one; of rows equal in both one is left by the near-duplicate stage. Line dedup deals
+alike with all rows of an id.
 """
 
 from __future__ import annotations
@@ -16,16 +20,36 @@ from tallyscope.llm.queries import WORDS_49K
 from tallyscope.session import durable, tune
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is in ``ids``."""
-    ids = durable(ids.distinct())
-    return docs.join(if_small(ids, ids.count()), "doc_id", "left_semi").select(*docs.columns)
+KEY = ["doc_id", "_row"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a hash of id and text."""
+    return docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+
+
+def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents whose ``KEY`` is in ``rows``."""
+    rows = durable(rows.select(*KEY).distinct())
+    return docs.join(if_small(rows, rows.count()), KEY, "left_semi").select(*docs.columns)
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """One document of each ``KEY``, the smallest by its columns."""
+    again = durable(docs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*KEY))
+    n = again.count()
+    if not n:
+        return docs
+    again = if_small(again, n)
+    first = docs.join(again, KEY, "left_semi").groupBy(*KEY).agg(F.min(F.struct(*[c for c in docs.columns if c not in KEY])).alias("x"))
+    return docs.join(again, KEY, "left_anti").unionByName(first.select(*KEY, "x.*"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or a learned one go."""
     labels = tune(spark).read.parquet(f"{sf_dir}/labels.parquet")
-    return _only(docs, quality_rules.quality(docs, labels).filter("kept").select("doc_id"))
+    keyed = _keyed(docs)
+    return _only(keyed, quality_rules.quality(keyed, labels, beside=["_row"]).filter("kept")).drop("_row")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +61,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of equal or similar texts stays: the one of smallest id."""
     tune(spark)
-    return _only(docs, jaccard_join.join(docs).filter("doc_id = class_id").select("doc_id"))
+    keyed = _keyed(docs).filter("doc_id IS NOT NULL")
+    classes = jaccard_join.join(keyed, "_row").distinct()
+    first = keyed.select(*KEY).distinct().join(classes, "_row").groupBy("class_id").agg(F.min(F.struct(*KEY)).alias("x"))
+    return _once(_only(keyed, first.select("x.*"))).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document may occur twice, one a source may be cut."""
     tune(spark)
-    return mixing.apply(docs, durable(mixing.mix(docs)))
+    keyed = _once(_keyed(docs))
+    return mixing.apply(keyed, durable(mixing.mix(keyed, row_cols=["_row"])), row_cols=["_row"]).drop("_row")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

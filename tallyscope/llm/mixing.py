@@ -63,15 +63,16 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[int] = (3, 1, 2),
-        share: float = 1.5, most: float = 2.0, seed: str = "mix", digits: int = 2) -> DataFrame:
+        share: float = 1.5, most: float = 2.0, seed: str = "mix", digits: int = 2, row_cols: Sequence[str] = ()) -> DataFrame:
     """One row a document: id, source, ``size``, ``source_size``, ``target``, ``taken`` and ``start``.
 
     ``start`` is the document's first place in its source's line of words.
     ``digits`` leading hexadecimal digits of the key are one range of the sort;
     they only set how finely a source is dealt out. Rows with the same id are
-    told apart by size only, so equal rows may swap places but nothing else.
+    told apart by size and ``row_cols`` (which the result has, too), so equal rows
+    may swap places but nothing else.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col).cast("string")).alias("size"))
+    docs = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col).cast("string")).alias("size"), *row_cols)
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     docs = docs.withColumn("key", key).withColumn("cut", F.substring("key", 1, digits))
     ranges = docs.groupBy("source", "cut").agg(F.sum("size").alias("here"))
@@ -80,7 +81,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     offsets = ranges.withColumn("offset", F.coalesce(F.sum("here").over(before), F.lit(0))).drop("here")
     plan = targets(sizes, weights, share, most)
     known = offsets.join(plan, offsets["source"].eqNullSafe(plan["source"])).drop(plan["source"])
-    inside = W.partitionBy("source", "cut").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("source", "cut").orderBy("key", "id", "size", *row_cols).rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = docs.withColumn("upto", F.sum("size").over(inside))
     both = placed.join(known, placed["source"].eqNullSafe(known["source"]) & (placed["cut"] == known["cut"])).drop(known["source"], known["cut"])
     start = F.col("offset") + F.col("upto") - F.col("size")
@@ -89,19 +90,22 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     rest = budget - rounds * F.col("source_size")
     taken = rounds * F.col("size") + F.least(F.greatest(rest - start, F.lit(0)), F.col("size"))
     return both.select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.cast("long").alias("taken"), start.alias("start"),
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.cast("long").alias("taken"), start.alias("start"), *row_cols,
     )
 
 
-def apply(df: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def apply(df: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_cols: Sequence[str] = ()) -> DataFrame:
     """The mixed corpus: whole documents as often as ``plan`` takes them, and the first words at a cut.
 
-    Ids are unique here. Columns are those of ``df``.
+    Id and ``row_cols`` together are unique here. Columns are those of ``df``.
     """
-    own = plan.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    own = plan.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), *[F.col(c).alias(f"_own_{c}") for c in row_cols])
     whole = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(0).cast("int")
     part = F.when(F.col("_size") > 0, F.col("_taken") % F.col("_size")).otherwise(0).cast("int")
-    joined = df.join(own, df[id_col].eqNullSafe(own["_id"])).withColumn("_whole", whole).withColumn("_part", part)
+    same = df[id_col].eqNullSafe(own["_id"])
+    for c in row_cols:
+        same = same & df[c].eqNullSafe(own[f"_own_{c}"])
+    joined = df.join(own, same).withColumn("_whole", whole).withColumn("_part", part)
     repeats = F.concat(F.array_repeat(F.lit(0), F.col("_whole")), F.when(F.col("_part") > 0, F.array(F.col("_part"))).otherwise(F.array().cast("array<int>")))
     dealt = joined.withColumn("_words", F.explode(repeats))
     # pieces end with a word each, so the first n of them hold n words

@@ -76,10 +76,10 @@ def repeated_words(words: Column, width: int = 8) -> Column:
     return _let(words, lambda w: F.when(F.size(w) < width, F.lit(0).cast("long")).otherwise(of(w)))
 
 
-def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The statistics of every text beside its id."""
+def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", beside: Sequence[str] = ()) -> DataFrame:
+    """The statistics of every text beside its id and the columns ``beside``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = df.select(F.col(id_col).alias("id"), text.alias("text"))
+    docs = df.select(F.col(id_col).alias("id"), text.alias("text"), *beside)
 
     def without(chars: str) -> Column:
         return F.char_length("text") - F.char_length(F.translate("text", chars, ""))
@@ -91,8 +91,8 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(
         F.col("id").alias(id_col), both.alias("both"), (F.char_length("text") - without(_BLANKS)).cast("long").alias("word_chars"),
         without(_SYMBOLS).cast("long").alias("n_symbols"), spare.cast("long").alias("n_dup_lines"), F.size(lines).cast("long").alias("n_lines"),
-        without(_UPPER).cast("long").alias("n_upper"), without(_MARKS).cast("long").alias("n_marks"),
-    ).select(id_col, "both.n_words", "word_chars", "n_symbols", "n_dup_lines", "both.n_repeat_words", "n_lines", "n_upper", "n_marks")
+        without(_UPPER).cast("long").alias("n_upper"), without(_MARKS).cast("long").alias("n_marks"), *beside,
+    ).select(id_col, "both.n_words", "word_chars", "n_symbols", "n_dup_lines", "both.n_repeat_words", "n_lines", "n_upper", "n_marks", *beside)
 
 
 def rates() -> dict[str, Column]:
@@ -220,7 +220,7 @@ def judge(stats: DataFrame, rules: Sequence[Rule], least_words: int = 20, repeat
     return stats.withColumn("base_failed", base).withColumn("rule", rejected_by(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
-def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", beside: Sequence[str] = ()) -> DataFrame:
     """Statistics and verdict of every document, the rules learned from ``labels``."""
-    stats = durable(statistics(df, id_col, text_col))
-    return judge(stats, learn(stats, labels, id_col))
+    stats = durable(statistics(df, id_col, text_col, beside))
+    return judge(stats, learn(stats.drop(*beside), labels, id_col))

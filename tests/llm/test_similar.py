@@ -195,3 +195,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert abs(sum(size.values()) - 1.5 * total) <= 3
     assert len(outs["bpe_codec"]) == len(outs["mixing"]) and all(len(r.ids) == r.n_tokens > 0 for r in outs["bpe_codec"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(outs["bpe_codec"])
+
+
+def test_pipeline_stages_with_repeated_rows(spark, tmp_path):
+    rng = random.Random(10)
+    text = lambda n: " ".join(rng.choice(POOL) + str(rng.randint(0, 99)) for _ in range(n))
+    rows = [(i, text(40), "en", f"s{i % 3}", 1) for i in range(60)]
+    rows += [rows[i] for i in range(12) for _ in range(3)]  # repeated rows
+    other = text(40)
+    rows += [(59, other, "en", "s2", 1), (58, "too short", "en", "s1", 1)]  # other texts under a known id
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).repartition(5)
+    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = {(i, t) for i, t, *_ in rows if t != "too short"}
+    kept = corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()
+    assert len(kept) == len(rows) - 1 and {(r.doc_id, r.text) for r in kept} == want
+    near = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(kept, schema), str(tmp_path))
+    assert sorted((r.doc_id, r.text) for r in near.collect()) == sorted(want)
+    for given in (kept, near.collect()):
+        out = corpus_pipeline.mixture(spark, spark.createDataFrame(given, schema), str(tmp_path)).collect()
+        size = collections.Counter()
+        for r in out:
+            size[r.source] += len(r.text.split())
+        assert abs(sum(size.values()) - 1.5 * 40 * len(want)) <= 3
+        assert {r.doc_id for r in out} <= set(range(60)) and len(out[0]) == 5
