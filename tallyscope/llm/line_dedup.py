@@ -109,14 +109,15 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         return [grams[a:b] for a, b in zip(begin[:-1], begin[1:])]
 
     _, linked = similar(items.select("id", "sign"), fetch, sets, bands, threshold)
-    grouped = items.select("id", "equal", "doc", "line_no").join(linked, "id")
-    first = grouped.groupBy("component").agg(F.min(place).alias("first"))
-    fuzzy = grouped.join(first, "component").select("equal", "first")
+    fuzzy = items.select("id", "equal").join(linked, "id").select("equal", "component")
     # equal lines: hashes that occur again, with their first occurrence
     all_lines = _lines(df, id_col, text_col).select("id", "line_no", F.unhex(F.md5("line")).alias("equal"))
     counted = all_lines.groupBy("equal").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("id").alias("doc"), "line_no")).alias("own"))
-    groups = counted.join(fuzzy, "equal", "left").filter((F.col("n") > 1) | F.col("first").isNotNull())
-    groups = durable(groups.select("equal", F.coalesce("first", "own").alias("keep")))
+    groups = counted.join(fuzzy, "equal", "left").filter((F.col("n") > 1) | F.col("component").isNotNull())
+    groups = durable(groups.select("equal", "own", "component"))
+    # the first of all lines of a component; items only know the first of a batch
+    first = groups.filter("component IS NOT NULL").groupBy("component").agg(F.min("own").alias("first"))
+    groups = durable(groups.join(first, "component", "left").select("equal", F.coalesce("first", "own").alias("keep")))
     hits = all_lines.join(if_small(groups, groups.count()), "equal").filter((F.col("id") != F.col("keep.doc")) | (F.col("line_no") != F.col("keep.line_no")))
     return hits.groupBy("id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))  # lines of one document
 

@@ -219,3 +219,12 @@ def test_pipeline_stages_with_repeated_rows(spark, tmp_path):
             size[r.source] += len(r.text.split())
         assert abs(sum(size.values()) - 1.5 * 40 * len(want)) <= 3
         assert {r.doc_id for r in out} <= set(range(60)) and len(out[0]) == 5
+
+
+def test_first_line_stays_whatever_the_order_of_rows(spark):
+    line = "the quick brown fox jumps over the lazy dog while nine old owls watch from the barn roof in silence " * 2
+    near = line[:100] + "X" + line[101:]
+    rows = [(3, line), (2, near), (1, line), (0, "nothing in common with the others at all")]
+    for given in (rows, rows[::-1], rows[1:] + rows[:1]):
+        gone = line_dedup.decisions(spark.createDataFrame(given, "doc_id long, text string").coalesce(1)).collect()
+        assert {r.id: list(r.removed) for r in gone} == {2: [0], 3: [0]}
