@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import bpe_codec, jaccard_join, line_dedup, mixing, neighbours, perplexity, quality_rules, secret_scan, token_counts, toxicity
+from . import alignment, bpe_codec, jaccard_join, license_scan, line_dedup, mixing, neighbours, periodic_runs, perplexity, quality_rules, secret_scan, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,6 +21,7 @@ ORACLE: dict[str, str] = {}
 #: Paths of the public vocabularies.
 WORDS_49K = public_tokenizers.path("word_bpe_49k.json")
 BYTES_50K = public_tokenizers.path("byte_bpe_50k.json")
+PIECES_32K = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(name: str, sql: str | None = None) -> Callable:
@@ -124,3 +125,33 @@ def _tokens(spark, table):
 @query("op10_quality_classifier")
 def _perplexity(spark, table):
     return perplexity.classify(table("documents"), table("labels"))
+
+
+@query("op11_license_scan")
+def _licenses(spark, table):
+    return license_scan.digest(license_scan.scan(table("documents")))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` of ``docs``, where a tenth of the texts, told by a hash of the id, repeat words to their end.
+
+    With h the CRC-32 of the decimal id, g = h div 10 and n words, a text of h % 10 = 0 and
+    n > 0 repeats from word a = g % n on the p = 1 + (n - a) div (3 + g % 8) words there.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    docs = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    docs = docs.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    docs = docs.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    text = F.expr("concat_ws(' ', slice(words, 1, a), slice(flatten(array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a))")
+    return docs.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def _runs(spark, table):
+    return periodic_runs.digest(periodic_runs.find(planted(table("documents"))))
+
+
+@query("op13_tokenizer_alignment")
+def _alignment(spark, table):
+    return alignment.digest(table("documents"), alignment.ByteLevel(BYTES_50K), alignment.Pieces(PIECES_32K))
