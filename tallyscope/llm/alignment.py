@@ -198,7 +198,7 @@ class _Aligner:
         return found
 
 
-def align(df: DataFrame, a: ByteLevel, b: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk: int = 4 << 20) -> DataFrame:
+def align(df: DataFrame, a: ByteLevel, b: Pieces, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1 << 20) -> DataFrame:
     """``id_col``, ``n_a``, ``n_b``, ``n_groups``, ``n_links`` and ``groups`` of every row, and what ``count_links`` needs.
 
     ``groups`` is ``a1,a2|b1;a3|b2,b3``: the ids of each group, A before B. ``held``
