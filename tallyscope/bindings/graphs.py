@@ -81,18 +81,17 @@ def a15(t: Tables) -> DataFrame:
     return G.statistics(*written_network(t))
 
 
-_FLOW = ("pick AS (SELECT o_custkey AS c, unnest([arg_max(o_orderkey, (o_totalprice, o_orderkey)), arg_min(o_orderkey, (o_totalprice, o_orderkey))]) AS k FROM orders GROUP BY 1), "
-         "fe AS (SELECT c AS src, n.o_custkey AS dst, max(p.o_totalprice) AS amount FROM pick JOIN orders p ON p.o_orderkey = k JOIN orders n ON n.o_orderkey = k + 1 WHERE c <> n.o_custkey GROUP BY 1, 2), "
+_ACCOUNT = "o_custkey*4 + CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END"
+_FLOW = (f"oa AS (SELECT o_orderkey AS k, {_ACCOUNT} AS a, o_totalprice AS amount FROM orders), "
+         "fe AS (SELECT p.a AS src, n.a AS dst, max(p.amount) AS amount FROM oa p JOIN oa n ON n.k = p.k + 1 WHERE p.a <> n.a GROUP BY 1, 2), "
          "fu AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM fe UNION ALL SELECT dst, src FROM fe))")
 
 
-def flow_edges(t: Tables) -> DataFrame:
-    """Two edges per customer: from the dearest and cheapest order to the customer of the next order."""
-    o = t.orders.select("o_custkey", "o_orderkey", "o_totalprice")
-    rank = F.struct("o_totalprice", "o_orderkey")
-    pick = o.groupBy("o_custkey").agg(F.array(F.max_by(F.struct("o_orderkey", "o_totalprice"), rank), F.min_by(F.struct("o_orderkey", "o_totalprice"), rank)).alias("p"))
-    nxt = o.select((F.col("o_orderkey") - 1).alias("k"), F.col("o_custkey").alias("dst"))
-    e = pick.select(F.col("o_custkey").alias("src"), F.inline("p")).withColumnRenamed("o_orderkey", "k").join(nxt, "k").filter("src != dst")
+def account_flows(t: Tables) -> DataFrame:
+    """Money from the account of each order to that of the next one; a customer has an account for each order status."""
+    o = t.orders.select("o_orderkey", F.expr(_ACCOUNT).alias("a"), "o_totalprice")
+    nxt = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("a").alias("dst"))
+    e = o.withColumnRenamed("a", "src").join(nxt, "o_orderkey").filter("src != dst")
     return e.groupBy("src", "dst").agg(F.max("o_totalprice").alias("amount"))
 
 
@@ -100,18 +99,19 @@ def flow_edges(t: Tables) -> DataFrame:
        "WHERE e.dst > f AND NOT list_contains(path, e.dst) AND len(path) < 8), c AS (SELECT path, len(path) AS n, s + e.amount AS amt FROM p JOIN fe e ON e.src = l AND e.dst = f WHERE len(path) >= 3), "
        "d AS (SELECT list_sort(path) AS m, n, arg_min(amt, path) AS amt, min(path) AS path FROM c GROUP BY 1, 2) SELECT array_to_string(path, '>') AS path, CAST(n AS INTEGER) AS length, round(amt, 2) AS total_amount FROM d")
 def g6(t: Tables) -> DataFrame:
-    c = G.distinct_cycles(G.cycles(flow_edges(t)))
+    c = G.distinct_cycles(G.cycles(account_flows(t)))
     return c.select(F.array_join(F.transform("path", lambda v: v.cast("string")), ">").alias("path"), "length", rnd("total_amount", 2).alias("total_amount"))
 
 
 @query("g7_official_cycles", f"WITH RECURSIVE {_FLOW}, p(f, l, path, s, w) AS (SELECT src, dst, [src, dst], amount, amount FROM fe WHERE dst > src UNION ALL SELECT f, e.dst, list_append(path, e.dst), s + e.amount, least(w, e.amount) FROM p JOIN fe e ON e.src = l "
        "WHERE e.dst > f AND NOT list_contains(path, e.dst) AND len(path) < 8), c AS (SELECT path, len(path) AS n, s + e.amount AS amt, least(w, e.amount) AS mn FROM p JOIN fe e ON e.src = l AND e.dst = f WHERE len(path) >= 3), "
-       "o AS (SELECT *, len(list_filter(path, lambda x: x % 5 = 0)) AS oc, len(list_filter(path, lambda x: x % 5 = 1)) AS pc FROM c) "
+       "o AS (SELECT *, len(list_filter(path, lambda x: x // 4 % 5 = 0)) AS oc, len(list_filter(path, lambda x: x // 4 % 5 = 1)) AS pc FROM c) "
        "SELECT array_to_string(path, '>') AS path, round(amt, 2) AS total_amount, round(mn, 2) AS min_amount, CASE WHEN oc > 0 THEN 0.7::DOUBLE ELSE 0.5 END + CASE WHEN n <= 4 THEN 0.1::DOUBLE ELSE 0 END AS confidence FROM o WHERE oc > 0 OR pc > 0")
 def g7(t: Tables) -> DataFrame:
-    e = flow_edges(t)
-    kinds = F.when(F.col("c_custkey") % 5 == 0, "official").when(F.col("c_custkey") % 5 == 1, "panchayat").otherwise("bank_account")
-    nodes = t.customer.select(F.col("c_custkey").alias("id"), kinds.alias("node_type"))
+    e = account_flows(t)
+    customer = F.floor(F.col("id") / 4)
+    kinds = F.when(customer % 5 == 0, "official").when(customer % 5 == 1, "panchayat").otherwise("bank_account")
+    nodes = t.orders.select(F.expr(_ACCOUNT).alias("id")).distinct().withColumn("node_type", kinds)
     c = G.official_cycles(G.cycles(e), nodes)
     return c.select(F.array_join(F.transform("path", lambda v: v.cast("string")), ">").alias("path"), rnd("total_amount", 2).alias("total_amount"), rnd("min_amount", 2).alias("min_amount"), "confidence")
 
@@ -124,46 +124,68 @@ def g8(t: Tables) -> DataFrame:
 
 @query("g9_degree_centrality", f"WITH {_FLOW}, d AS (SELECT src AS id, count(*) AS degree FROM fu GROUP BY 1) SELECT id, degree, round(degree*1.0::DOUBLE/((SELECT count(*) FROM d) - 1), 8) AS centrality FROM d")
 def g9(t: Tables) -> DataFrame:
-    return G.degrees(flow_edges(t)).withColumn("centrality", rnd("centrality", 8))
+    return G.degrees(account_flows(t)).withColumn("centrality", rnd("centrality", 8))
 
 
-def segment_graph(t: Tables) -> DataFrame:
-    """Customer nations and supplier nations joined by above-average trade."""
-    p = roles.payments(t).join(t.supplier.select(F.col("s_suppkey").alias("account"), "s_nationkey"), "account")
-    trade = p.groupBy("district", "s_nationkey").agg(F.count(F.lit(1)).alias("n"))
-    limit = trade.groupBy("s_nationkey").agg((F.avg("n") * 1.15).alias("_avg"))
-    strong = trade.join(limit, "s_nationkey").filter("n > _avg")
-    return strong.select(F.concat(F.lit("c"), F.col("district")).alias("src"), F.concat(F.lit("s"), F.col("s_nationkey")).alias("dst"), F.col("n").cast("double").alias("amount"))
+_CUST = ("ce AS (SELECT p.o_custkey AS src, n.o_custkey AS dst, sum(CAST(p.o_totalprice AS DECIMAL(18,2))) AS amount FROM orders p JOIN orders n ON n.o_orderkey = p.o_orderkey + 1 WHERE p.o_custkey <> n.o_custkey GROUP BY 1, 2), "
+         "cb AS (SELECT src, dst FROM ce UNION SELECT dst, src FROM ce)")
 
 
-_SEG = (PAYMENTS + ", tr AS (SELECT district, s_nationkey, count(*) AS n FROM payments JOIN supplier ON account = s_suppkey GROUP BY 1, 2), "
-        "lm AS (SELECT s_nationkey, avg(n)*1.15 AS a FROM tr GROUP BY 1), sg AS (SELECT 'c' || district AS src, 's' || s_nationkey AS dst FROM tr JOIN lm USING (s_nationkey) WHERE n > a), "
-        "sb AS (SELECT src, dst FROM sg UNION SELECT dst, src FROM sg)")
+def customer_flows(t: Tables) -> DataFrame:
+    """Money from the customer of each order to that of the next one."""
+    o = t.orders.select("o_orderkey", F.col("o_custkey").alias("src"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"))
+    nxt = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("src").alias("dst"))
+    return o.join(nxt, "o_orderkey").filter("src != dst").groupBy("src", "dst").agg(F.sum("amount").alias("amount"))
+
+
+# breadth-first levels and dependencies of all customers; no level is past the tenth here
+_DEEP = 10
 _LEVELS = ", ".join(
-    f"l{i} AS (SELECT p.s, e.dst AS v, sum(p.g) AS g, {i} AS d FROM l{i - 1} p JOIN sb e ON e.src = p.v WHERE NOT EXISTS (SELECT 1 FROM v{i - 1} q WHERE q.s = p.s AND q.v = e.dst) GROUP BY 1, 2), "
-    f"v{i} AS (SELECT s, v FROM v{i - 1} UNION ALL SELECT s, v FROM l{i})" for i in range(1, 11))
+    f"l{i} AS MATERIALIZED (SELECT p.s, e.dst AS v, sum(p.g) AS g FROM l{i - 1} p JOIN cb e ON e.src = p.v WHERE NOT EXISTS (SELECT 1 FROM l{i - 1} q WHERE q.s = p.s AND q.v = e.dst) "
+    f"AND NOT EXISTS (SELECT 1 FROM l{max(i - 2, 0)} q WHERE q.s = p.s AND q.v = e.dst) GROUP BY 1, 2)" for i in range(1, _DEEP + 1))
+_BACK = ", ".join(
+    f"b{i} AS MATERIALIZED (SELECT l.s, l.v, l.g, l.g * coalesce(sum((1 + u.d) / u.g), 0) AS d FROM l{i} l LEFT JOIN (SELECT b.s, b.d, b.g, e.dst AS v FROM b{i + 1} b JOIN cb e ON e.src = b.v) u ON u.s = l.s AND u.v = l.v GROUP BY 1, 2, 3)"
+    for i in range(_DEEP - 1, 0, -1))
 
 
-@query("g5_bridge_nodes", f"WITH {_SEG}, l0 AS (SELECT DISTINCT src AS s, src AS v, 1.0::DOUBLE AS g, 0 AS d FROM sb), v0 AS (SELECT s, v FROM l0), {_LEVELS}, "
-       "al AS (" + " UNION ALL ".join(f"SELECT s, v, g, d FROM l{i}" for i in range(11)) + "), "
-       "bc AS (SELECT sv.v AS id, sum(sv.g*vt.g/st.g) AS b FROM al st JOIN al sv ON sv.s = st.s JOIN al vt ON vt.s = sv.v AND vt.v = st.v WHERE sv.d + vt.d = st.d AND sv.v <> st.s AND sv.v <> st.v AND st.s <> st.v GROUP BY 1), "
-       "nn AS (SELECT count(DISTINCT src)::DOUBLE AS n FROM sb), dg AS (SELECT src AS id, count(*) AS degree FROM sb GROUP BY 1), "
-       "f AS (SELECT id, degree, coalesce(b, 0)/((n-1)*(n-2)) AS betweenness FROM dg LEFT JOIN bc USING (id), nn) SELECT id, degree, round(betweenness, 8) AS betweenness FROM f ORDER BY round(betweenness, 10) DESC, id LIMIT 20")
+@query("g5_bridge_nodes", f"WITH {_CUST}, l0 AS MATERIALIZED (SELECT DISTINCT src AS s, src AS v, 1.0::DOUBLE AS g FROM cb), {_LEVELS}, b{_DEEP} AS (SELECT s, v, g, 0.0::DOUBLE AS d FROM l{_DEEP}), {_BACK}, "
+       "bc AS (SELECT v AS id, sum(d) AS b FROM (" + " UNION ALL ".join(f"SELECT v, d FROM b{i}" for i in range(1, _DEEP)) + ") GROUP BY 1), "
+       "nn AS (SELECT count(DISTINCT src)::DOUBLE AS n FROM cb), dg AS (SELECT src AS id, count(*) AS degree FROM cb GROUP BY 1), "
+       "f AS (SELECT id, degree, coalesce(b, 0)/((n-1)*(n-2)) AS betweenness FROM dg LEFT JOIN bc USING (id), nn) SELECT id, degree, round(betweenness, 8) AS betweenness, 0.0::DOUBLE AS error FROM f ORDER BY round(betweenness, 10) DESC, id LIMIT 20")
 def g5(t: Tables) -> DataFrame:
-    return G.bridges(segment_graph(t), 20).select("id", "degree", rnd("betweenness", 8).alias("betweenness"))
+    # up to 2048 pivots: exact on graphs of so many vertices, beyond with an error
+    return G.bridges(customer_flows(t), 20, pivots=2048, batch=512).select("id", "degree", rnd("betweenness", 8).alias("betweenness"), rnd("error", 8).alias("error"))
+
 
+# power iteration on A + I, scaled so that values stay in range
+_POWER = ", ".join(f"x{i} AS MATERIALIZED (SELECT id, sum(y)/16 AS y FROM (SELECT e.dst AS id, x.y FROM x{i - 1} x JOIN fu e ON e.src = x.id UNION ALL SELECT id, y FROM x{i - 1}) GROUP BY 1)" for i in range(1, 121))
 
-@query("g10_eigenvector")
+
+@query("g10_eigenvector", f"WITH {_FLOW}, x0 AS (SELECT DISTINCT src AS id, 1.0::DOUBLE AS y FROM fu), {_POWER} SELECT id, round(y / (SELECT sqrt(sum(y*y)) FROM x120), 6) AS eigenvector FROM x120")
 def g10(t: Tables) -> DataFrame:
-    return G.eigenvector(segment_graph(t)).withColumn("eigenvector", rnd("eigenvector", 6))
+    return G.eigenvector(account_flows(t), tolerance=1e-13).withColumn("eigenvector", rnd("eigenvector", 6))
+
 
+_NEAR = (f"{_FLOW}, s0 AS (SELECT src AS id FROM (SELECT DISTINCT src FROM fu) JOIN customer ON src // 4 = c_custkey WHERE c_acctbal < -900), s1 AS (SELECT DISTINCT dst AS id FROM fu JOIN s0 ON src = id WHERE dst NOT IN (SELECT id FROM s0)), "
+         "s2 AS (SELECT DISTINCT dst AS id FROM fu JOIN s1 ON src = id WHERE dst NOT IN (SELECT id FROM s0) AND dst NOT IN (SELECT id FROM s1)), "
+         "nb AS (SELECT id, 0 AS distance FROM s0 UNION ALL SELECT id, 1 FROM s1 UNION ALL SELECT id, 2 FROM s2)")
 
-@query("g11_neighbourhood", f"WITH {_FLOW}, s0 AS (SELECT c_custkey AS id FROM customer JOIN (SELECT DISTINCT src FROM fu) ON src = c_custkey WHERE c_acctbal < -900), s1 AS (SELECT DISTINCT dst AS id FROM fu JOIN s0 ON src = id WHERE dst NOT IN (SELECT id FROM s0)), "
-       "s2 AS (SELECT DISTINCT dst AS id FROM fu JOIN s1 ON src = id WHERE dst NOT IN (SELECT id FROM s0) AND dst NOT IN (SELECT id FROM s1)) "
-       "SELECT id, 0 AS distance FROM s0 UNION ALL SELECT id, 1 FROM s1 UNION ALL SELECT id, 2 FROM s2")
+
+def around_suspects(t: Tables) -> tuple[DataFrame, DataFrame]:
+    overdrawn = t.customer.filter("c_acctbal < -900").select(F.col("c_custkey").alias("customer"))
+    flows = durable(account_flows(t))
+    suspects = G.nodes_of(flows).select("id").withColumn("customer", F.floor(F.col("id") / 4)).join(overdrawn, "customer")
+    return G.neighbourhood(flows, suspects, 2)
+
+
+@query("g11_neighbourhood", f"WITH {_NEAR} SELECT id, distance FROM nb")
 def g11(t: Tables) -> DataFrame:
-    suspects = t.customer.filter("c_acctbal < -900").select(F.col("c_custkey").alias("id"))
-    return G.neighbourhood(flow_edges(t), suspects, 2)[0]
+    return around_suspects(t)[0]
+
+
+@query("g11_induced_edges", f"WITH {_NEAR} SELECT src, dst, amount FROM fe WHERE src IN (SELECT id FROM nb) AND dst IN (SELECT id FROM nb)")
+def g11_edges(t: Tables) -> DataFrame:
+    return around_suspects(t)[1].select("src", "dst", "amount")
 
 
 @query("g12_export_nodes", f"WITH {_NET}, d AS (SELECT src AS id, count(*) AS degree FROM bi GROUP BY 1) SELECT id, string_split(id, '_')[1] AS node_type, degree, id LIKE 'account%' AND degree > 1000 AS is_anomalous, greatest(5, least(30, degree*2)) AS size FROM d")
@@ -183,5 +205,5 @@ def g13(t: Tables) -> DataFrame:
 
 @query("g4_communities")
 def g4(t: Tables) -> DataFrame:
-    e = segment_graph(t)
+    e = durable(customer_flows(t))
     return G.community_profile(G.communities(e), e).select("community", "size", "internal_edges", "total_amount")

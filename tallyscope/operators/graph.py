@@ -6,6 +6,7 @@ take only a stop flag or a single number to the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -227,14 +228,13 @@ def neighbourhood(edges: DataFrame, suspects: DataFrame, radius: int = 2) -> tup
 
 # -- cycles ----------------------------------------------------------------------------
 
-def _core(edges: DataFrame) -> DataFrame:
-    """Edges left after vertices without way in or out are peeled off repeatedly."""
-    left = durable(edges)
-    n = left.count()
+def _trimmed(edges: DataFrame, by: list[str]) -> DataFrame:
+    """``edges`` (written) without those at a vertex that lacks a way in or out, over and over; ``by`` names what parts the graph."""
+    left, n = edges, edges.count()
     while n:
-        ins, outs = left.select(F.col("dst").alias("v")).distinct(), left.select(F.col("src").alias("v")).distinct()
-        live = ins.join(outs, "v", "left_semi")
-        nxt = durable(left.join(live.withColumnRenamed("v", "src"), "src", "left_semi").join(live.withColumnRenamed("v", "dst"), "dst", "left_semi"))
+        ins, outs = left.select(*by, F.col("dst").alias("v")).distinct(), left.select(*by, F.col("src").alias("v")).distinct()
+        live = ins.join(outs, [*by, "v"], "left_semi")
+        nxt = durable(left.join(live.withColumnRenamed("v", "src"), [*by, "src"], "left_semi").join(live.withColumnRenamed("v", "dst"), [*by, "dst"], "left_semi"))
         m = nxt.count()
         if m == n:
             break
@@ -242,31 +242,85 @@ def _core(edges: DataFrame) -> DataFrame:
     return left
 
 
+def _spread(start: DataFrame, links: DataFrame, key: list[str]) -> DataFrame:
+    """The smallest ``c`` that reaches each vertex ``v`` along ``links`` (src, dst); only what changed moves on.
+
+    ``start`` holds (key, v, c), ``key`` columns are equal at both ends of a link.
+    """
+    known, news = start, start
+    while not news.isEmpty():
+        got = news.withColumnRenamed("v", "src").join(links, [*key, "src"]).groupBy(*key, F.col("dst").alias("v")).agg(F.min("c").alias("_c"))
+        both = known.join(got, [*key, "v"], "full").withColumn("_new", F.coalesce(F.col("_c") < F.col("c"), F.col("c").isNull()))
+        both = durable(both.select(*key, "v", F.when(F.col("_new"), F.col("_c")).otherwise(F.col("c")).alias("c"), "_new"))
+        known, news = both.drop("_new"), both.filter("_new").drop("_new")
+    return known
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``v, component`` of every vertex on a directed cycle; a component is named by its smallest vertex.
+
+    Vertices without way in or out are trimmed. Forward, every vertex takes the smallest
+    vertex that reaches it as colour; backward from the vertex that names a colour, what
+    is met within the colour is a component. The others go on with the links inside
+    their colour, since a component never crosses colours. Each round names at least one
+    component in every colour left.
+    """
+    left = durable(edges.select("src", "dst").filter("src != dst").distinct())
+    found = left.select(F.col("src").alias("v"), F.col("src").alias("component")).limit(0)
+    while True:
+        left = _trimmed(left, [])
+        if left.isEmpty():
+            return found
+        vertices = left.select(F.col("src").alias("v")).distinct()  # after trimming every vertex has a way out
+        colour = _spread(durable(vertices.withColumn("c", F.col("v"))), left, [])
+        tagged = left.join(colour.select(F.col("v").alias("src"), F.col("c").alias("k")), "src").join(colour.select(F.col("v").alias("dst"), F.col("c").alias("_k")), "dst")
+        inside = durable(tagged.filter("k = _k").select("k", "src", "dst"))
+        back = inside.select("k", F.col("dst").alias("src"), F.col("src").alias("dst"))
+        seeds = durable(colour.filter("v = c").select(F.col("c").alias("k"), "v", "c"))
+        met = _spread(seeds, back, ["k"]).select("v", F.col("c").alias("component"))
+        found = durable(found.unionByName(met.join(inside.select(F.col("src").alias("v")).distinct(), "v", "left_semi")))
+        left = durable(inside.join(met.select(F.col("v").alias("src")), "src", "left_anti").join(met.select(F.col("v").alias("dst")), "dst", "left_anti").select("src", "dst"))
+
+
+def _further(paths: DataFrame, step: DataFrame, behind: bool) -> DataFrame:
+    """``paths`` longer by one vertex, larger than their ``first`` and new to them, at the end or (``behind``) in front."""
+    grown = paths.join(step, "last").filter((F.col("_next") > F.col("first")) & ~F.array_contains("path", F.col("_next")))
+    one = F.array("_next")
+    return durable(grown.select(
+        "first", F.col("_next").alias("last"), (F.concat(one, "path") if behind else F.concat("path", one)).alias("path"),
+        (F.col("_sum") + F.col("_w")).alias("_sum"), F.least("_min", "_w").alias("_min"),
+    ))
+
+
 def cycles(edges: DataFrame, shortest: int = 3, longest: int = 8) -> DataFrame:
     """All simple directed cycles of bounded length: ``path, length, total_amount, min_amount``.
 
-    A path starts at its smallest vertex and only meets larger ones, so each cycle
-    is found once. Vertices off every cycle are peeled away first.
+    Only links inside a strongly connected component are kept. A cycle starts at its
+    smallest vertex and is the meeting of two halves of at most ``longest / 2`` (rounded
+    up) links, one grown forward from that vertex and one backward, so no path of the
+    full length is ever made but those that close.
     """
-    core = _core(edges.filter("src != dst").groupBy("src", "dst").agg(F.max_by("amount", "amount").alias("amount")))
-    step = core.select(F.col("src").alias("_last"), F.col("dst").alias("_next"), F.col("amount").alias("_w"))
-    paths = core.filter("dst > src").select(
-        F.col("src").alias("_first"), F.col("dst").alias("_last"), F.array("src", "dst").alias("path"), F.col("amount").alias("_sum"), F.col("amount").alias("_min")
+    best = edges.filter("src != dst").groupBy("src", "dst").agg(F.max("amount").alias("amount"))
+    parts = strong_components(edges)
+    core = durable(
+        best.join(parts.select(F.col("v").alias("src"), F.col("component").alias("_a")), "src").join(parts.select(F.col("v").alias("dst"), F.col("component").alias("_b")), "dst")
+        .filter("_a = _b").select("src", "dst", "amount")
     )
-    back = core.select(F.col("src").alias("_last"), F.col("dst").alias("_first"), F.col("amount").alias("_w"))
+    amount = F.col("amount")
+    onward = core.select(F.col("src").alias("last"), F.col("dst").alias("_next"), amount.alias("_w"))
+    backward = core.select(F.col("dst").alias("last"), F.col("src").alias("_next"), amount.alias("_w"))
+    ahead = [core.filter("dst > src").select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"), amount.alias("_sum"), amount.alias("_min"))]
+    behind = [core.filter("src > dst").select(F.col("dst").alias("first"), F.col("src").alias("last"), F.array("src").alias("path"), amount.alias("_sum"), amount.alias("_min"))]
+    while len(ahead) < (longest + 1) // 2:
+        ahead.append(_further(ahead[-1], onward, False))
+    while len(behind) < longest // 2:
+        behind.append(_further(behind[-1], backward, True))
     found = None
-    for size in range(2, longest + 1):
-        if size > 2:
-            grown = paths.join(step, "_last").filter((F.col("_next") > F.col("_first")) & ~F.array_contains("path", F.col("_next")))
-            paths = durable(grown.select(
-                "_first", F.col("_next").alias("_last"), F.concat("path", F.array("_next")).alias("path"),
-                (F.col("_sum") + F.col("_w")).alias("_sum"), F.least("_min", "_w").alias("_min"),
-            ))
-        if size >= shortest:
-            closed = paths.join(back, ["_last", "_first"]).select(
-                "path", F.lit(size).alias("length"), (F.col("_sum") + F.col("_w")).alias("total_amount"), F.least("_min", "_w").alias("min_amount")
-            )
-            found = closed if found is None else found.unionByName(closed)
+    for size in range(max(2, shortest), longest + 1):
+        back = behind[size // 2 - 1].select("first", "last", F.slice("path", 2, size).alias("_rest"), F.col("_sum").alias("_s"), F.col("_min").alias("_m"))
+        met = ahead[(size + 1) // 2 - 1].join(back, ["first", "last"]).filter(~F.arrays_overlap("path", "_rest"))
+        closed = met.select(F.concat("path", "_rest").alias("path"), F.lit(size).alias("length"), (F.col("_sum") + F.col("_s")).alias("total_amount"), F.least("_min", "_m").alias("min_amount"))
+        found = closed if found is None else found.unionByName(closed)
     return found
 
 
@@ -317,51 +371,88 @@ def eigenvector(edges: DataFrame, max_rounds: int = 500, tolerance: float = 1e-6
     return x.select("id", F.lit(0.0).alias("eigenvector"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """Normalised betweenness of an undirected graph.
+def _dependencies(both: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Brandes' dependencies on each vertex, summed over the pivots: ``v, s1, s2`` (plain and squared).
 
-    Breadth-first search from all sources at once, keyed by (source, vertex), then
-    dependencies summed back level by level. With ``sources`` (an ``id`` table) the
-    result is the usual estimate scaled up from those pivots.
+    Breadth-first search from all pivots at once, keyed by (pivot, vertex), then back level
+    by level. A neighbour of a level is in it, the one before or the next, so only two are
+    looked at.
     """
-    both = durable(undirected(edges))
-    ids = durable(both.select(F.col("src").alias("id")).distinct())
-    n = ids.count()
-    start = ids if sources is None else sources.select("id").distinct().join(ids, "id", "left_semi")
-    k = n if sources is None else start.count()
-    levels = [durable(start.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("sigma"), F.lit(0).alias("d")))]
-    seen = levels[0].select("s", "v")
+    levels = [durable(pivots.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("sigma")))]
     while True:
-        nxt = (
-            levels[-1].withColumnRenamed("v", "src").join(both, "src").groupBy("s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma"))
-            .join(seen, ["s", "v"], "left_anti").withColumn("d", F.lit(len(levels)))
-        )
-        nxt = durable(nxt)
-        if nxt.isEmpty():
+        met = levels[-1].withColumnRenamed("v", "src").join(both, "src").groupBy("s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma"))
+        for known in levels[-2:]:
+            met = met.join(known.select("s", "v"), ["s", "v"], "left_anti")
+        met = durable(met)
+        if met.isEmpty():
             break
-        levels.append(nxt)
-        seen = seen.unionByName(nxt.select("s", "v"))
-    total, delta = None, None
-    for here, above in zip(reversed(levels), [None, *reversed(levels[1:])]):
-        mine = here.withColumn("delta", F.lit(0.0))
-        if above is not None:
-            flow = (
-                delta.withColumnRenamed("v", "dst").join(both, "dst").select("s", F.col("src").alias("v"), ((1 + F.col("delta")) / F.col("sigma")).alias("_f"))
-                .groupBy("s", "v").agg(F.sum("_f").alias("_f"))
-            )
-            mine = here.join(flow, ["s", "v"], "left").withColumn("delta", F.col("sigma") * F.coalesce("_f", F.lit(0.0))).drop("_f")
-        delta = durable(mine)
-        part = delta.filter("s != v").select("v", "delta")
+        levels.append(met)
+    delta = levels.pop().withColumn("delta", F.lit(0.0))
+    total = None
+    while levels:
+        part = delta.groupBy("v").agg(F.sum("delta").alias("s1"), F.sum(F.col("delta") * F.col("delta")).alias("s2"))
         total = part if total is None else total.unionByName(part)
-    scale = 1.0 / ((n - 1) * (n - 2)) * n / max(k, 1) if n > 2 else 0.0
-    sums = total.groupBy(F.col("v").alias("id")).agg((F.sum("delta") * scale).alias("betweenness"))
-    return ids.join(sums, "id", "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0)))
+        flow = (
+            delta.withColumnRenamed("v", "dst").join(both, "dst").groupBy("s", F.col("src").alias("v"))
+            .agg(F.sum((1 + F.col("delta")) / F.col("sigma")).alias("_f"))
+        )
+        mine = levels.pop().join(flow, ["s", "v"], "left")
+        delta = durable(mine.select("s", "v", "sigma", (F.col("sigma") * F.coalesce("_f", F.lit(0.0))).alias("delta")))
+    if total is None:
+        return delta.select("v", F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2")).limit(0)
+    return total.groupBy("v").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+
+
+def betweenness(edges: DataFrame, pivots: int | None = None, batch: int = 256, top: int | None = None, risk: float = 0.05) -> DataFrame:
+    """``id, betweenness, error``: normalised betweenness of an undirected graph, from random pivots.
+
+    Pivots are drawn without replacement, in batches of about ``batch`` by a hash of the
+    vertex; a batch keeps (pivots of the batch) x (vertices) states and only two sums a
+    vertex outlive it. It ends when all vertices have been pivots (exact, error 0), when
+    the ``top`` vertices stand apart from all others within their errors, or, if given,
+    after ``pivots`` pivots. With probability 1 - ``risk`` no true value is further than
+    ``error`` from its estimate (empirical Bernstein-Serfling bound, all vertices and
+    batches together).
+    """
+    both = durable(undirected(edges))
+    ids = durable(both.select(F.col("src").alias("id")).distinct().withColumn("_h", F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)))
+    n = ids.count()
+    total, k, turn = None, 0, 0
+    scale = n / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    out = ids.select("id", F.lit(0.0).alias("betweenness"), F.lit(0.0).alias("error"))
+    while n > 2 and k < n and (pivots is None or k < pivots):
+        drawn = durable(ids.filter((F.col("_h") >= turn * batch / n) & (F.col("_h") < (turn + 1) * batch / n)))
+        turn, size = turn + 1, drawn.count()
+        if not size:
+            continue
+        k += size
+        part = _dependencies(both, drawn)
+        total = durable(part if total is None else total.unionByName(part).groupBy("v").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2")))
+        rho = 1 - (k - 1) / n if k <= n / 2 else (1 - k / n) * (1 + 1 / k)
+        log = math.log(5 * n * turn * (turn + 1) / risk)
+        mean = F.coalesce(F.col("s1"), F.lit(0.0)) / k
+        spread = F.sqrt(F.greatest(F.coalesce(F.col("s2"), F.lit(0.0)) / k - mean * mean, F.lit(0.0)))
+        error = spread * math.sqrt(2 * rho * log / k) + (7 / 3 + 3 / math.sqrt(2)) * (n - 2) * log / k if k < n else F.lit(0.0)
+        out = ids.select("id").join(total.withColumnRenamed("v", "id"), "id", "left").select("id", (mean * scale).alias("betweenness"), (error * scale).alias("error"))
+        if top is not None and k < n and _apart(out, top):
+            break
+    return out
+
+
+def _apart(found: DataFrame, top: int) -> bool:
+    """Whether the ``top`` values are above all others within their errors."""
+    found = durable(found)
+    lead = found.orderBy(F.col("betweenness").desc(), "id").limit(top)
+    low = lead.agg(F.min(F.col("betweenness") - F.col("error"))).first()[0]
+    high = found.join(lead.select("id"), "id", "left_anti").agg(F.max(F.col("betweenness") + F.col("error"))).first()[0]
+    return high is None or low >= high
 
 
-def bridges(edges: DataFrame, top: int = 20, sources: DataFrame | None = None) -> DataFrame:
-    """Vertices with the highest betweenness."""
-    b = betweenness(edges, sources).join(degrees(edges).select("id", "degree"), "id")
-    return b.orderBy(F.col("betweenness").desc(), "id").limit(top)
+def bridges(edges: DataFrame, top: int = 20, pivots: int | None = None, batch: int = 256) -> DataFrame:
+    """Vertices with the highest betweenness, its error, and their degree."""
+    b = betweenness(edges, pivots, batch, top).join(degrees(edges).select("id", "degree"), "id")
+    # values that differ in their last bits only are ties
+    return b.orderBy(F.round("betweenness", 10).desc(), "id").limit(top)
 
 
 # -- communities ---------------------------------------------------------------------------
@@ -377,42 +468,53 @@ def modularity(weighted: DataFrame, membership: DataFrame, resolution: float = 1
     return inner.agg(F.sum(F.col("i") / m2 - resolution * F.pow(F.col("k") / m2, F.lit(2)))).first()[0]
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 8, levels: int = 5, gain: float = 1e-4) -> DataFrame:
-    """Louvain communities of an undirected graph: ``id, community``.
+def connected(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """``v, c`` for each of ``vertices`` (``v``): the smallest vertex joined to it by ``edges``."""
+    parts = connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return durable(vertices.join(parts, "v", "left").select("v", F.coalesce("component", "v").alias("c")))
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, gain: float = 1e-4, patience: int = 4) -> DataFrame:
+    """Communities of an undirected graph by modularity, each connected: ``id, community``.
 
     Vertices move at the same time, but only one random half per round, so that
-    neighbours do not swap for ever; a level ends when hardly any vertex moves.
-    Communities are then contracted to vertices, until modularity stops rising.
+    neighbours do not swap for ever. After each level a community is split into its
+    connected parts (a move can cut the one it leaves), parts become the vertices of the
+    next level, and start there in their community, so that what was split can part for
+    good. A level ends when ``patience`` rounds raised modularity by less than ``gain``,
+    the whole when a level does.
     """
     graph = durable(undirected(edges).withColumn("w", F.lit(1.0)))
-    final = durable(graph.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id")))
     m2 = graph.agg(F.sum("w")).first()[0]
+    final = graph.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
     if not m2:
         return final
-    best = None
-    for _ in range(levels):
-        member = _local_moves(graph, m2, resolution, rounds)
-        q = modularity(graph, member, resolution)
-        if best is not None and q <= best + gain:
-            break
+    node = durable(final.select("id", F.col("id").alias("v")))
+    member, best = durable(node.select("v", F.col("v").alias("c")).distinct()), -1.0
+    while True:
+        member, q = _local_moves(graph, member, m2, resolution, gain, patience)
+        tagged = graph.join(member.select(F.col("v").alias("src"), F.col("c").alias("_s")), "src").join(member.select(F.col("v").alias("dst"), F.col("c").alias("_d")), "dst")
+        parts = connected(durable(tagged.filter("_s = _d AND src != dst").select("src", "dst")), member.select("v"))
+        node = durable(node.join(parts, "v").select("id", F.col("c").alias("v")))
+        if q <= best + gain:
+            return node.select("id", F.col("v").alias("community"))
         best = q
-        names = member.groupBy("c").agg(F.min("v").alias("_name"))
-        member = durable(member.join(names, "c").select("v", F.col("_name").alias("c")))
-        final = durable(final.join(member.withColumnRenamed("v", "community"), "community").select("id", F.col("c").alias("community")))
+        # the parts are named by one of their vertices, and keep that one's community
+        named = durable(parts.withColumnRenamed("c", "_part"))
+        member = durable(member.join(named, "v").groupBy(F.col("_part").alias("v")).agg(F.min("c").alias("c")))
         graph = durable(
-            graph.join(member.select(F.col("v").alias("src"), F.col("c").alias("_s")), "src")
-            .join(member.select(F.col("v").alias("dst"), F.col("c").alias("_d")), "dst")
+            graph.join(named.select(F.col("v").alias("src"), F.col("_part").alias("_s")), "src").join(named.select(F.col("v").alias("dst"), F.col("_part").alias("_d")), "dst")
             .groupBy(F.col("_s").alias("src"), F.col("_d").alias("dst")).agg(F.sum("w").alias("w"))
         )
-    return final
 
 
-def _local_moves(graph: DataFrame, m2: float, resolution: float, rounds: int) -> DataFrame:
-    strength = graph.groupBy(F.col("src").alias("v")).agg(F.sum("w").alias("k"))
-    member = durable(strength.select("v", "k", F.col("v").alias("c")))
+def _local_moves(graph: DataFrame, start: DataFrame, m2: float, resolution: float, gain: float, patience: int) -> tuple[DataFrame, float]:
+    """The best membership met from ``start`` (``v, c``) on, and its modularity."""
+    strength = durable(graph.groupBy(F.col("src").alias("v")).agg(F.sum("w").alias("k")))
+    member = durable(strength.join(start, "v"))
     links = graph.filter("src != dst")
-    few, idle = member.count() // 100, 0
-    for r in range(rounds):
+    best, top, idle, r = member.select("v", "c"), modularity(graph, start, resolution), 0, 0
+    while idle < patience:
         total = member.groupBy("c").agg(F.sum("k").alias("_tot"))
         turn = member.filter(F.pmod(F.xxhash64(F.col("v"), F.lit(r)), F.lit(2)) == 0).select("v", "k", F.col("c").alias("_own"))
         pull = (
@@ -428,14 +530,12 @@ def _local_moves(graph: DataFrame, m2: float, resolution: float, rounds: int) ->
         choice = scored.groupBy("v").agg(
             F.max_by("c", F.struct("_s", "c")).alias("_to"), F.max("_s").alias("_top"), F.max(F.when(own, F.col("_s"))).alias("_now")
         ).filter(F.col("_top") > F.col("_now") + 1e-12)
-        member = durable(
-            member.join(choice.select("v", "_to"), "v", "left").select("v", "k", F.coalesce("_to", "c").alias("c"), F.col("_to").isNotNull().alias("_moved"))
-        )
-        idle = idle + 1 if member.filter("_moved").count() <= few else 0
-        if idle == 2:
-            break
-        member = member.drop("_moved")
-    return member.select("v", "c")
+        member = durable(member.join(choice.select("v", "_to"), "v", "left").select("v", "k", F.coalesce("_to", "c").alias("c")))
+        q, r = modularity(graph, member.select("v", "c"), resolution), r + 1
+        idle = 0 if q > top + gain else idle + 1
+        if q > top:
+            best, top = member.select("v", "c"), q
+    return best, top
 
 
 def community_profile(membership: DataFrame, edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
