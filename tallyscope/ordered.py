@@ -5,7 +5,9 @@ task. When a key can hold a third of the table, that task never ends. The
 functions here cut each key into *buckets* by a monotone expression of the
 ordering column (a day, an hour, a log-scale value class), run the window inside
 ``(key, bucket)`` and add what comes from earlier buckets, which needs only one
-summary row per bucket.
+summary row per bucket. A bucket that still holds too many rows (an hour of one key
+with most of the table, or one instant) is cut into parts of about equal size at
+borders drawn from its own rows.
 """
 
 from __future__ import annotations
@@ -47,6 +49,35 @@ def attach(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "l
     return left.join(renamed, _null_safe(left, renamed, cols), how).drop(*["_r_" + c for c in cols])
 
 
+#: Rows of a (key, bucket) from which on it is cut into parts; sampled rows for a part.
+MOST, _DRAWN, _SPAN = 500_000, 64, 32
+
+
+def split(df: DataFrame, keys: Sequence[str], order: Sequence[Column], most: int = MOST) -> DataFrame:
+    """``df`` with ``_part``, which cuts each (``keys``, ``_bucket``) of more than ``most`` rows along ``order``.
+
+    Crowded buckets are found by counting. Their rows are drawn by a hash of the key and
+    order, some ``_DRAWN`` for a part, and every ``_DRAWN``-th of the drawn ones, in
+    order, is a border: parts hold ``most`` rows give or take a few eighths. A table
+    without crowded buckets has no borders, and adaptive execution drops the join.
+    """
+    cut = [*keys, "_bucket"]
+    crowded = df.groupBy(*cut).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > most)
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    drawn = attach(df.withColumn("_place", place), crowded, cut, "inner")
+    share = F.lit(float(_DRAWN)) * (1 << 30) / most
+    drawn = drawn.filter(F.pmod(F.xxhash64(*cut, "_place"), F.lit(1 << 30)) < share)
+    found = drawn.groupBy(*cut).agg(F.array_sort(F.collect_list("_place")).alias("_all"))
+    kept = F.filter("_all", lambda x, i: i % _DRAWN == _DRAWN - 1)
+    borders = found.select(*cut, kept.alias("_borders")).withColumn("_heads", F.filter("_borders", lambda x, i: i % _SPAN == 0))
+    joined = attach(df.withColumn("_place", place), borders, cut)
+    # two steps: the span of borders, then the border inside it
+    span = F.size(F.filter("_heads", lambda x: x <= F.col("_place")))
+    inside = F.size(F.filter(F.slice("_borders", (span - 1) * _SPAN + 1, F.lit(_SPAN)), lambda x: x <= F.col("_place")))
+    part = F.when(F.col("_borders").isNull() | (span == 0), 0).otherwise((span - 1) * _SPAN + inside)
+    return joined.withColumn("_part", part).drop("_borders", "_heads", "_place")
+
+
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -56,16 +87,18 @@ def scan(
     lags: Mapping[str, Column] | None = None,
     leads: Mapping[str, Column] | None = None,
     row_number: str | None = None,
+    most: int = MOST,
 ) -> DataFrame:
     """Running sums, previous/next values and row numbers per key.
 
     ``order`` must be a total order inside a key and ``bucket`` must never
-    decrease along it. ``sums`` are inclusive running sums.
+    decrease along it. ``sums`` are inclusive running sums. No window runs over many
+    more than ``most`` rows.
     """
     sums, lags, leads = dict(sums or {}), dict(lags or {}), dict(leads or {})
     keys = list(keys)
-    cut = [*keys, "_bucket"]
-    base = df.withColumn("_bucket", bucket)
+    cut = [*keys, "_bucket", "_part"]
+    base = split(df.withColumn("_bucket", bucket), keys, order, most)
     inside = W.partitionBy(*cut).orderBy(*order)
     running = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     cols: dict[str, Column] = {"_rn": F.row_number().over(inside).cast("long")}
@@ -85,8 +118,8 @@ def scan(
     totals += [F.min_by(F.struct(col.alias("v")), rank).alias(f"_first_{name}") for name, col in leads.items()]
     per_bucket = base.groupBy(*cut).agg(*totals)
 
-    # one row per (key, bucket): its count is bounded by the bucket range, not by the data
-    steps = W.partitionBy(*keys).orderBy("_bucket") if keys else W.partitionBy(F.lit(0)).orderBy("_bucket")
+    # one row per (key, bucket, part)
+    steps = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket", "_part")
     before = steps.rowsBetween(W.unboundedPreceding, -1)
     off: list[Column] = [F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off")]
     off += [F.sum(f"_t_{name}").over(before).alias(f"_o_{name}") for name in sums]
