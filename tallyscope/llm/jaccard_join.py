@@ -11,7 +11,8 @@ With 24 bands a pair of similarity 0.8 is missed with probability 3e-6, and the
 default tolerance of 1e-6 drops about as few.
 
 Null texts count as empty. Texts without a word link to nothing, but equal ones are
-one class. Rows without an id are left out. Rows that share an id count as one.
+one class. Rows without an id are left out. Rows that share an id are judged by their
+own texts; repeated rows are copies. Ids of any type that can be ordered will do.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def ngrams(offsets: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, bands: int = 24, size: int = 128, step: int = 32, tolerance: float = 1e-6) -> DataFrame:
     """``id_col``, ``class_id`` (smallest id connected by equality or links) and ``n_links`` (other texts it links to)."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter("id IS NOT NULL")
+    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter("id IS NOT NULL")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, 1):
@@ -61,18 +62,27 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
             bits = packed(signs).to_pylist()
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([x if s else None for x, s in zip(bits, some)], pa.binary())], ["id", "equal", "sign"])
 
-    signed = durable(docs.withColumn("equal", F.unhex(F.md5("text"))).mapInArrow(sign, "id long, equal binary, sign binary"))
-    classes = durable(signed.groupBy("equal").agg(F.min("id").alias("rep"), F.min_by("sign", "id").alias("sign")))
-    items = classes.filter("sign IS NOT NULL").select(F.col("rep").alias("id"), "sign")
+    docs = docs.select("id", "text", F.unhex(F.md5("text")).alias("equal"))
+    kind = docs.schema["id"].dataType.simpleString()
+    signed = durable(docs.mapInArrow(sign, f"id {kind}, equal binary, sign binary"))
+    classes = signed.groupBy("equal").agg(F.min("id").alias("rep"), F.first("sign").alias("sign"))
+    # numbers are fixed by the written table
+    classes = durable(classes.select(F.monotonically_increasing_id().alias("item"), "equal", "rep", "sign"))
+    items = classes.filter("sign IS NOT NULL").select(F.col("item").alias("id"), "sign")
 
     def fetch(wanted: DataFrame, rows: int) -> DataFrame:
-        return docs.join(if_small(wanted, rows), "id", "left_semi")
+        at = classes.select("item", "equal", F.col("rep").alias("id")).join(if_small(wanted.withColumnRenamed("id", "item"), rows), "item", "left_semi")
+        at = if_small(durable(at), rows)
+        return docs.join(at, ["id", "equal"]).select(F.col("item").alias("id"), "text").dropDuplicates(["id"])  # a row may repeat
 
     def sets(texts: list[str]) -> list[np.ndarray]:
         grams, begin = ngrams(*flat(pa.array(texts, pa.large_string())), n)
         return [grams[a:b] for a, b in zip(begin[:-1], begin[1:])]
 
     links, linked = similar(items, fetch, sets, bands, threshold, least_matches(size, step, threshold, tolerance))
-    about = classes.select("equal", "rep").join(linked.withColumnRenamed("id", "rep"), "rep", "left").join(links.withColumnRenamed("id", "rep"), "rep", "left")
-    about = about.select("equal", F.coalesce("component", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    about = classes.select("item", "equal", "rep").join(linked.withColumnRenamed("id", "item"), "item", "left").join(links.withColumnRenamed("id", "item"), "item", "left")
+    about = durable(about.select("equal", "rep", "component", F.coalesce("links", F.lit(0).cast("long")).alias("n_links")))
+    # a component is named by its smallest id
+    names = about.filter("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("class_id"))
+    about = about.join(names, "component", "left").select("equal", F.coalesce("class_id", "rep").alias("class_id"), "n_links")
     return signed.select("id", "equal").join(about, "equal").select(F.col("id").alias(id_col), "class_id", "n_links")

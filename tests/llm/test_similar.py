@@ -228,3 +228,57 @@ def test_first_line_stays_whatever_the_order_of_rows(spark):
     for given in (rows, rows[::-1], rows[1:] + rows[:1]):
         gone = line_dedup.decisions(spark.createDataFrame(given, "doc_id long, text string").coalesce(1)).collect()
         assert {r.id: list(r.removed) for r in gone} == {2: [0], 3: [0]}
+
+
+def test_lines_of_repeated_ids_and_rows(spark):
+    same = "a line that several of the rows hold, long enough to be compared"
+    rows = [
+        ("b", same), ("e", same + "\nits own words are nowhere else to be found in here"), ("e", "a wholly unique sentence of this row\nand another one of its own kind"),
+        ("g", "these two rows are one and the same\nwith a second line"), ("g", "these two rows are one and the same\nwith a second line"), ("g", "these two rows are one and the same\nwith a second line"),
+        ("h", " \n "), ("h", " \n "),
+    ]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id string, text string, copies int").repartition(4)
+    gone = line_dedup.decisions(df)
+    report = sorted((r["doc_id"], r["n_lines"], list(r["removed"])) for r in line_dedup.report(df, gone).collect())
+    assert report == sorted([("b", 1, []), ("e", 2, [0]), ("e", 2, []), ("g", 2, []), ("g", 2, [0, 1]), ("g", 2, [0, 1]), ("h", 0, []), ("h", 0, [])])
+    out = line_dedup.apply(df, gone)
+    assert out.columns == df.columns
+    left = sorted((r["doc_id"], r["text"]) for r in out.collect())
+    assert left == sorted([("b", same), ("e", "its own words are nowhere else to be found in here"), rows[2], rows[3], rows[6], rows[7]])
+
+
+def test_bands_find_similar_lines(spark):
+    """Recall of the shipped bands on planted pairs of similarity 0.8 to 0.9."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    rows, pairs = [], 0
+    for i in range(500):
+        line = "".join(rng.choice(letters) for _ in range(160))
+        at = rng.sample(range(10, 150, 12), rng.choice((1, 2)))
+        near = "".join("#" if k in at else c for k, c in enumerate(line))
+        a, b = ({x[k : k + 7] for k in range(len(x) - 6)} for x in (line, near))
+        pairs += 0.8 <= len(a & b) / len(a | b)
+        rows += [(2 * i, line), (2 * i + 1, near)]
+    gone = line_dedup.decisions(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = gone.count()
+    print(f"recall of lines {found / pairs:.4f}")
+    assert pairs > 400 and 0.95 * pairs <= found <= pairs
+
+
+def test_join_of_repeated_ids_and_rows(spark):
+    rng = random.Random(6)
+    one, other = (" ".join(rng.choice(POOL) for _ in range(80)) for _ in range(2))
+    near = one.replace(one.split()[40], "changed", 1)
+    rows = [("c", one), ("c", other), ("d", near), ("d", near), ("c", one), ("a", "x y z")]
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id string, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == sorted([("c", "c", 1), ("c", "c", 1), ("d", "c", 1), ("d", "c", 1), ("c", "c", 0), ("a", "a", 0)])
+
+
+def test_line_stage_of_repeated_rows(spark, tmp_path):
+    rng = random.Random(11)
+    text = lambda: "\n".join(" ".join(rng.choice(POOL) + str(rng.randint(0, 999)) for _ in range(12)) for _ in range(3))
+    rows = [(i % 20, text(), "en", "s", 1) for i in range(40)]
+    rows += rows[:6] + rows[:6]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    out = corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == sorted({r[:2] for r in rows})
