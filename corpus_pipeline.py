@@ -5,8 +5,7 @@ stage before it kept, and returns documents of the same columns; the last return
 token ids. Documents without an id go with the first stage.
 
 An id may repeat. Rows are told apart by id and text (its hash), and judged one by
-one; of rows equal in both one is left by the near-duplicate stage. Line dedup deals
-alike with all rows of an id.
+one; of rows equal in both one is left by line dedup.
 """
 
 from __future__ import annotations
