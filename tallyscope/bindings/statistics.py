@@ -162,15 +162,15 @@ _MONTHLY = (
 def _decompose_sql(mult: bool) -> str:
     minus = "/" if mult else "-"
     return f"""
-    WITH m AS ({_MONTHLY}),
+    WITH m AS (SELECT nation, month, CAST(amount AS DECIMAL(18,2)) AS amount FROM ({_MONTHLY})),
     i AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY month) - 1 AS i,
                  count(*) OVER (PARTITION BY nation) AS cnt FROM m),
-    t AS (SELECT *, CASE WHEN i >= 6 AND i < cnt - 6 THEN (sum(amount) OVER (PARTITION BY nation ORDER BY month
-            ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) - 0.5*(lag(amount, 6) OVER (PARTITION BY nation ORDER BY month)
-            + lead(amount, 6) OVER (PARTITION BY nation ORDER BY month)))/12 END AS trend FROM i),
-    d AS (SELECT *, i % 12 AS ph, amount {minus} trend AS det FROM t),
-    ph AS (SELECT nation, ph, avg(det) AS pm FROM d GROUP BY 1, 2),
-    c AS (SELECT nation, avg(pm) AS cm FROM ph GROUP BY 1),
+    t AS (SELECT *, CASE WHEN i >= 6 AND i < cnt - 6 THEN (CAST(sum(amount) OVER (PARTITION BY nation ORDER BY month
+            ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS DOUBLE) - 0.5*CAST(lag(amount, 6) OVER (PARTITION BY nation ORDER BY month)
+            + lead(amount, 6) OVER (PARTITION BY nation ORDER BY month) AS DOUBLE))/12 END AS trend FROM i),
+    d AS (SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount), i % 12 AS ph, CAST(amount AS DOUBLE) {minus} trend AS det FROM t),
+    ph AS (SELECT nation, ph, avg(det ORDER BY month) AS pm FROM d GROUP BY 1, 2),
+    c AS (SELECT nation, avg(pm ORDER BY ph) AS cm FROM ph GROUP BY 1),
     s AS (SELECT d.*, pm {minus} cm AS seasonal, amount {minus} trend {minus} (pm {minus} cm) AS residual
           FROM d JOIN ph USING (nation, ph) JOIN c USING (nation)),
     r AS (SELECT nation, avg(residual) AS rm, stddev_samp(residual) AS rs FROM s GROUP BY 1)
@@ -182,7 +182,8 @@ def _decompose_sql(mult: bool) -> str:
 
 
 def _decomposed(t: Tables, model: str) -> DataFrame:
-    r = stats.seasonal_decompose(monthly_by_nation(t).drop("n"), ["nation"], "month", "amount", model)
+    monthly = monthly_by_nation(t).select("nation", "month", F.col("amount").cast("decimal(18,2)").alias("amount"))
+    r = stats.seasonal_decompose(monthly, ["nation"], "month", "amount", model)
     return r.select(
         "nation", "month", rnd("amount", 2).alias("amount"), "season_length",
         *[rnd(c, 6).alias(c) for c in ("trend", "seasonal", "residual")], "is_anomalous",

@@ -32,23 +32,28 @@ def chunk_paragraphs(text: Column, max_chars: int = 4000) -> Column:
     longer paragraph stays whole in a chunk of its own; blank text is kept as is.
     """
     sep = F.lit("\n\n")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+    strings = F.array().cast("array<string>")
+    # finished chunks wait in a short list, which is put away when it is full: none is copied many times
+    start = F.struct(F.array().cast("array<array<string>>").alias("away"), strings.alias("done"), F.lit("").alias("cur"))
 
     def strip(c: Column) -> Column:
         return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
     def step(s: Column, p: Column) -> Column:
-        full = F.length(s["cur"]) + F.length(p) + 2 > max_chars
+        over = F.length(s["cur"]) + F.length(p) + 2 > max_chars
+        full = F.size(s["done"]) >= 256
+        done = F.when(full, strings).otherwise(s["done"])
         return F.struct(
-            F.when(full & (s["cur"] != ""), F.concat(s["done"], F.array(strip(s["cur"]))))
-            .otherwise(s["done"]).alias("done"),
-            F.when(full, p).otherwise(F.concat(s["cur"], sep, p)).alias("cur"),
+            F.when(full, F.concat(s["away"], F.array(s["done"]))).otherwise(s["away"]).alias("away"),
+            F.when(over & (s["cur"] != ""), F.concat(done, F.array(strip(s["cur"])))).otherwise(done).alias("done"),
+            F.when(over, p).otherwise(F.concat(s["cur"], sep, p)).alias("cur"),
         )
 
-    packed = F.aggregate(
-        F.split(text, "\n\n"), start, step,
-        lambda s: F.when(strip(s["cur"]) == "", s["done"]).otherwise(F.concat(s["done"], F.array(strip(s["cur"])))),
-    )
+    def finish(s: Column) -> Column:
+        last = F.when(strip(s["cur"]) == "", s["done"]).otherwise(F.concat(s["done"], F.array(strip(s["cur"]))))
+        return F.flatten(F.concat(s["away"], F.array(last)))
+
+    packed = F.aggregate(F.split(text, sep), start, step, finish)
     return F.when(F.size(packed) == 0, F.array(text)).otherwise(packed)
 
 

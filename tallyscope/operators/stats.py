@@ -269,16 +269,20 @@ def seasonal_decompose(
     trend = F.lit(None).cast("double")
     for p in range(2, 13):
         h = p // 2
-        total = F.sum(v).over(w.rowsBetween(-h, h))
+        # decimal values are summed exactly
+        total = F.sum(value).over(w.rowsBetween(-h, h)).cast("double")
         if p % 2 == 0:
-            total = total - 0.5 * (F.lag(v, h).over(w) + F.lead(v, h).over(w))
+            total = total - 0.5 * (F.lag(value, h).over(w) + F.lead(value, h).over(w)).cast("double")
         trend = F.when(F.col("_p") == p, total / p).otherwise(trend)
     h = F.floor(F.col("_p") / 2)
     inside = (F.col("_i") >= h) & (F.col("_i") < F.col("_n") - h)
-    phase = W.partitionBy(*series, "_phase")
+    # means add up in the order of the periods, so that reruns agree to the last bit
+    all_rows = (W.unboundedPreceding, W.unboundedFollowing)
+    phase = W.partitionBy(*series, "_phase").orderBy(period).rowsBetween(*all_rows)
+    ordered = w.rowsBetween(*all_rows)
     # averaging over rows would weight phases unequally, so phases count once each
     once = F.when(F.col("_i") < F.col("_p"), F.col("_mean"))
-    centre = F.avg(once).over(whole)
+    centre = F.avg(once).over(ordered)
     out = (
         base.withColumn("trend", F.when(inside, trend))
         .withColumn("_phase", F.col("_i") % F.col("_p"))
@@ -289,8 +293,8 @@ def seasonal_decompose(
             "residual",
             v / F.col("trend") / F.col("seasonal") if mult else v - F.col("trend") - F.col("seasonal"),
         )
-        .withColumn("_rm", F.avg("residual").over(whole))
-        .withColumn("_rs", F.stddev_samp("residual").over(whole))
+        .withColumn("_rm", F.avg("residual").over(ordered))
+        .withColumn("_rs", F.stddev_samp("residual").over(ordered))
     )
     flag = F.coalesce((F.col("_rs") > 0) & (F.abs(F.col("residual") - F.col("_rm")) > threshold * F.col("_rs")), F.lit(False))
     return out.withColumn("is_anomalous", flag).select(
