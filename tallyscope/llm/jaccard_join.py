@@ -83,6 +83,6 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int =
     about = classes.select("item", "equal", "rep").join(linked.withColumnRenamed("id", "item"), "item", "left").join(links.withColumnRenamed("id", "item"), "item", "left")
     about = durable(about.select("equal", "rep", "component", F.coalesce("links", F.lit(0).cast("long")).alias("n_links")))
     # a component is named by its smallest id
-    names = about.filter("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("class_id"))
+    names = durable(about.filter("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("class_id")))
     about = about.join(names, "component", "left").select("equal", F.coalesce("class_id", "rep").alias("class_id"), "n_links")
     return signed.select("id", "equal").join(about, "equal").select(F.col("id").alias(id_col), "class_id", "n_links")

@@ -124,7 +124,7 @@ def decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     groups = counted.join(fuzzy, "equal", "left").filter((F.col("n") > 1) | F.col("component").isNotNull())
     groups = durable(groups.select("equal", "own", "component"))
     # the first of all lines of a component; items only know the first of a batch
-    first = groups.filter("component IS NOT NULL").groupBy("component").agg(F.min("own").alias("first"))
+    first = durable(groups.filter("component IS NOT NULL").groupBy("component").agg(F.min("own").alias("first")))
     groups = durable(groups.join(first, "component", "left").select("equal", F.coalesce("first", "own").alias("keep")))
     hits = all_lines.join(if_small(groups, groups.count()), "equal")
     kept = (F.col("id") == F.col("keep.doc")) & (F.col("row") == F.col("keep.row")) & (F.col("line_no") == F.col("keep.line_no"))
