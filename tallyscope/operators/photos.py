@@ -55,7 +55,7 @@ def edited(photos: DataFrame) -> DataFrame:
     return _finding(photos.filter(F.lower("software").rlike(pattern)), "software_editing", "critical", F.col("software"))
 
 
-def near_duplicates(photos: DataFrame, scope: Sequence[str] = ("work_id",), max_distance: int = 10, equal: int = 3) -> DataFrame:
+def near_duplicates(photos: DataFrame, scope: Sequence[str] = ("work_id",), max_distance: int = 10, equal: int | None = None) -> DataFrame:
     """Near-equal pictures inside a scope (work or district), by 64-bit hash."""
     pairs = hamming_pairs(photos, list(scope), "photo_id", "phash", max_distance, equal)
     return pairs.withColumn("severity", F.when(F.col("distance") <= 5, "critical").otherwise("high"))
@@ -206,11 +206,12 @@ def label_centroids(df: DataFrame, label: str, vec: str) -> DataFrame:
     )
 
 
-def zero_shot(df: DataFrame, vec: str, labels: DataFrame, block: int = 256) -> DataFrame:
+def zero_shot(df: DataFrame, vec: str, labels: DataFrame, block: int = 256, spread: int = 256) -> DataFrame:
     """Most similar label of each vector and its softmax share; ties go to the first label.
 
     ``labels`` (``label, vec``) is dealt into blocks of about ``block``; each row meets
-    each block once. With one block a row is done there; with more, rows are written
+    each block once. A block stands ``spread`` times, and a hash of the vector says with
+    which of them a row is joined, so no task has all rows of a block. With one block a row is done there; with more, rows are written
     with a number first and their best and sums are combined by it. Both ways give
     the same numbers for any count of labels.
     """
@@ -224,7 +225,9 @@ def zero_shot(df: DataFrame, vec: str, labels: DataFrame, block: int = 256) -> D
     dealt = named.select("label", unit.alias("v"), F.pmod(F.xxhash64("label"), F.lit(blocks)).alias("_b"))
     known = dealt.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("label", "v"))).alias("_known"))  # about ``block`` labels
     rows = df if blocks == 1 else durable(df.withColumn("_row", F.monotonically_increasing_id()))
-    met = rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(known, "_b").drop("_b")
+    known = known.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+    met = rows.withColumn("_at", F.pmod(F.xxhash64(vec), F.lit(spread).cast("long"))).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    met = met.join(known, ["_b", "_at"]).drop("_b", "_at")
     met = met.withColumn("_x", F.transform(F.col(vec), lambda e: e.cast("double"))).withColumn("_norm", norm(F.col("_x")))
 
     def dot(v: Column) -> Column:

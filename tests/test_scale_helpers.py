@@ -147,19 +147,27 @@ def test_hamming_pairs_are_complete(spark):
     assert pairs.count() == len({(r["a"], r["b"]) for r in pairs.collect()}) == sum(d <= 6 for d in want.values()) + sum(hashes.count(hashes[r]) > 1 for r in reps)
 
 
-def test_hamming_candidates_are_few():
-    """Chance meetings of random hashes at distance 10, among the ordered pairs."""
-    rnd = random.Random(5)
-    n = 1500
-    hashes = [rnd.getrandbits(64) for _ in range(n)]
-    slices = similarity._slices(13)
-    met = 0
-    for chosen in itertools.combinations(slices, 3):
-        mask = sum(((1 << w) - 1) << f for f, w in chosen)
-        met += sum(c * (c - 1) // 2 for c in collections.Counter(h & mask for h in hashes).values())
-    share = met / (n * (n - 1))
-    print(f"candidates: {share:.2%} of the ordered pairs")
-    assert share < 0.01
+def test_hamming_work_grows_slowly(spark):
+    """Keys and chance meetings of a random hash at distance 10, by the number of hashes in its scope."""
+    sizes = [10**k for k in (3, 4, 5, 6, 7)]
+    chosen = [r[0] for r in spark.createDataFrame([(n,) for n in sizes], "n long").orderBy("n").select(similarity.slices_for(F.col("n"), 10)).collect()]
+    work = []
+    for n, e in zip(sizes, chosen):
+        widths = [w for _, w in similarity._slices(10 + e)]
+        work.append(sum(1 + n / 2 ** sum(c) for c in itertools.combinations(widths, e)))
+    print(list(zip(sizes, chosen, map(round, work))))
+    assert chosen == sorted(chosen) and chosen[0] < chosen[-1]
+    # ten times the hashes never make five times the work of each
+    assert all(b < 5 * a for a, b in zip(work, work[1:])) and work[3] < 6000
+
+
+def test_hamming_pairs_of_scopes_of_all_sizes(spark):
+    rnd = random.Random(7)
+    rows = [(s, i, rnd.getrandbits(64)) for s, n in (("a", 5), ("b", 900), (None, 40)) for i in range(n)]
+    rows += [(s, 10_000 + i, h ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 12)))) for s, i, h in rows[::7]]
+    df = spark.createDataFrame([(s, i, h - (1 << 64) if h >> 63 else h) for s, i, h in rows], "s string, i long, h long")
+    got = [{tuple(r) for r in similarity.hamming_pairs(df.filter("s IS NOT NULL"), ["s"], "i", "h", 10, e).collect()} for e in (None, 3)]
+    assert got[0] == got[1] and len(got[0]) > 90
 
 
 def test_spread_of_a_crowded_day(spark):
