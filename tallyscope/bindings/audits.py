@@ -28,13 +28,25 @@ def m1(t: Tables) -> DataFrame:
     return r.withColumn("similarity", rnd("similarity", 8))
 
 
-@query("m2_clone_groups")
+# a sequential pass: workers in order of first day and id, each free one gathers its later free partners
+_PASS = ("WITH RECURSIVE x AS (SELECT DISTINCT s, m, i FROM (" + _ATT + ")), f AS (SELECT s, m, min(i) AS f, list(i) AS l, count(*) AS n FROM x GROUP BY 1, 2), "
+         "o AS (SELECT s, m, l, n, row_number() OVER (PARTITION BY s ORDER BY f, m) AS k FROM f), "
+         "p AS (SELECT s, ka, kb FROM (SELECT a.s, a.k AS ka, b.k AS kb, a.n + b.n AS nn, len(list_intersect(a.l, b.l)) AS o FROM o a JOIN o b ON a.s = b.s AND a.k < b.k) WHERE o >= 1 AND o >= 0.9*(nn - o) - 1e-12), "
+         "j AS (SELECT o.s, o.k, coalesce(list(kb ORDER BY kb) FILTER (WHERE kb IS NOT NULL), []) AS nb FROM o LEFT JOIN p ON p.s = o.s AND ka = o.k GROUP BY 1, 2), "
+         "r(s, k, taken, mem) AS (SELECT DISTINCT s, CAST(0 AS BIGINT), []::BIGINT[], []::BIGINT[] FROM o UNION ALL "
+         "SELECT s, k, list_concat(taken, mem), mem FROM (SELECT r.s, j.k, r.taken, CASE WHEN list_contains(r.taken, j.k) THEN [] ELSE list_filter(j.nb, lambda z: NOT list_contains(r.taken, z)) END AS mem FROM r JOIN j ON j.s = r.s AND j.k = r.k + 1)), "
+         "g AS (SELECT r.s, o.m AS leader, len(mem) + 1 AS workers, unnest(list_prepend(r.k, mem)) AS k FROM r JOIN o ON o.s = r.s AND o.k = r.k WHERE len(mem) > 0)")
+
+
+@query("m2_clone_groups", f"{_PASS}, dy AS (SELECT g.s, leader, workers, i, count(*) AS c FROM g JOIN o ON o.s = g.s AND o.k = g.k JOIN x ON x.s = o.s AND x.m = o.m GROUP BY 1, 2, 3, 4), "
+       "ag AS (SELECT s, leader, workers, count(*) FILTER (WHERE c = workers) AS al, count(*) AS anyone FROM dy GROUP BY 1, 2, 3), td AS (SELECT s, count(DISTINCT i) AS total_days FROM x GROUP BY 1) "
+       "SELECT s AS work_id, leader, workers, total_days, al + total_days - anyone AS matching_days, round((al + total_days - anyone)*1.0::DOUBLE/total_days, 6) AS overlap_pct, (al + total_days - anyone)*(workers - 1) AS fake_person_days FROM ag JOIN td USING (s)")
 def m2(t: Tables) -> DataFrame:
     r = attendance.clone_groups(attendance_rows(t), "work_id", "worker_id", "day", 0.9)
     return r.withColumn("overlap_pct", rnd("overlap_pct", 6))
 
 
-@query("m2_clone_members")
+@query("m2_clone_members", f"{_PASS} SELECT g.s AS work_id, leader, o.m AS worker_id FROM g JOIN o ON o.s = g.s AND o.k = g.k")
 def m2_members(t: Tables) -> DataFrame:
     return attendance.clone_members(attendance_rows(t), "work_id", "worker_id", "day", 0.9)
 
@@ -196,7 +208,23 @@ def d4_pairs(t: Tables) -> DataFrame:
     return r.withColumn("similarity", rnd("similarity", 8))
 
 
-@query("d4_vendor_clusters")
+# the pass again: a cluster takes its members out only where it shows a sign
+_VENDORS = ("vp AS (SELECT p_brand AS s, p_partkey AS m, p_name, c_nationkey AS gp, l_extendedprice/l_quantity AS rate FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey), "
+            "o AS (SELECT s, m, list(DISTINCT gp) AS l, count(DISTINCT gp) AS n, sum(rate) AS rs, count(rate) AS rn, list_distinct(list_filter(string_split(lower(max(p_name)), ' '), lambda z: z <> '')) AS w, row_number() OVER (PARTITION BY s ORDER BY m) AS k FROM vp GROUP BY 1, 2), "
+            "p AS (SELECT s, ka, kb FROM (SELECT a.s, a.k AS ka, b.k AS kb, a.n + b.n AS nn, len(list_intersect(a.l, b.l)) AS o FROM o a JOIN o b ON a.s = b.s AND a.k < b.k) WHERE o >= 2 AND o >= 0.75*(nn - o) - 1e-12), "
+            "j AS (SELECT o.s, o.k, coalesce(list(kb ORDER BY kb) FILTER (WHERE kb IS NOT NULL), []) AS nb FROM o LEFT JOIN p ON p.s = o.s AND ka = o.k GROUP BY 1, 2), "
+            "al AS (SELECT s, list(l ORDER BY k) AS ls, list(rs ORDER BY k) AS rss, list(rn ORDER BY k) AS rns, list(w ORDER BY k) AS ws FROM o GROUP BY 1), "
+            "r(s, k, taken, mem, common, inflated, alike) AS (SELECT s, CAST(0 AS BIGINT), []::BIGINT[], []::BIGINT[], CAST(0 AS BIGINT), false, false FROM al UNION ALL "
+            "SELECT s, k, CASE WHEN common >= 3 OR inflated OR alike THEN list_concat(taken, mem) ELSE taken END, mem, common, inflated, alike FROM (SELECT q.s, q.k, taken, mem, "
+            "CAST(CASE WHEN len(mem) > 1 THEN len(list_reduce(list_transform(mem, lambda z: ls[z]), lambda u, v: list_intersect(u, v))) ELSE 0 END AS BIGINT) AS common, "
+            "len(mem) > 1 AND (list_sum(list_transform(mem, lambda z: rss[z]))/list_sum(list_transform(mem, lambda z: rns[z])) - 1000)/1000*100 > 25 AS inflated, "
+            "len(list_filter(mem, lambda u: len(list_filter(mem, lambda v: v > u AND 2*len(list_intersect(ws[u], ws[v])) > len(list_distinct(list_concat(ws[u], ws[v]))))) > 0)) > 0 AS alike "
+            "FROM (SELECT r.s, j.k, r.taken, CASE WHEN list_contains(r.taken, j.k) THEN [] ELSE list_prepend(j.k, list_filter(j.nb, lambda z: NOT list_contains(r.taken, z))) END AS mem FROM r JOIN j ON j.s = r.s AND j.k = r.k + 1) q JOIN al ON al.s = q.s)), "
+            "cl AS (SELECT r.s AS district_id, o.m AS leader, len(mem) AS vendors, common AS common_panchayats, concat_ws(',', CASE WHEN inflated THEN 'rate_inflation' END, CASE WHEN common >= 3 THEN 'shared_multiple_panchayats' END, CASE WHEN alike THEN 'similar_vendor_names' END) AS indicators, mem "
+            "FROM r JOIN o ON o.s = r.s AND o.k = r.k WHERE len(mem) > 1 AND (common >= 3 OR inflated OR alike))")
+
+
+@query("d4_vendor_clusters", f"WITH RECURSIVE {_VENDORS} SELECT district_id, leader, CAST(vendors AS BIGINT) AS vendors, common_panchayats, indicators FROM cl")
 def d4(t: Tables) -> DataFrame:
     rows = vendor_rows(t)
     std = rows.select("district_id", F.lit(1000.0).alias("rate")).distinct()
