@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import payments as P
-from ..operators import rollup
+from ..operators import photos, raster, rollup, stats
 from ..operators.sequences import period_change
 from ..plans import findings, reports, risk
-from . import roles
+from . import pictures, rasters, roles
 from .audits import _WORK_COST, work_costs
 from .base import Tables, query, rnd
 from .roles import ANOMALIES, PANCHAYATS, PAYMENTS, WORKS
 from .scalars import spot, spot_sql
-from .statistics import _digit_cte, _CHI, _WHOLE
+from .statistics import EXPENDITURE, _digit_cte, _CHI, _WHOLE
 
 
 def musters(t: Tables) -> DataFrame:
@@ -40,18 +40,22 @@ def scored(t: Tables) -> DataFrame:
     units = roles.panchayats(t).select("panchayat", "block", "district", "state")
     att = risk.attendance_score(musters(t), ["panchayat"], days="person_days", verified="verified", category="material_type", day="paid_on", earthwork="R")
     pay = P.payment_score(work_costs(t), ["panchayat"], labour="labour", material="material", shell="shell", split="split")
-    photo = t.events.groupBy(F.col("user_id").alias("panchayat")).agg(F.least(F.avg((F.col("value") > 50).cast("int")) * 2, F.lit(1.0)).alias("photo_score"))
-    sat = t.orders.groupBy(F.col("o_custkey").alias("panchayat")).agg(F.avg((F.col("o_orderstatus") == "P").cast("int")).alias("satellite_score"))
-    exp = t.orders.groupBy(F.col("o_custkey").alias("panchayat")).agg(F.avg((F.col("o_totalprice") > 200_000).cast("int")).alias("expenditure_score"))
+    photo = photos.photo_score(pictures.issue_table(t), ["work_id"]).withColumnRenamed("work_id", "panchayat")
+    verdicts = raster.work_verdict(rasters.measures(t), tolerance_pct=20.000001).join(t.orders.select(F.col("o_orderkey").alias("work_id"), F.col("o_custkey").alias("panchayat")), "work_id")
+    weak = F.when(F.col("confidence") < 0.02, 0.1).otherwise(0.9)
+    sat = raster.satellite_score(verdicts.select("panchayat", "verification_status", weak.alias("confidence_score")), ["panchayat"])
+    orders = t.orders.select(F.col("o_custkey").alias("panchayat"), "o_totalprice", "o_orderdate")
+    exp = stats.expenditure_score(orders, ["panchayat"], "o_totalprice", "o_orderdate").select("panchayat", "expenditure_score")
     return risk.composite(units, "panchayat", [exp, att, sat, photo, pay])
 
 
 _SCORED = (PANCHAYATS + ", " + _K1 + ", " + _WORK_COST + ", ws AS (SELECT *, CASE WHEN labour+material > 0 AND labour/(labour+material) < 0.6 THEN least((0.6 - labour/(labour+material))/0.6*2, 1) END AS v FROM wc), "
            "pay AS (SELECT panchayat, (coalesce(sum(v), 0) + least(count(*) FILTER (WHERE shell)*1.0::DOUBLE/count(*)*3, 1) + least(count(*) FILTER (WHERE split)*1.0::DOUBLE/count(*)*2.5, 1))/(count(v)+2) AS payment_score FROM ws GROUP BY 1), "
-           "pho AS (SELECT user_id AS panchayat, least(avg((value > 50)::INT)*2, 1) AS photo_score FROM events GROUP BY 1), ord AS (SELECT o_custkey AS panchayat, avg((o_orderstatus = 'P')::INT) AS satellite_score, avg((o_totalprice > 200000)::INT) AS expenditure_score FROM orders GROUP BY 1), "
+           + pictures.PHOTOS + ", pho AS (SELECT work_id AS panchayat, " + pictures.PHOTO_SCORE + " AS photo_score FROM photos GROUP BY 1), " + rasters._MEAS
+           + ", sat AS (SELECT o_custkey AS panchayat, " + rasters.SATELLITE_SCORE + " AS satellite_score FROM vd JOIN orders ON work_id = o_orderkey GROUP BY 1), " + EXPENDITURE + ", ord AS (SELECT k AS panchayat, score AS expenditure_score FROM expenditure), "
            "sc AS (SELECT p.panchayat, block, district, state, coalesce(expenditure_score, 0) AS e, coalesce(attendance_score, 0) AS a, coalesce(satellite_score, 0) AS s, coalesce(photo_score, 0) AS f, coalesce(payment_score, 0) AS y, "
            "0.25*coalesce(expenditure_score, 0) + 0.25*coalesce(attendance_score, 0) + 0.20*coalesce(satellite_score, 0) + 0.15*coalesce(photo_score, 0) + 0.15*coalesce(payment_score, 0) AS c "
-           "FROM panchayats p LEFT JOIN ord USING (panchayat) LEFT JOIN att USING (panchayat) LEFT JOIN pho USING (panchayat) LEFT JOIN pay USING (panchayat))")
+           "FROM panchayats p LEFT JOIN ord USING (panchayat) LEFT JOIN sat USING (panchayat) LEFT JOIN att USING (panchayat) LEFT JOIN pho USING (panchayat) LEFT JOIN pay USING (panchayat))")
 _FLAGN = "(e >= 0.6)::INT + (a >= 0.6)::INT + (s >= 0.6)::INT + (f >= 0.6)::INT + (y >= 0.6)::INT"
 
 
@@ -60,9 +64,9 @@ def k2(t: Tables) -> DataFrame:
     return scored(t).select("panchayat", "district", rnd("composite_score", 6).alias("composite_score"), F.size("anomaly_flags").alias("flags"))
 
 
-@query("k3_priority_queue", f"WITH {_SCORED} SELECT panchayat, round(c, 6) AS composite_score FROM sc WHERE c >= 0.55")
+@query("k3_priority_queue", f"WITH {_SCORED} SELECT panchayat, round(c, 6) AS composite_score FROM sc WHERE c >= 0.3")
 def k3_queue(t: Tables) -> DataFrame:
-    return risk.priority_queue(scored(t), "panchayat", 0.55).select("panchayat", rnd("composite_score", 6).alias("composite_score"))
+    return risk.priority_queue(scored(t), "panchayat", 0.3).select("panchayat", rnd("composite_score", 6).alias("composite_score"))
 
 
 _TIERS = ", dm AS (SELECT district, max(c) AS m FROM sc GROUP BY 1)"
@@ -104,11 +108,11 @@ def k5(t: Tables) -> DataFrame:
     return risk.pilot_recommendation(a, ghosts="ghosts", amount="amount", mismatches="mismatches", findings="findings")
 
 
-@query("k6_district_scan", f"WITH {_SCORED}, p AS (SELECT district, round(sum(labour + material), 2) AS suspicious FROM wc GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY district ORDER BY c DESC, panchayat) AS rank FROM sc WHERE c >= 0.5) "
+@query("k6_district_scan", f"WITH {_SCORED}, p AS (SELECT district, round(sum(labour + material), 2) AS suspicious FROM wc GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY district ORDER BY c DESC, panchayat) AS rank FROM sc WHERE c >= 0.25) "
        "SELECT district, panchayat, CAST(rank AS INTEGER) AS rank, suspicious FROM r LEFT JOIN p USING (district) WHERE rank <= 10")
 def k6(t: Tables) -> DataFrame:
     pay = work_costs(t).groupBy("district").agg(rnd(F.sum(F.col("labour") + F.col("material")), 2).alias("suspicious"))
-    return risk.district_scan(scored(t), pay, "district", "panchayat", 0.5).select("district", "panchayat", "rank", "suspicious")
+    return risk.district_scan(scored(t), pay, "district", "panchayat", 0.25).select("district", "panchayat", "rank", "suspicious")
 
 
 # -- evidence and reports -----------------------------------------------------------------

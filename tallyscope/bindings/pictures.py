@@ -173,7 +173,10 @@ def p13(t: Tables) -> DataFrame:
     return r.select("vec_id", "predicted", rnd("similarity", 8).alias("similarity"), rnd("confidence", 8).alias("confidence"))
 
 
-@query("p14_photo_score", f"WITH {PHOTOS} SELECT work_id, round(least(2*(0.3::DOUBLE*avg((k%7=0)::INT) + 0.3::DOUBLE*avg((k%11=0)::INT) + 0.25::DOUBLE*avg((k%13=0)::INT) + 0.15::DOUBLE*avg((k%5=0)::INT)), 1), 8) AS photo_score FROM photos GROUP BY 1")
+PHOTO_SCORE = "least(2*(0.3::DOUBLE*avg((k%7=0)::INT) + 0.3::DOUBLE*avg((k%11=0)::INT) + 0.25::DOUBLE*avg((k%13=0)::INT) + 0.15::DOUBLE*avg((k%5=0)::INT)), 1)"
+
+
+@query("p14_photo_score", f"WITH {PHOTOS} SELECT work_id, round({PHOTO_SCORE}, 8) AS photo_score FROM photos GROUP BY 1")
 def p14(t: Tables) -> DataFrame:
     return P.photo_score(issue_table(t), ["work_id"]).withColumn("photo_score", rnd("photo_score", 8))
 

@@ -279,7 +279,10 @@ def r16(t: Tables) -> DataFrame:
     return v.select("work_id", rnd("confidence", 6).alias("confidence"), rnd("mean_deviation_pct", 6).alias("mean_deviation_pct"), "verification_status")
 
 
-@query("r18_satellite_score", f"WITH {_MEAS} SELECT work_id % 97 AS panchayat, round(least((count(*) FILTER (WHERE s = 'mismatch' OR c < 0.02) + 0.5*count(*) FILTER (WHERE s = 'not_detected'))*1.0::DOUBLE/count(*), 1), 6) AS satellite_score FROM vd GROUP BY 1")
+SATELLITE_SCORE = "least((count(*) FILTER (WHERE s = 'mismatch' OR c < 0.02) + 0.5*count(*) FILTER (WHERE s = 'not_detected'))*1.0::DOUBLE/count(*), 1)"
+
+
+@query("r18_satellite_score", f"WITH {_MEAS} SELECT work_id % 97 AS panchayat, round({SATELLITE_SCORE}, 6) AS satellite_score FROM vd GROUP BY 1")
 def r18(t: Tables) -> DataFrame:
     v = R.work_verdict(measures(t), tolerance_pct=20.000001)
     v = v.select((F.col("work_id") % 97).alias("panchayat"), "verification_status", F.when(F.col("confidence") < 0.02, 0.1).otherwise(0.9).alias("confidence_score"))

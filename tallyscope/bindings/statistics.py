@@ -213,10 +213,8 @@ def st7(t: Tables) -> DataFrame:
     return stats.zscore_outliers(ev, ["event_type"], "value").withColumn("z_score", rnd("z_score", 6))
 
 
-@query(
-    "st8_expenditure_score",
-    """
-    WITH s AS (SELECT o_custkey AS k, count(*) AS n, avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS sd,
+EXPENDITURE = """
+    s AS (SELECT o_custkey AS k, count(*) AS n, avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS sd,
         quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3,
         count(*) FILTER (WHERE month(o_orderdate) = 3) AS n3,
         sum(o_totalprice) FILTER (WHERE month(o_orderdate) = 3) AS s3,
@@ -226,14 +224,13 @@ def st7(t: Tables) -> DataFrame:
     x AS (SELECT k, CASE WHEN n > 2 AND sd > 0 THEN least(o*1.0/n*2, 1) END AS z,
         CASE WHEN n >= 4 AND q3 > q1 THEN least(a*1.0/n*2.5, 1) END AS f,
         CASE WHEN n3 > 0 AND rest > 0 THEN least(greatest((s3/(rest*n3) - 2)/3, 0), 1) END AS g
-        FROM s JOIN h USING (k))
-    SELECT k AS customer, round(z, 6) AS outlier_score, round(f, 6) AS fence_score, round(g, 6) AS surge_score,
-        round(CASE WHEN z IS NULL AND f IS NULL AND g IS NULL THEN 0 ELSE
-          (coalesce(z,0)+coalesce(f,0)+coalesce(g,0)) / ((z IS NOT NULL)::INT + (f IS NOT NULL)::INT + (g IS NOT NULL)::INT) END, 6)
-          AS expenditure_score
-    FROM x
-    """,
-)
+        FROM s JOIN h USING (k)),
+    expenditure AS (SELECT k, z, f, g, CASE WHEN z IS NULL AND f IS NULL AND g IS NULL THEN 0 ELSE
+        (coalesce(z,0)+coalesce(f,0)+coalesce(g,0)) / ((z IS NOT NULL)::INT + (f IS NOT NULL)::INT + (g IS NOT NULL)::INT) END AS score FROM x)
+"""
+
+
+@query("st8_expenditure_score", f"WITH {EXPENDITURE} SELECT k AS customer, round(z, 6) AS outlier_score, round(f, 6) AS fence_score, round(g, 6) AS surge_score, round(score, 6) AS expenditure_score FROM expenditure")
 def st8(t: Tables) -> DataFrame:
     o = t.orders.select(F.col("o_custkey").alias("customer"), "o_totalprice", "o_orderdate")
     r = stats.expenditure_score(o, ["customer"], "o_totalprice", "o_orderdate")
