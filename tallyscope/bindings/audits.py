@@ -147,21 +147,26 @@ def d1(t: Tables) -> DataFrame:
     return r.withColumns({"total_amount": F.col("total_amount").cast("double"), "confidence": rnd("confidence", 6)})
 
 
-@query("d2_split_payments", """
-    WITH p AS (SELECT l_partkey AS account, l_shipdate AS d, l_orderkey*100000 + l_suppkey*10 + l_linenumber AS fto, CAST(l_extendedprice AS DECIMAL(14,2)) AS amt FROM lineitem),
-    w AS (SELECT a.account, a.fto, count(*) AS window_count, sum(b.amt) AS tot, max(b.amt) AS mx FROM p a JOIN p b ON a.account = b.account
-          AND (b.d > a.d OR (b.d = a.d AND b.fto >= a.fto)) AND b.d < a.d + INTERVAL 31 DAY GROUP BY 1, 2)
-    SELECT account, fto, window_count, CAST(tot AS DOUBLE) AS window_total, round(least(window_count/10.0::DOUBLE, 1), 6) AS confidence, 'high' AS severity
-    FROM w WHERE window_count >= 3 AND mx < 50000 AND tot > 100000
-    """)
-def d2(t: Tables) -> DataFrame:
+_SPLITS = ("sp AS (SELECT l_partkey AS account, l_shipdate AS d, l_orderkey*100000 + l_suppkey*10 + l_linenumber AS fto, CAST(l_extendedprice AS DECIMAL(14,2)) AS amt FROM lineitem), "
+           "sw AS (SELECT a.account, a.fto, count(*) AS window_count, sum(b.amt) AS tot, max(b.amt) AS mx FROM sp a JOIN sp b ON a.account = b.account "
+           "AND (b.d > a.d OR (b.d = a.d AND b.fto >= a.fto)) AND b.d < a.d + INTERVAL 31 DAY GROUP BY 1, 2)")
+
+
+def split_rows(t: Tables, works: DataFrame | None = None) -> DataFrame:
+    """Bursts of small payments; with ``works`` (work_id, district) the district of each."""
     p = t.lineitem.select(
         F.col("l_partkey").alias("account"), F.col("l_shipdate").alias("paid_at"),
         (F.col("l_orderkey") * 100_000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("fto"),
-        F.col("l_extendedprice").cast("decimal(14,2)").alias("amount"),
+        F.col("l_extendedprice").cast("decimal(14,2)").alias("amount"), F.col("l_orderkey").alias("work_id"),
     )
     r = payments.split_payments(p, ["account"], ts="paid_at", fto="fto", amount="amount", days=30)
-    return r.select("account", "fto", "window_count", F.col("window_total").cast("double").alias("window_total"), rnd("confidence", 6).alias("confidence"), "severity")
+    return r if works is None else r.join(works, "work_id")
+
+
+@query("d2_split_payments", f"WITH {_SPLITS} SELECT account, fto, window_count, CAST(tot AS DOUBLE) AS window_total, round(least(window_count/10.0::DOUBLE, 1), 6) AS confidence, 'high' AS severity "
+       "FROM sw WHERE window_count >= 3 AND mx < 50000 AND tot > 100000")
+def d2(t: Tables) -> DataFrame:
+    return split_rows(t).select("account", "fto", "window_count", F.col("window_total").cast("double").alias("window_total"), rnd("confidence", 6).alias("confidence"), "severity")
 
 
 _WORK_COST = ("wc AS (SELECT l_orderkey AS work_id, o_custkey AS panchayat, c_nationkey AS district, CAST(sum(CASE WHEN l_linestatus = 'O' THEN CAST(l_extendedprice AS DECIMAL(14,2)) ELSE 0 END) AS DOUBLE) AS labour, "
@@ -226,9 +231,11 @@ _VENDORS = ("vp AS (SELECT p_brand AS s, p_partkey AS m, p_name, c_nationkey AS
 
 @query("d4_vendor_clusters", f"WITH RECURSIVE {_VENDORS} SELECT district_id, leader, CAST(vendors AS BIGINT) AS vendors, common_panchayats, indicators FROM cl")
 def d4(t: Tables) -> DataFrame:
-    rows = vendor_rows(t)
+    return clusters(vendor_rows(t)).select("district_id", "leader", "vendors", "common_panchayats", F.array_join("indicators", ",").alias("indicators"))
+
+
+def clusters(rows: DataFrame) -> DataFrame:
     std = rows.select("district_id", F.lit(1000.0).alias("rate")).distinct()
-    r = payments.vendor_clusters(
+    return payments.vendor_clusters(
         rows, std, district="district_id", vendor="vendor_id", panchayat="gp", name="p_name", rate="rate", amount="amount", threshold=0.75
     )
-    return r.select("district_id", "leader", "vendors", "common_panchayats", F.array_join("indicators", ",").alias("indicators"))

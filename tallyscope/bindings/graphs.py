@@ -103,16 +103,22 @@ def g6(t: Tables) -> DataFrame:
     return c.select(F.array_join(F.transform("path", lambda v: v.cast("string")), ">").alias("path"), "length", rnd("total_amount", 2).alias("total_amount"))
 
 
-@query("g7_official_cycles", f"WITH RECURSIVE {_FLOW}, p(f, l, path, s, w) AS (SELECT src, dst, [src, dst], amount, amount FROM fe WHERE dst > src UNION ALL SELECT f, e.dst, list_append(path, e.dst), s + e.amount, least(w, e.amount) FROM p JOIN fe e ON e.src = l "
-       "WHERE e.dst > f AND NOT list_contains(path, e.dst) AND len(path) < 8), c AS (SELECT path, len(path) AS n, s + e.amount AS amt, least(w, e.amount) AS mn FROM p JOIN fe e ON e.src = l AND e.dst = f WHERE len(path) >= 3), "
-       "o AS (SELECT *, len(list_filter(path, lambda x: x // 4 % 5 = 0)) AS oc, len(list_filter(path, lambda x: x // 4 % 5 = 1)) AS pc FROM c) "
-       "SELECT array_to_string(path, '>') AS path, round(amt, 2) AS total_amount, round(mn, 2) AS min_amount, CASE WHEN oc > 0 THEN 0.7::DOUBLE ELSE 0.5 END + CASE WHEN n <= 4 THEN 0.1::DOUBLE ELSE 0 END AS confidence FROM o WHERE oc > 0 OR pc > 0")
-def g7(t: Tables) -> DataFrame:
-    e = account_flows(t)
+_OFFICIAL = (_FLOW + ", fp(f, l, path, s, w) AS (SELECT src, dst, [src, dst], amount, amount FROM fe WHERE dst > src UNION ALL SELECT f, e.dst, list_append(path, e.dst), s + e.amount, least(w, e.amount) FROM fp JOIN fe e ON e.src = l "
+             "WHERE e.dst > f AND NOT list_contains(path, e.dst) AND len(path) < 8), fc AS (SELECT path, len(path) AS n, s + e.amount AS amt, least(w, e.amount) AS mn FROM fp JOIN fe e ON e.src = l AND e.dst = f WHERE len(path) >= 3), "
+             "oc AS (SELECT *, len(list_filter(path, lambda x: x // 4 % 5 = 0)) AS oc, len(list_filter(path, lambda x: x // 4 % 5 = 1)) AS pc FROM fc), "
+             "official AS (SELECT path, amt, mn, CASE WHEN oc > 0 THEN 0.7::DOUBLE ELSE 0.5 END + CASE WHEN n <= 4 THEN 0.1::DOUBLE ELSE 0 END AS confidence FROM oc WHERE oc > 0 OR pc > 0)")
+
+
+def official_flows(t: Tables) -> DataFrame:
     customer = F.floor(F.col("id") / 4)
     kinds = F.when(customer % 5 == 0, "official").when(customer % 5 == 1, "panchayat").otherwise("bank_account")
     nodes = t.orders.select(F.expr(_ACCOUNT).alias("id")).distinct().withColumn("node_type", kinds)
-    c = G.official_cycles(G.cycles(e), nodes)
+    return G.official_cycles(G.cycles(account_flows(t)), nodes)
+
+
+@query("g7_official_cycles", f"WITH RECURSIVE {_OFFICIAL} SELECT array_to_string(path, '>') AS path, round(amt, 2) AS total_amount, round(mn, 2) AS min_amount, confidence FROM official")
+def g7(t: Tables) -> DataFrame:
+    c = official_flows(t)
     return c.select(F.array_join(F.transform("path", lambda v: v.cast("string")), ">").alias("path"), rnd("total_amount", 2).alias("total_amount"), rnd("min_amount", 2).alias("min_amount"), "confidence")
 
 

@@ -13,7 +13,8 @@ from ..plans import findings
 from ..session import shared_folder
 from ..sources import landed, sinks
 from ..streaming import jobs
-from . import roles
+from . import audits as A
+from . import graphs, roles
 from .audits import work_costs
 from .base import Tables, query, rnd
 from .roles import AREAS, PAYMENTS, WORKS
@@ -263,24 +264,44 @@ def st13(t: Tables) -> DataFrame:
 
 
 def payment_findings(t: Tables) -> DataFrame:
+    """The findings of all five payment detectors, by district."""
     p = roles.payments(t)
     shells = payments.shell_accounts(p, ["district", "account"], panchayat="panchayat", work="work_id", worker="worker_id", amount="amount")
     ratio = payments.material_ratio(work_costs(t), "labour", "material")
-    return findings.union_all([
+    splits = A.split_rows(t, p.select("work_id", "district").distinct())
+    rows = A.vendor_rows(t)
+    clusters = A.clusters(rows)
+    cycles = graphs.official_flows(t)
+    district = t.customer.select(F.col("c_custkey").alias("customer"), F.col("c_nationkey").alias("district"))
+    # a flow belongs to the district of the account where its path begins
+    cycles = cycles.withColumn("customer", F.floor(F.col("path")[0] / 4)).join(district, "customer").withColumn("shown", F.concat_ws(">", F.transform("path", lambda v: v.cast("string"))))
+    one = [
         findings.findings(shells, "shell_beneficiary", severity="high", entities=["account"], evidence=["panchayats"], amount=F.col("total_amount"), confidence=F.col("confidence"), keep=["district"]),
         findings.findings(ratio, "material_ratio_violation", severity=F.col("severity"), entities=["work_id"], evidence=["material_ratio"], amount=F.col("excess_amount"), confidence=F.col("confidence"), keep=["district"]),
-    ])
+        findings.findings(splits, "payment_splitting", severity=F.col("severity"), entities=["fto"], evidence=["window_count"], amount=F.col("window_total"), confidence=F.col("confidence"), keep=["district"]),
+        findings.findings(cycles, "circular_flow", severity="critical", entities=["shown"], evidence=["min_amount"], amount=F.col("total_amount"), confidence=F.col("confidence"), keep=["district"]),
+        # a quarter of what a cluster of vendors received counts as exposed
+        findings.findings(clusters, "vendor_collusion", severity="high", entities=["district_id", "leader"], evidence=["vendors"], amount=F.col("total_expenditure") * 0.25, confidence=F.col("confidence"), keep=["district_id"]),
+    ]
+    return findings.union_all([x.withColumn("district", F.col(x.columns[-1]).cast("string")).select(*[f.name for f in findings.FINDING], "district") for x in one])
 
 
 _WC = ("wc AS (SELECT work_id, district, sum(CASE WHEN st = 'O' THEN amount ELSE 0 END) AS l, sum(CASE WHEN st <> 'O' THEN amount ELSE 0 END) AS m FROM (SELECT l_orderkey AS work_id, c_nationkey AS district, l_linestatus AS st, CAST(l_extendedprice AS DECIMAL(14,2)) AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) GROUP BY 1, 2)")
 
 
-@query("d6_payment_report", f"WITH {PAYMENTS}, {_WC}, sh AS (SELECT district, account, sum(amount) AS a FROM payments GROUP BY 1, 2 HAVING count(DISTINCT panchayat) >= 3), "
-       "f AS (SELECT district, 'shell_beneficiary' AS category, a FROM sh UNION ALL SELECT district, 'material_ratio_violation', CAST(m - (l+m)*0.4 AS DOUBLE) FROM wc WHERE l + m > 0 AND m::DOUBLE/(l+m)::DOUBLE > 0.4) "
-       "SELECT district, category, count(*) AS findings, round(sum(a)/1000, 2) AS suspicious_thousand FROM f GROUP BY 1, 2")
+@query("d6_payment_report", f"WITH RECURSIVE {PAYMENTS}, {_WC}, {graphs._OFFICIAL}, {A._SPLITS}, {A._VENDORS}, vs AS (SELECT s, k, sum(l_extendedprice) AS amt FROM o JOIN lineitem ON l_partkey = m GROUP BY 1, 2), "
+       "ve AS (SELECT district_id, leader, indicators, sum(amt) AS total FROM (SELECT *, unnest(mem) AS k FROM cl) c JOIN vs ON vs.s = district_id AND vs.k = c.k GROUP BY 1, 2, 3), "
+       "sh AS (SELECT district, account, sum(amount) AS a, least(count(DISTINCT panchayat)/10.0::DOUBLE, 1) AS c FROM payments GROUP BY 1, 2 HAVING count(DISTINCT panchayat) >= 3), "
+       "f AS (SELECT CAST(district AS VARCHAR) AS district, 'shell_beneficiary' AS category, 'high' AS severity, a, c FROM sh "
+       "UNION ALL SELECT CAST(district AS VARCHAR), 'material_ratio_violation', CASE WHEN m::DOUBLE/(l+m)::DOUBLE > 0.6 THEN 'critical' WHEN m::DOUBLE/(l+m)::DOUBLE > 0.5 THEN 'high' ELSE 'medium' END, CAST(m - (l+m)*0.4 AS DOUBLE), least((m::DOUBLE/(l+m)::DOUBLE - 0.4)/0.3 + 0.5, 1) FROM wc WHERE l + m > 0 AND m::DOUBLE/(l+m)::DOUBLE > 0.4 "
+       "UNION ALL SELECT CAST(c_nationkey AS VARCHAR), 'payment_splitting', 'high', CAST(tot AS DOUBLE), least(window_count/10.0::DOUBLE, 1) FROM sw JOIN orders ON fto // 100000 = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE window_count >= 3 AND mx < 50000 AND tot > 100000 "
+       "UNION ALL SELECT CAST(c_nationkey AS VARCHAR), 'circular_flow', 'critical', amt, confidence FROM official JOIN customer ON path[1] // 4 = c_custkey "
+       "UNION ALL SELECT district_id, 'vendor_collusion', 'high', 0.25*total, least(len(string_split(indicators, ','))/4.0::DOUBLE, 1) FROM ve) "
+       "SELECT district, category, severity, count(*) AS findings, round(sum(a)/1000, 1) AS suspicious_thousand, round(avg(c), 6) AS mean_confidence FROM f GROUP BY 1, 2, 3")
 def d6(t: Tables) -> DataFrame:
     f = payment_findings(t)
-    return f.groupBy("district", "category").agg(F.count(F.lit(1)).alias("findings"), rnd(F.sum("amount") / 1000, 2).alias("suspicious_thousand"))
+    return f.groupBy("district", "category", "severity").agg(
+        F.count(F.lit(1)).alias("findings"), rnd(F.sum("amount") / 1000, 1).alias("suspicious_thousand"), rnd(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
 @query("m8_forensics_report")
