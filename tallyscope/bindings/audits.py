@@ -81,11 +81,14 @@ _S = " + ".join(f"CASE WHEN {c} THEN {w}::DOUBLE ELSE 0 END" for c, w in _SIGNS)
        "SELECT worker_id, panchayat_id, CAST(n AS INTEGER) AS signs, round(w/n, 6) AS confidence, CASE WHEN w/n > 0.8 THEN 'critical' ELSE 'high' END AS severity "
        "FROM g WHERE n >= 2 OR (n = 1 AND w >= 0.8)")
 def m3(t: Tables) -> DataFrame:
+    return ghosts(t).select("worker_id", "panchayat_id", F.size("indicators").alias("signs"), rnd("confidence", 6).alias("confidence"), "severity")
+
+
+def ghosts(t: Tables) -> DataFrame:
     high = attendance.high_works_only(
         J.worker_tables(t)["musters"], t.orders.select(F.col("o_orderkey").alias("work_id"), "o_totalprice"), "o_totalprice", 60_000
     )
-    ghosts = attendance.ghost_workers(J.profiles(t).join(high, "worker_id", "left"))
-    return ghosts.select("worker_id", "panchayat_id", F.size("indicators").alias("signs"), rnd("confidence", 6).alias("confidence"), "severity")
+    return attendance.ghost_workers(J.profiles(t).join(high, "worker_id", "left"))
 
 
 _LA, _LO = spot_sql("l_suppkey", 7919, 104729)

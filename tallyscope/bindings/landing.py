@@ -8,17 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import forest, lookup, payments, stats
+from ..operators import attendance, forest, lookup, payments, stats
 from ..plans import findings
 from ..session import shared_folder
 from ..sources import landed, sinks
 from ..streaming import jobs
 from . import audits as A
 from . import graphs, roles
+from . import joins as J
 from .audits import work_costs
-from .base import Tables, query, rnd
+from .base import REGISTRY, Tables, query, rnd
 from .roles import AREAS, PAYMENTS, WORKS
 from .scalars import spot, spot_sql
+from .statistics import monthly_by_nation
 
 # -- sources --------------------------------------------------------------------------
 
@@ -304,17 +306,37 @@ def d6(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("findings"), rnd(F.sum("amount") / 1000, 1).alias("suspicious_thousand"), rnd(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
-@query("m8_forensics_report")
-def m8(t: Tables) -> DataFrame:
-    from . import audits as A
-    from ..operators import attendance
-
-    ghosts = A.m3(t)
-    spans = A.m7(t).select(F.col("user_id").cast("string").alias("who"), "finding_type", "severity")
+def forensic_findings(t: Tables) -> DataFrame:
+    """The findings of the muster detectors by block; a worker's block is told by the id, that of a payment is its district."""
+    ghosts = A.ghosts(t).withColumn("block", F.col("worker_id") % 25).withColumns({"person_days": F.col("total_person_days").cast("double"), "wages": F.col("total_wages").cast("double")})
     clones = attendance.clone_groups(A.attendance_rows(t), "work_id", "worker_id", "day", 0.9)
-    f = findings.union_all([
-        findings.findings(ghosts, "ghost_worker", severity=F.col("severity"), entities=["worker_id"], evidence=["signs"], confidence=F.col("confidence")),
-        findings.findings(clones, "attendance_clone", severity="high", entities=["leader"], evidence=["workers", "matching_days"], confidence=F.col("overlap_pct")),
-        findings.findings(spans, "suspicious_dates", severity=F.col("severity"), entities=["who"], evidence=["finding_type"], confidence=0.8),
+    clones = clones.withColumn("block", F.col("leader") % 25).withColumns({"person_days": F.col("fake_person_days").cast("double"), "overlap_pct": rnd("overlap_pct", 6)})
+    spans = A.m7(t).withColumn("block", F.col("user_id") % 25)
+    spikes = stats.spikes(monthly_by_nation(t).drop("amount"), ["nation"], "month", "n", threshold=1.5).withColumns({"block": F.col("nation"), "confidence": rnd("confidence", 6)})
+    digits = stats.benford_score(roles.payments(t).select(F.col("district").alias("block"), "quantity"), ["block"], "quantity").filter("flagged").withColumn("score", rnd("score", 6))
+    money = ["block", "person_days", "wages"]
+    none = F.lit(0.0)
+    return findings.union_all([
+        findings.findings(ghosts, "ghost_worker", severity=F.col("severity"), entities=["worker_id"], evidence=["person_days"], confidence=F.col("confidence"), keep=money),
+        findings.findings(clones.withColumn("wages", none), "attendance_clone", severity="high", entities=["work_id", "leader"], evidence=["workers", "matching_days"], confidence=F.least("overlap_pct", F.lit(1.0)), keep=money),
+        findings.findings(spans.withColumns({"person_days": none, "wages": none}), "suspicious_dates", severity=F.col("severity"), entities=["user_id"], evidence=["finding_type"], confidence=0.8, keep=money),
+        findings.findings(spikes.withColumns({"person_days": none, "wages": none}), "enrollment_spike", severity=F.col("severity"), entities=["nation", "month"], evidence=["n"], confidence=F.col("confidence"), keep=money),
+        findings.findings(digits.withColumns({"person_days": none, "wages": none}), "benfords_law_violation", severity="medium", entities=["block"], evidence=["score"], confidence=F.least(F.col("score") / 0.3, F.lit(1.0)), keep=money),
     ])
-    return f.groupBy("category", "severity").agg(F.count(F.lit(1)).alias("findings"))
+
+
+_SPIKES = REGISTRY["st12_enrollment_spikes"].oracle
+_FIRST_DIGITS = REGISTRY["st2_benford_score"].oracle.replace("SELECT l_suppkey AS k, l_quantity AS v FROM lineitem", "SELECT c_nationkey AS k, l_quantity AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey")
+
+
+@query("m8_forensics_report", f"WITH gw AS (WITH {J.PROFILES}, {A._HIGH}, g AS (SELECT *, {A._N} AS n, {A._S} AS w FROM prof LEFT JOIN hw ON o_custkey = worker_id) SELECT * FROM g WHERE n >= 2 OR (n = 1 AND w >= 0.8)), "
+       "f AS (SELECT worker_id % 25 AS block, 'ghost_worker' AS category, CASE WHEN w/n > 0.8 THEN 'critical' ELSE 'high' END AS severity, w/n AS c, CAST(total_person_days AS DOUBLE) AS d, CAST(total_wages AS DOUBLE) AS wg FROM gw "
+       f"UNION ALL SELECT leader % 25, 'attendance_clone', 'high', overlap_pct, fake_person_days, 0 FROM ({REGISTRY['m2_clone_groups'].oracle}) "
+       f"UNION ALL SELECT user_id % 25, 'suspicious_dates', severity, 0.8, 0, 0 FROM ({REGISTRY['m7_suspicious_dates'].oracle}) "
+       f"UNION ALL SELECT nation, 'enrollment_spike', severity, confidence, 0, 0 FROM ({_SPIKES}) "
+       f"UNION ALL SELECT supplier, 'benfords_law_violation', 'medium', least(score/0.3, 1), 0, 0 FROM ({_FIRST_DIGITS}) WHERE flagged) "
+       "SELECT CAST(block AS BIGINT) AS block, category, severity, count(*) AS findings, round(avg(c), 4) AS mean_confidence, round(sum(d), 2) AS suspicious_person_days, round(sum(wg), 2) AS suspicious_wages FROM f GROUP BY 1, 2, 3")
+def m8(t: Tables) -> DataFrame:
+    return forensic_findings(t).groupBy(F.col("block").cast("long").alias("block"), "category", "severity").agg(
+        F.count(F.lit(1)).alias("findings"), rnd(F.avg("confidence"), 4).alias("mean_confidence"),
+        rnd(F.sum("person_days"), 2).alias("suspicious_person_days"), rnd(F.sum("wages"), 2).alias("suspicious_wages"))
