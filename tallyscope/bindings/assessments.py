@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import payments as P
 from ..operators import photos, raster, rollup, stats
-from ..operators.sequences import period_change
+from ..operators.sequences import latest_per_key, period_change
 from ..plans import findings, reports, risk
 from . import pictures, rasters, roles
 from .audits import _WORK_COST, work_costs
@@ -123,16 +123,35 @@ def evidence(t: Tables) -> DataFrame:
     )
 
 
-@query("e1_evidence_union", "SELECT 'satellite' AS evidence_type, o_orderkey AS ref, 0.9::DOUBLE AS confidence FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'muster', event_id, 0.8 FROM events UNION ALL SELECT 'payment', l_orderkey, 0.75 FROM lineitem")
-def e1(t: Tables) -> DataFrame:
-    def part(df: DataFrame, kind: str, col: str, conf: float) -> DataFrame:
-        return df.select(F.lit(kind).alias("evidence_type"), F.col(col).alias("ref"), F.lit(conf).alias("confidence"))
+_EVIDENCE = (pictures.PHOTOS + ", ev AS (SELECT 'satellite' AS evidence_type, o_custkey AS case_id, o_orderkey AS ref, o_orderdate AS seen, 0.9::DOUBLE AS confidence FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'muster', user_id, event_id, ts, 0.8 FROM events "
+             "UNION ALL SELECT 'payment', o_custkey, l_orderkey*10 + l_linenumber, l_shipdate, 0.75 FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT 'photo', work_id, photo_id, ts, 0.85 FROM photos WHERE k % 7 = 0)")
+
+
+def all_evidence(t: Tables) -> DataFrame:
+    """Evidence of all four detectors with the case (a panchayat or worker id) that it belongs to."""
+    def part(df: DataFrame, kind: str, case: str, ref: str, at: str, conf: float) -> DataFrame:
+        return df.select(F.lit(kind).alias("evidence_type"), F.col(case).alias("case_id"), F.expr(ref).alias("ref"), F.col(at).cast("timestamp").alias("at"), F.lit(conf).alias("confidence"))
 
+    lines = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    photos_ = pictures.photo_table(t).filter("k % 7 = 0")
     return findings.union_all([
-        part(t.orders.filter("o_orderstatus = 'F'"), "satellite", "o_orderkey", 0.9), part(t.events, "muster", "event_id", 0.8), part(t.lineitem, "payment", "l_orderkey", 0.75),
+        part(t.orders.filter("o_orderstatus = 'F'"), "satellite", "o_custkey", "o_orderkey", "o_orderdate", 0.9), part(t.events, "muster", "user_id", "event_id", "ts", 0.8),
+        part(lines, "payment", "o_custkey", "l_orderkey * 10 + l_linenumber", "l_shipdate", 0.75), part(photos_, "photo", "work_id", "photo_id", "capture_ts", 0.85),
     ])
 
 
+@query("e1_evidence_union", f"WITH {_EVIDENCE} SELECT evidence_type, case_id, ref, confidence FROM ev")
+def e1(t: Tables) -> DataFrame:
+    return all_evidence(t).select("evidence_type", "case_id", "ref", "confidence")
+
+
+@query("e1_latest_evidence", f"WITH {_EVIDENCE} SELECT case_id, evidence_type, arg_max(ref, (seen, ref)) AS ref, max(confidence) AS confidence FROM ev WHERE case_id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY 1, 2")
+def e1_latest(t: Tables) -> DataFrame:
+    open_cases = t.customer.filter("c_acctbal < 0").select(F.col("c_custkey").alias("case_id"))
+    members = all_evidence(t).join(open_cases, "case_id", "left_semi")
+    return latest_per_key(members, ["case_id", "evidence_type"], "at", "ref").select("case_id", "evidence_type", "ref", "confidence")
+
+
 @query("e2_evidence_chain", f"WITH {ANOMALIES}, p AS (SELECT user_id, anomaly_type, arg_min(anomaly_id, (-confidence, detected_at, anomaly_id)) AS i FROM anomalies GROUP BY 1, 2), "
        "q AS (SELECT user_id, count(*) AS n, string_agg(anomaly_type || ':' || i, ',' ORDER BY anomaly_type) AS primaries FROM p GROUP BY 1), a AS (SELECT user_id, count(*) AS items, round(avg(confidence), 9) AS m FROM anomalies GROUP BY 1) "
        "SELECT user_id AS case_id, items, m AS mean_confidence, n AS evidence_types, primaries, CASE WHEN n >= 3 AND m >= 0.7 THEN 'strong' WHEN n >= 2 AND m >= 0.5 THEN 'moderate' ELSE 'weak' END AS strength FROM a JOIN q USING (user_id)")
@@ -194,6 +213,11 @@ def e7(t: Tables) -> DataFrame:
     return r.select("district", "works", "verified", "flagged", rnd("verified_pct", 6).alias("verified_pct"), rnd("leakage_pct", 6).alias("leakage_pct"), "risk_level")
 
 
+@query("e7_top_anomalies", f"WITH {ANOMALIES}, r AS (SELECT district, anomaly_id, severity, loss, row_number() OVER (PARTITION BY district ORDER BY coalesce(list_position(['critical', 'high', 'medium', 'low'], severity), 5), loss DESC, anomaly_id) AS rank FROM anomalies) SELECT district, CAST(rank AS INTEGER) AS rank, anomaly_id, severity, loss FROM r WHERE rank <= 20")
+def e7_top(t: Tables) -> DataFrame:
+    return reports.top_findings(roles.anomalies(t), ["district"], "severity", "loss", "anomaly_id").select("district", "rank", "anomaly_id", "severity", "loss")
+
+
 @query("e8_numbered_paragraphs", f"WITH {WORKS}, r AS (SELECT district, work_id, amount, row_number() OVER (PARTITION BY district ORDER BY amount DESC, work_id) AS n FROM works WHERE amount > 400000) SELECT district, work_id, amount, CAST(n AS INTEGER) AS para_no FROM r WHERE n <= 10")
 def e8(t: Tables) -> DataFrame:
     w = roles.works(t).filter("amount > 400000").select("district", "work_id", "amount")
@@ -283,6 +307,15 @@ def c8(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_returnflag").agg(rnd(F.sum(F.col("l_extendedprice") * F.col("l_discount")), 2).alias("leakage"))
 
 
+@query("c8_top_panchayats", f"WITH {_SCORED}, lk AS (SELECT o_custkey AS panchayat, sum(l_extendedprice*l_discount) AS leakage FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) "
+       "SELECT panchayat, round(leakage, 2) AS leakage, round(c*100, 4) AS risk_score FROM lk JOIN sc USING (panchayat) ORDER BY leakage DESC, panchayat LIMIT 10")
+def c8_top(t: Tables) -> DataFrame:
+    lost = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_extendedprice") * F.col("l_discount")).alias("lost")).join(t.orders, "o_orderkey")
+    lost = lost.groupBy(F.col("o_custkey").alias("panchayat")).agg(F.sum("lost").alias("leakage"))
+    top = lost.join(scored(t).select("panchayat", "composite_score"), "panchayat").orderBy(F.col("leakage").desc(), "panchayat").limit(10)
+    return top.select("panchayat", rnd("leakage", 2).alias("leakage"), rnd(F.col("composite_score") * 100, 4).alias("risk_score"))
+
+
 @query("c9_status_transitions", "WITH c AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'flagged' WHEN 'O' THEN 'investigating' ELSE 'confirmed' END AS s, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'investigating' WHEN o_orderpriority = '3-MEDIUM' THEN 'confirmed' END AS u FROM orders), "
        "x AS (SELECT *, coalesce((s = 'flagged' AND u = 'investigating') OR (s = 'investigating' AND u IN ('confirmed', 'dismissed')), false) AS ok FROM c) SELECT o_orderkey, CASE WHEN ok THEN u ELSE s END AS status, CASE WHEN u IS NOT NULL THEN ok END AS accepted FROM x")
 def c9(t: Tables) -> DataFrame:

@@ -201,6 +201,16 @@ def g12(t: Tables) -> DataFrame:
     return G.export_nodes(nodes, edges, hot)
 
 
+@query("g12_export_edges", f"WITH {_NET} SELECT src, dst, amount FROM net")
+def g12_edges(t: Tables) -> DataFrame:
+    return written_network(t)[1].select("src", "dst", "amount")
+
+
+@query("g12_export_statistics", f"WITH {_NET}, n AS (SELECT count(DISTINCT src) AS nodes FROM bi), m AS (SELECT count(*) AS edges FROM net) SELECT nodes, edges, round(2.0::DOUBLE*edges/(nodes::DOUBLE*(nodes - 1)), 10) AS density FROM n, m")
+def g12_stats(t: Tables) -> DataFrame:
+    return G.export_statistics(*written_network(t)).withColumn("density", rnd("density", 10))
+
+
 @query("g13_rapid_movement", "SELECT l_orderkey, count(*) AS payments, count(DISTINCT l_suppkey) AS accounts, round((max(epoch_us(l_shipdate)) - min(epoch_us(l_shipdate)))/3.6e9, 4) AS span_hours, "
        "CAST(sum(CAST(l_extendedprice AS DECIMAL(14,2))) AS DOUBLE) AS total_amount FROM lineitem GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT l_suppkey) >= 2 AND (max(epoch_us(l_shipdate)) - min(epoch_us(l_shipdate)))/3.6e9 <= 720")
 def g13(t: Tables) -> DataFrame:

@@ -28,14 +28,15 @@ from .statistics import monthly_by_nation
 @query("src1_nested_dataset", f"WITH {AREAS} SELECT state, state_name, district, district_name FROM areas")
 def src1(t: Tables) -> DataFrame:
     a = roles.areas(t)
-    doc = a.groupBy("state", "state_name").agg(F.array_sort(F.collect_list(F.struct("district", "district_name"))).alias("districts"))
-    text = doc.select(F.to_json(F.struct("*")).alias("value"))
+    area = F.struct("state", "state_name", "district", "district_name")
+    # one document, as large as the list of areas
+    doc = a.agg(F.array_sort(F.collect_list(area)).alias("districts"), F.array_sort(F.collect_set(F.struct("state", "state_name"))).alias("states"), F.struct(F.count(F.lit(1)).alias("districts")).alias("national"))
     path = f"{shared_folder(t.spark)}/dataset-{uuid.uuid4().hex}"
-    text.write.text(path)
-    schema = T.StructType().add("state", T.IntegerType()).add("state_name", "string").add(
-        "districts", T.ArrayType(T.StructType().add("district", T.IntegerType()).add("district_name", "string")))
-    rows = t.spark.read.schema(schema).json(path)
-    return rows.select("state", "state_name", F.inline("districts"))
+    doc.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    state = T.StructType().add("state", T.IntegerType()).add("state_name", "string")
+    schema = T.StructType().add("districts", T.ArrayType(T.StructType([*state.fields]).add("district", T.IntegerType()).add("district_name", "string"))).add(
+        "states", T.ArrayType(state)).add("national", T.StructType().add("districts", "long"))
+    return landed.read_dataset(t.spark, path, schema)["districts"].select("state", "state_name", "district", "district_name")
 
 
 def geo_text(t: Tables) -> DataFrame:
@@ -106,6 +107,48 @@ def src7(t: Tables) -> DataFrame:
     return landed.works_rows(t.orders.select(cells.alias("cells"))).select("work_id", "sanctioned_amount", "status", "latitude", "state_code")
 
 
+@query("src7_muster_rows", "SELECT 'W' || l_partkey AS worker_name, 'JC-' || l_suppkey AS job_card_number, CAST(l_quantity AS DOUBLE) AS days_worked, round(l_extendedprice, 2) AS wages_paid, strftime(l_shipdate, '%Y-%m-%d') AS date_from, "
+       "CASE WHEN l_linenumber <> 2 THEN 'MR-' || l_orderkey ELSE '' END AS muster_no FROM lineitem WHERE l_linenumber <> 1")
+def src7_muster(t: Tables) -> DataFrame:
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    full = F.array(F.lit("1"), F.concat(F.lit(" W"), F.col("l_partkey").cast("string")), F.concat(F.lit("JC-"), F.col("l_suppkey").cast("string")), F.col("l_quantity").cast("int").cast("string"),
+                   F.format_string("%.2f", "l_extendedprice"), day, F.lit("x"), F.concat(F.lit("MR-"), F.col("l_orderkey").cast("string")))
+    # first lines are too short, second ones lack the last cell
+    cells = F.when(F.col("l_linenumber") == 1, F.slice(full, 1, 3)).when(F.col("l_linenumber") == 2, F.slice(full, 1, 7)).otherwise(full)
+    return landed.muster_rows(t.lineitem.select(cells.alias("cells"))).drop("date_to")
+
+
+def order_cells(t: Tables, lead: bool) -> DataFrame:
+    """Transfer orders as cells, one per order; every seventh is cut short."""
+    own = [F.concat(F.lit("REF"), F.col("o_orderkey").cast("string")), F.lit("worker"), F.concat(F.lit("JC-"), F.col("o_custkey").cast("string")), F.col("o_custkey").cast("string"),
+           F.format_string("%.2f", "o_totalprice"), F.col("o_orderstatus"), F.date_format("o_orderdate", "yyyy-MM-dd")]
+    fto = F.concat(F.lit("FTO"), F.col("o_orderkey").cast("string"))
+    full = F.array(fto, *own) if lead else F.array(*own)
+    return t.orders.select(fto.alias("fto"), F.when(F.col("o_orderkey") % 7 == 0, F.slice(full, 1, 4)).otherwise(full).alias("cells"))
+
+
+_ORDER_ROWS = ("SELECT 'FTO' || o_orderkey AS fto_no, 'REF' || o_orderkey AS reference_number, 'worker' AS worker_name, 'JC-' || o_custkey AS job_card_number, CAST(o_custkey AS VARCHAR) AS account_number, round(o_totalprice, 2) AS amount, "
+               "o_orderstatus AS status, strftime(o_orderdate, '%Y-%m-%d') AS transaction_date FROM orders WHERE o_orderkey % 7 <> 0")
+
+
+@query("src7_order_rows", _ORDER_ROWS)
+def src7_orders(t: Tables) -> DataFrame:
+    return landed.order_rows(order_cells(t, True))
+
+
+@query("src7_order_detail_rows", _ORDER_ROWS)
+def src7_details(t: Tables) -> DataFrame:
+    return landed.order_detail_rows(order_cells(t, False), "fto")
+
+
+@query("src7_worker_rows", "SELECT c_name AS worker_name, c_mktsegment AS relative_name, CASE WHEN c_custkey % 4 <> 0 THEN CAST(18 + c_custkey % 60 AS INTEGER) ELSE 0 END AS age, 'F' AS gender, '' AS registration_date FROM customer")
+def src7_workers(t: Tables) -> DataFrame:
+    age = F.when(F.col("c_custkey") % 4 == 0, "unknown").otherwise((18 + F.col("c_custkey") % 60).cast("string"))
+    cells = F.array(F.col("c_name"), F.col("c_mktsegment"), age, F.lit("F"), F.lit("GEN"), F.lit("v"))
+    rows = t.customer.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("row_no"), cells.alias("cells"))
+    return landed.worker_rows(rows).drop("category", "village")
+
+
 @query("src8_band_pixels", "SELECT c_custkey AS site_id, r AS row, c AS col, c_custkey*1.0::DOUBLE + r*2 + c AS nir, c_custkey*1.0::DOUBLE AS swir FROM customer, (VALUES (0),(1)) a(r), (VALUES (0),(1)) b(c)")
 def src8(t: Tables) -> DataFrame:
     k = F.col("c_custkey").cast("double")

@@ -62,7 +62,7 @@ def f5(t: Tables) -> DataFrame:
 
 @query("f6_summary_columns", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def f6(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", "c_name", "c_mktsegment")
+    return lookup.summary(t.customer, ("c_custkey", "c_name"), "c_mktsegment")
 
 
 @query("f7_point_lookup", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 7")

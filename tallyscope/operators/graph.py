@@ -187,6 +187,15 @@ def export_nodes(nodes: DataFrame, edges: DataFrame, anomalous: DataFrame | None
     return out.withColumn("size", F.greatest(F.lit(5), F.least(F.lit(30), F.col("degree") * 2)))
 
 
+def export_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, and the share of possible undirected edges that exist (``density``)."""
+    n = nodes.agg(F.count(F.lit(1)).alias("nodes"))
+    m = edges.agg(F.count(F.lit(1)).alias("edges"))
+    # two totals of one row each
+    possible = F.col("nodes") * (F.col("nodes") - 1)
+    return n.crossJoin(F.broadcast(m)).withColumn("density", F.when(possible > 0, 2.0 * F.col("edges") / possible).otherwise(0.0))
+
+
 def hub_accounts(nodes: DataFrame, edges: DataFrame, at_least: int = 5, account: str = "account", panchayat: str = "panchayat") -> DataFrame:
     """Accounts with many panchayats within two steps, and the money on their edges."""
     both = edges.select("src", "dst", "amount").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "amount"))

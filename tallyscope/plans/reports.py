@@ -75,6 +75,18 @@ def numbered_paragraphs(df: DataFrame, keys: Sequence[str], amount: str, tie: st
     return ranked.filter(F.col("para_no") <= top)
 
 
+#: Order of severities in a report.
+SEVERITIES = ("critical", "high", "medium", "low")
+
+
+def top_findings(df: DataFrame, keys: Sequence[str], severity: str, amount: str, tie: str, top: int = 20) -> DataFrame:
+    """The ``top`` findings per key, gravest first, then by amount, numbered from 1."""
+    grade = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.lower(severity))
+    grade = F.when(F.coalesce(grade, F.lit(0)) == 0, len(SEVERITIES) + 1).otherwise(grade)
+    w = W.partitionBy(*keys).orderBy(grade, F.col(amount).desc(), F.col(tie))
+    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+
+
 # -- districts ------------------------------------------------------------------------
 
 def district_report(checks: DataFrame, keys: Sequence[str], *, reported: str, detected: str, status: str) -> DataFrame:
