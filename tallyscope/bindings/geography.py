@@ -102,11 +102,21 @@ def ge4(t: Tables) -> DataFrame:
     return customer_squares(t).select("c_custkey", rnd(geo.polygon_area_m2(F.col("rings")) / 1e6).alias("area_km2"))
 
 
-@query("ge5_polygon_overlap", "SELECT c_custkey, 50.0::DOUBLE AS overlap_pct FROM customer")
+@query("ge5_polygon_overlap", "WITH c AS (SELECT c_custkey, c_custkey % 40 / 100.0::DOUBLE AS d, CASE WHEN c_custkey % 3 = 0 THEN 0.0025::DOUBLE ELSE 0 END AS hole FROM customer) SELECT c_custkey, round(100*(0.125::DOUBLE - d*d/2 - hole)/0.125, 6) AS overlap_pct FROM c")
 def ge5(t: Tables) -> DataFrame:
-    pairs = customer_squares(t).join(customer_squares(t, 0.25).withColumnRenamed("rings", "other"), "c_custkey")
-    r = places.polygon_overlap(pairs, "c_custkey", "rings", "other")
-    return r.select("c_custkey", rnd("overlap_pct", 6).alias("overlap_pct"))
+    """Squares, some with a hole, and triangles that lean out of them by ever more."""
+    la, lo = spot("c_custkey", 31337, 65537)
+    d = F.col("c_custkey") % 40 / 100.0
+
+    def ring(*points):
+        return F.array(*[F.array(lo + x, la + y) for x, y in (*points, points[0])])
+
+    outer, zero, side = ring((0.0, 0.0), (0.5, 0.0), (0.5, 0.5), (0.0, 0.5)), F.lit(0.0), F.lit(0.5)
+    hole = ring((d + 0.05, 0.05), (d + 0.1, 0.05), (d + 0.1, 0.1), (d + 0.05, 0.1))
+    square = F.when(F.col("c_custkey") % 3 == 0, F.array(outer, hole)).otherwise(F.array(outer))
+    triangle = F.array(ring((d, zero), (d + side, zero), (d, side)))
+    pairs = t.customer.select("c_custkey", square.alias("rings"), triangle.alias("other"))
+    return places.polygon_overlap(pairs, "c_custkey", "rings", "other").select("c_custkey", rnd("overlap_pct", 6).alias("overlap_pct"))
 
 
 @query("ge6_centroid", f"SELECT c_custkey, round({_CO} + 0.25, 5) AS lon, round({_CA} + 0.25, 5) AS lat, round({_CO}, 3) AS first_lon FROM customer")
