@@ -176,9 +176,12 @@ def e3(t: Tables) -> DataFrame:
     return cases(t).select("district", "anomalies", F.col("estimated_loss").cast("double").alias("estimated_loss"), "affected_workers", F.size("actions").alias("actions"))
 
 
-@query("e4_observations", f"WITH {ANOMALIES} SELECT district, 'Para 2025/' || substr(sha256(CAST(district AS VARCHAR)), 1, 8) AS para, CAST(sum(CAST(loss AS DECIMAL(14,2))) AS DOUBLE) AS effect FROM anomalies GROUP BY 1")
+@query("e4_observations", f"WITH {ANOMALIES}, k AS (SELECT DISTINCT district, CASE anomaly_type WHEN 'error' THEN 'satellite_mismatch' WHEN 'click' THEN 'ghost_worker' WHEN 'view' THEN 'payment_anomaly' WHEN 'signup' THEN 'photo_anomaly' ELSE 'other' END AS kind FROM anomalies), "
+       "c AS (SELECT district, string_agg(kind, ', ' ORDER BY kind) AS condition, coalesce(string_agg(CASE kind WHEN 'satellite_mismatch' THEN 'Section 17(1)' WHEN 'ghost_worker' THEN 'Section 25, Para 19.4' WHEN 'payment_anomaly' THEN 'Para 7.7' END, ' | ' ORDER BY kind), 'general') AS criteria FROM k GROUP BY 1) "
+       "SELECT district, '4.2.' || right(CAST(district AS VARCHAR), 3) AS para, criteria, condition, 'weak_supervision, no_live_monitoring, weak_biometric_checks, possible_collusion' AS cause, CAST(sum(CAST(loss AS DECIMAL(14,2))) AS DOUBLE) AS effect, count(DISTINCT user_id) AS affected_workers, "
+       "'recover_irregular_payments, fix_accountability, geotag_monitoring, biometric_attendance' AS recommendation FROM anomalies JOIN c USING (district) GROUP BY 1, 2, 3, 4")
 def e4(t: Tables) -> DataFrame:
-    return reports.observations(cases(t), "district", 2025).select("district", "para", F.col("effect").cast("double").alias("effect"))
+    return reports.observations(cases(t), "district").withColumn("effect", F.col("effect").cast("double"))
 
 
 @query("e5_district_briefing", f"WITH {ANOMALIES}, s AS (SELECT district, count(*) FILTER (WHERE status IN ('open','under_investigation')) AS open_cases, count(DISTINCT user_id) AS flagged_works, count(*) AS n FROM anomalies GROUP BY 1), "
@@ -224,6 +227,16 @@ def e8(t: Tables) -> DataFrame:
     return reports.numbered_paragraphs(w, ["district"], "amount", "work_id")
 
 
+@query("e8_audit_paragraphs", f"WITH {PAYMENTS}, {ANOMALIES}, s AS (SELECT district, count(*) FILTER (WHERE quantity > 30) AS flagged, sum(CASE WHEN quantity > 30 THEN abs(amount - amount*(1-quantity/100)) ELSE 0 END) AS l FROM payments GROUP BY 1), "
+       "r AS (SELECT district, anomaly_id, severity, loss, row_number() OVER (PARTITION BY district ORDER BY coalesce(list_position(['critical', 'high', 'medium', 'low'], severity), 5), loss DESC, anomaly_id) AS rank FROM anomalies), n AS (SELECT district, count(*) AS n FROM r WHERE rank <= 10 GROUP BY 1) "
+       "SELECT district, CAST(1 AS INTEGER) AS para_no, 'executive_observation' AS heading, CAST(NULL AS VARCHAR) AS ref, round(l, 2) AS amount FROM s UNION ALL SELECT district, CAST(rank + 1 AS INTEGER), 'anomaly_' || severity, CAST(anomaly_id AS VARCHAR), round(loss, 2) FROM r WHERE rank <= 10 "
+       "UNION ALL SELECT district, CAST(coalesce(n, 0) + 2 AS INTEGER), 'satellite_discrepancies', CAST(flagged AS VARCHAR), NULL FROM s LEFT JOIN n USING (district) WHERE flagged > 0")
+def e8_paragraphs(t: Tables) -> DataFrame:
+    summary = reports.district_report(checks(t), ["district"], reported="reported", detected="detected", status="status")
+    ranked = reports.top_findings(roles.anomalies(t), ["district"], "severity", "loss", "anomaly_id")
+    return reports.paragraphs(summary, ranked, ["district"], severity="severity", amount="loss", ref="anomaly_id").withColumn("amount", rnd("amount", 2))
+
+
 @query("e9_case_financials", f"WITH {ANOMALIES}, l AS (SELECT user_id, anomaly_type, arg_max(loss, (detected_at, anomaly_id)) AS amount FROM anomalies GROUP BY 1, 2) SELECT user_id AS case_id, anomaly_type AS evidence_type, amount, round(sum(amount) OVER (PARTITION BY user_id), 2) AS case_total FROM l")
 def e9(t: Tables) -> DataFrame:
     r = reports.case_financials(evidence(t), "case_id", "amount")

@@ -56,14 +56,49 @@ def case_financials(evidence: DataFrame, case: str, amount: str) -> DataFrame:
     return last.join(total, case)
 
 
-def observations(cases: DataFrame, case: str, year: int) -> DataFrame:
-    """Audit paragraph rows: number, condition and effect per case."""
+# The rule that a kind of anomaly breaks.
+CRITERIA = {
+    "satellite_mismatch": "Section 17(1)",
+    "ghost_worker": "Section 25, Para 19.4",
+    "payment_anomaly": "Para 7.7",
+    "material_ratio_violation": "Section 4(3)",
+    "attendance_anomaly": "Para 17.3",
+}
+CAUSES = ("weak_supervision", "no_live_monitoring", "weak_biometric_checks", "possible_collusion")
+RECOMMENDATIONS = ("recover_irregular_payments", "fix_accountability", "geotag_monitoring", "biometric_attendance")
+
+
+def observations(cases: DataFrame, case: str, chapter: str = "4.2") -> DataFrame:
+    """Audit observation per case: number, criteria, condition, cause, effect and recommendation.
+
+    The criteria are those of the kinds found, the general rule where none of them has one.
+    """
+    rule = F.create_map(*[F.lit(x) for pair in CRITERIA.items() for x in pair])
+    broken = F.array_compact(F.transform("kinds", lambda k: rule[k]))
     return cases.select(
-        case, F.concat(F.lit(f"Para {year}/"), F.substring(F.sha2(F.col(case).cast("string"), 256), 1, 8)).alias("para"),
-        F.array_join("kinds", ", ").alias("condition"), F.col("estimated_loss").alias("effect"),
+        case, F.concat(F.lit(f"{chapter}."), F.expr(f"right(cast(`{case}` as string), 3)")).alias("para"),
+        F.when(F.size(broken) > 0, F.array_join(broken, " | ")).otherwise("general").alias("criteria"),
+        F.array_join("kinds", ", ").alias("condition"), F.lit(", ".join(CAUSES)).alias("cause"),
+        F.col("estimated_loss").alias("effect"), F.col("affected_workers"), F.lit(", ".join(RECOMMENDATIONS)).alias("recommendation"),
     )
 
 
+def paragraphs(summary: DataFrame, ranked: DataFrame, keys: Sequence[str], *, severity: str, amount: str, ref: str, top: int = 10) -> DataFrame:
+    """Draft paragraphs per key, numbered through: an opening, the gravest findings, and one on discrepant works.
+
+    ``summary`` has ``flagged`` and ``leakage`` per key, ``ranked`` comes from
+    :func:`top_findings`. The last paragraph is left out where no work is discrepant.
+    """
+    keys = list(keys)
+    opening = summary.select(*keys, F.lit(1).alias("para_no"), F.lit("executive_observation").alias("heading"), F.lit(None).cast("string").alias("ref"), F.col("leakage").cast("double").alias("amount"))
+    kept = ranked.filter(F.col("rank") <= top)
+    body = kept.select(*keys, (F.col("rank") + 1).alias("para_no"), F.concat(F.lit("anomaly_"), F.lower(severity)).alias("heading"), F.col(ref).cast("string").alias("ref"), F.col(amount).cast("double").alias("amount"))
+    n = kept.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    closing = summary.filter("flagged > 0").join(n, keys, "left").select(
+        *keys, (F.coalesce("_n", F.lit(0)) + 2).alias("para_no"), F.lit("satellite_discrepancies").alias("heading"), F.col("flagged").cast("string").alias("ref"), F.lit(None).cast("double").alias("amount"))
+    return opening.unionByName(body).unionByName(closing)
+
+
 def numbered_paragraphs(df: DataFrame, keys: Sequence[str], amount: str, tie: str, top: int = 10) -> DataFrame:
     """The largest observations per key, numbered from 1.
 
