@@ -9,9 +9,9 @@ from ..operators import payments as P
 from ..operators import photos, raster, rollup, stats
 from ..operators.sequences import latest_per_key, period_change
 from ..plans import findings, reports, risk
-from . import pictures, rasters, roles
+from . import joins, pictures, rasters, relational, roles
 from .audits import _WORK_COST, work_costs
-from .base import Tables, query, rnd
+from .base import REGISTRY, Tables, query, rnd
 from .roles import ANOMALIES, PANCHAYATS, PAYMENTS, WORKS
 from .scalars import spot, spot_sql
 from .statistics import EXPENDITURE, _digit_cte, _CHI, _WHOLE
@@ -184,13 +184,18 @@ def e4(t: Tables) -> DataFrame:
     return reports.observations(cases(t), "district").withColumn("effect", F.col("effect").cast("double"))
 
 
-@query("e5_district_briefing", f"WITH {ANOMALIES}, s AS (SELECT district, count(*) FILTER (WHERE status IN ('open','under_investigation')) AS open_cases, count(DISTINCT user_id) AS flagged_works, count(*) AS n FROM anomalies GROUP BY 1), "
-       "k AS (SELECT district, arg_max(anomaly_type, (c, anomaly_type)) AS top_type FROM (SELECT district, anomaly_type, count(*) AS c FROM anomalies GROUP BY 1, 2) GROUP BY 1) "
-       "SELECT district, open_cases, flagged_works, CAST(2 + (open_cases > 10)::INT + (flagged_works > 50)::INT AS INTEGER) AS actions FROM s JOIN k USING (district)")
+@query("e5_district_briefing", f"WITH {ANOMALIES}, s AS (SELECT district, count(*) FILTER (WHERE status IN ('open','under_investigation')) AS open_cases, count(DISTINCT user_id) AS flagged_works FROM anomalies GROUP BY 1), "
+       f"k AS (SELECT district, string_agg(anomaly_type || ':' || count, ',' ORDER BY rank) AS top_kinds FROM ({REGISTRY['a9_top_types'].oracle}) GROUP BY 1), "
+       f"b AS (SELECT c_nationkey AS district, count(*) AS blocks, count(*) FILTER (WHERE risk_level = 'high') AS high_risk_blocks, arg_max(block_id, (risk_score, -block_id)) FILTER (WHERE risk_score IS NOT NULL) AS worst_block FROM ({REGISTRY['j10_blocks_with_risk'].oracle}) JOIN customer ON block_id = c_custkey GROUP BY 1) "
+       "SELECT district, open_cases, flagged_works, top_kinds, blocks, high_risk_blocks, worst_block, concat_ws(',', CASE WHEN open_cases > 10 THEN 'review_meeting' END, CASE WHEN flagged_works > 50 THEN 'deploy_verification_teams' END, 'geotag_all_new_works', 'update_schedule_of_rates') AS actions, "
+       "concat_ws(',', CASE WHEN open_cases > 0 THEN 'open_cases:' || open_cases END, 'most_frequent:' || string_split(top_kinds, ',')[1], CASE WHEN high_risk_blocks > 0 THEN 'high_risk_blocks:' || high_risk_blocks END) AS key_findings FROM s LEFT JOIN k USING (district) LEFT JOIN b USING (district)")
 def e5(t: Tables) -> DataFrame:
     c = roles.anomalies(t).withColumn("ids", F.array("user_id"))
     s = rollup.case_stats(c, ["district"], status="status", created="detected_at", start="2024-01-15", works="ids", loss="loss")
-    return reports.action_items(s).select("district", "open_cases", "flagged_works", F.size("actions").alias("actions"))
+    blocks = joins.j10(t).join(t.customer.select(F.col("c_custkey").alias("block_id"), F.col("c_nationkey").alias("district")), "block_id")
+    r = reports.briefing(s, relational.a9(t), blocks, "district", "anomaly_type")
+    texts = {c: F.array_join(c, ",") for c in ("top_kinds", "actions", "key_findings")}
+    return r.withColumns(texts).select("district", "open_cases", "flagged_works", "top_kinds", "blocks", "high_risk_blocks", "worst_block", "actions", "key_findings")
 
 
 @query("e6_weekly_summary", f"WITH {ANOMALIES}, w AS (SELECT district, CAST(date_trunc('week', detected_at) AS DATE) AS week, count(*) AS new_anomalies, count(*) FILTER (WHERE status = 'closed' AND updated_at >= date_trunc('week', detected_at)) AS r, "

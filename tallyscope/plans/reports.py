@@ -160,6 +160,24 @@ def action_items(stats: DataFrame) -> DataFrame:
     )))
 
 
+def briefing(stats: DataFrame, kinds: DataFrame, blocks: DataFrame, key: str, kind: str) -> DataFrame:
+    """``stats`` of a district with its most frequent kinds, the risk of its blocks, and key findings.
+
+    ``kinds`` has (key, ``kind``, count, rank), few a district; ``blocks`` (key, block_id,
+    risk_level, risk_score).
+    """
+    listed = F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(":", F.col(kind), F.col("count").cast("string")).alias("shown"))))
+    top = kinds.groupBy(key).agg(F.transform(listed, lambda x: x["shown"]).alias("top_kinds"))
+    scored = F.when(F.col("risk_score").isNotNull(), F.struct("risk_score", (-F.col("block_id")).alias("_b")))
+    risk = blocks.groupBy(key).agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("risk_level") == "high").alias("high_risk_blocks"), F.max_by("block_id", scored).alias("worst_block"))
+    out = action_items(stats).join(top, key, "left").join(risk, key, "left")
+    return out.withColumn("key_findings", F.array_compact(F.array(
+        F.when(F.col("open_cases") > 0, F.concat(F.lit("open_cases:"), F.col("open_cases").cast("string"))),
+        F.when(F.size("top_kinds") > 0, F.concat(F.lit("most_frequent:"), F.col("top_kinds")[0])),
+        F.when(F.col("high_risk_blocks") > 0, F.concat(F.lit("high_risk_blocks:"), F.col("high_risk_blocks").cast("string"))),
+    )))
+
+
 def weekly_highlights(weekly: DataFrame) -> DataFrame:
     """Weekly rows marked when more is found than settled or something escalates."""
     return weekly.withColumn("highlights", F.array_compact(F.array(
