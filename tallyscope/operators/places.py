@@ -4,36 +4,79 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ..functions.geo import common_length, covered, crossing_heights, in_polygon, scanline, spans
+from ..functions.geo import common_length, covered, crossing_heights, ring_edges, scanline, spans
 
 
-def _box(df: DataFrame, rings: str) -> DataFrame:
-    outer = F.col(rings)[0]
-    lons, lats = F.transform(outer, lambda p: p[0]), F.transform(outer, lambda p: p[1])
-    return df.withColumns({
-        "_x0": F.array_min(lons), "_x1": F.array_max(lons), "_y0": F.array_min(lats), "_y1": F.array_max(lats),
-    })
+#: Where in its cell the reference point lies: nowhere that rounded coordinates would put a vertex.
+_REF_X, _REF_Y = 0.41421356237, 0.57721566490
 
 
-def _cells(lo: str, hi: str, width: float) -> Column:
-    return F.sequence(F.floor(F.col(lo) / width).cast("int"), F.floor(F.col(hi) / width).cast("int"))
+def _range(lo: Column, hi: Column) -> Column:
+    return F.explode(F.sequence(F.floor(lo).cast("int"), F.floor(hi).cast("int")))
+
+
+def cover(shapes: DataFrame, shape: str, rings: str, cell: float) -> DataFrame:
+    """The cells of each polygon: ``shape``, ``_cx``, ``_cy``, ``_edges``, ``_inside``.
+
+    A cell that a ring passes holds the edges that touch it and whether its reference
+    point is inside; a cell without edges lies wholly inside. An edge is listed row of
+    cells by row of cells, the inside by the crossings of the rows' reference heights,
+    so a polygon is never held by more than one row of its own.
+    """
+    pad = 1e-9  # of a cell: an edge listed too often does no harm
+    edges = shapes.filter(F.col(rings).isNotNull()).select(shape, F.explode(F.flatten(F.transform(rings, ring_edges))).alias("e")).select(
+        shape, *[F.col(f"e.{end}")[i].alias(f"{axis}{k}") for end, k in (("a", 1), ("b", 2)) for i, axis in enumerate("xy")])
+    edges = edges.withColumns({"_lo": F.least("y1", "y2"), "_hi": F.greatest("y1", "y2")})
+    rows = edges.withColumn("_cy", _range(F.col("_lo") / cell - pad, F.col("_hi") / cell + pad))
+
+    def at(y: Column) -> Column:
+        return F.col("x1") + (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / F.when(F.col("y1") == F.col("y2"), F.lit(1.0)).otherwise(F.col("y2") - F.col("y1"))
+
+    level = F.col("y1") == F.col("y2")
+    low, high = at(F.greatest(F.col("_cy") * cell, "_lo")), at(F.least((F.col("_cy") + 1) * cell, "_hi"))
+    left = F.when(level, F.least("x1", "x2")).otherwise(F.least(low, high))
+    right = F.when(level, F.greatest("x1", "x2")).otherwise(F.greatest(low, high))
+    edge = F.struct("x1", "y1", "x2", "y2")
+    border = rows.withColumn("_cx", _range(left / cell - pad, right / cell + pad)).select(shape, "_cx", "_cy", edge.alias("_edge"), F.lit(False).alias("_in"))
+    height = (F.col("_cy") + _REF_Y) * cell
+    hits = rows.filter((F.col("y1") > height) != (F.col("y2") > height)).select(shape, "_cy", at(height).alias("_x"))
+    order = W.partitionBy(shape, "_cy").orderBy("_x")  # one row of cells of one polygon
+    spans_ = hits.select(shape, "_cy", "_x", F.lead("_x").over(order).alias("_to"), F.row_number().over(order).alias("_n")).filter("_n % 2 = 1")
+    x = (F.col("_cx") + _REF_X) * cell
+    within = spans_.withColumn("_cx", _range(F.col("_x") / cell - 1, F.col("_to") / cell)).filter((x >= F.col("_x")) & (x < F.col("_to")))
+    both = border.unionByName(within.select(shape, "_cx", "_cy", F.lit(None).cast(border.schema["_edge"].dataType).alias("_edge"), F.lit(True).alias("_in")))
+    return both.groupBy(shape, "_cx", "_cy").agg(F.collect_list("_edge").alias("_edges"), F.max("_in").alias("_inside"))
+
+
+def _passed(edges: Column, x: Column, y: Column, to_x: Column, to_y: Column) -> Column:
+    """How many edges the way from (x, y) along the height y to ``to_x`` and on to ``to_y`` crosses."""
+    def step(n: Column, e: Column) -> Column:
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        across = e["x1"] + dx * (y - e["y1"]) / F.when(dy == 0, F.lit(1.0)).otherwise(dy)
+        up = e["y1"] + dy * (to_x - e["x1"]) / F.when(dx == 0, F.lit(1.0)).otherwise(dx)
+        first = ((e["y1"] > y) != (e["y2"] > y)) & ((x < across) != (to_x < across))
+        second = ((e["x1"] > to_x) != (e["x2"] > to_x)) & ((y < up) != (to_y < up))
+        return n + F.when(first, 1).otherwise(0) + F.when(second, 1).otherwise(0)
+
+    return F.aggregate(edges, F.lit(0), step)
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, rings: str = "rings", cell: float = 0.1) -> DataFrame:
-    """Points (``lon, lat``) joined to the polygons that contain them.
+    """Points (``lon, lat``) joined to the polygons that contain them, holes left out.
 
-    Polygons are listed under the cells of their box; points meet them on one cell
-    each, then the box and the ray cast decide.
+    A point meets a polygon on its one cell (``cover``). In a cell without edges it is
+    inside; in others it is where the reference point is, unless the way there crosses
+    an odd number of the cell's edges. Equal polygons are covered once. Points and
+    polygons without coordinates meet nothing.
     """
-    boxed = _box(polygons, rings)
-    listed = boxed.withColumn("_cx", F.explode(_cells("_x0", "_x1", cell))).withColumn("_cy", F.explode(_cells("_y0", "_y1", cell)))
+    known = polygons.withColumn("_shape", F.md5(F.to_json(rings)))
+    cells = cover(known.groupBy("_shape").agg(F.first(rings).alias(rings)), "_shape", rings, cell).join(known.drop(rings), "_shape")
     placed = points.withColumn("_cx", F.floor(F.col("lon") / cell).cast("int")).withColumn("_cy", F.floor(F.col("lat") / cell).cast("int"))
-    inside = (
-        F.col("lon").between(F.col("_x0"), F.col("_x1")) & F.col("lat").between(F.col("_y0"), F.col("_y1"))
-        & in_polygon(F.col(rings), F.col("lon"), F.col("lat"))
-    )
-    return placed.join(listed, ["_cx", "_cy"]).filter(inside).drop("_cx", "_cy", "_x0", "_x1", "_y0", "_y1", rings)
+    crossed = _passed(F.col("_edges"), F.col("lon"), F.col("lat"), (F.col("_cx") + _REF_X) * cell, (F.col("_cy") + _REF_Y) * cell)
+    inside = F.when(F.size("_edges") == 0, F.col("_inside")).otherwise((crossed + F.col("_inside").cast("int")) % 2 == 1)
+    return placed.join(cells, ["_cx", "_cy"]).filter(inside).drop("_shape", "_cx", "_cy", "_edges", "_inside")
 
 
 def polygon_overlap(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
