@@ -241,14 +241,14 @@ def s1(t: Tables) -> DataFrame:
 def s2(t: Tables) -> DataFrame:
     told = _drained(t, _stream(t, "lineitem", "l_shipdate"), "l_shipdate",
                     lambda rows: jobs.rapid_transfers(rows, "l_orderkey", "l_suppkey", "l_shipdate", "l_extendedprice", hours=720), l_extendedprice=0)
-    last = told.groupBy("l_orderkey").agg(F.max_by("rapid", "payments").alias("rapid"), F.max("payments").alias("payments"))
-    return last.filter("rapid").select("l_orderkey", "payments")
+    return jobs.rapid_verdicts(told, "l_orderkey", 720).filter("rapid").select("l_orderkey", "payments")
 
 
 @query("s3_reused_hashes", "SELECT md5(l_returnflag || l_partkey || ':' || CAST(l_quantity AS INTEGER)) AS h FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) > 1")
 def s3(t: Tables) -> DataFrame:
     rows = _stream(t, "lineitem", "l_shipdate").withColumn("h", F.md5(F.concat(F.col("l_returnflag"), F.col("l_partkey").cast("string"), F.lit(":"), F.col("l_quantity").cast("int").cast("string"))))
-    return _drained(t, rows, "l_shipdate", lambda all_rows: jobs.reused_hashes(all_rows.filter("h IS NOT NULL"), "h", "l_orderkey")).select("h")
+    seen = _drained(t, rows, "l_shipdate", lambda all_rows: jobs.hash_sightings(all_rows, "h", "l_orderkey", "l_shipdate"), h="end")
+    return jobs.reused_hashes(seen, "h").select("h")
 
 
 @query("s4_split_candidates", "WITH p AS (SELECT l_partkey, CAST(l_shipdate AS DATE) AS d, CAST(l_extendedprice AS DECIMAL(14,2)) AS a FROM lineitem WHERE l_extendedprice < 50000), w AS (SELECT l_partkey, d - CAST(i AS INTEGER) AS ws, a FROM p, (SELECT unnest(generate_series(0, 8)) AS i)) "
@@ -263,22 +263,12 @@ def s4(t: Tables) -> DataFrame:
 def s5(t: Tables) -> DataFrame:
     current, incoming = _upsert(t)
     base = f"{shared_folder(t.spark)}/merge-{uuid.uuid4().hex}"
-    current.write.parquet(f"{base}/v0")
-    version = {"n": 0}
-    schema = current.schema
-
-    def read() -> DataFrame:
-        return t.spark.read.schema(schema).parquet(f"{base}/v{version['n']}")
-
-    def write(df: DataFrame) -> None:
-        df.write.parquet(f"{base}/v{version['n'] + 1}")
-        version["n"] += 1
-
+    table = sinks.KeyedTable(t.spark, base, ("o_orderkey",), current.schema, 16)
+    table.create(current)
     src = t.spark.readStream.schema(t.lineitem.schema).option("pathGlobFilter", "lineitem.parquet").parquet(t.folder)
     rows = src.select(F.col("l_orderkey").alias("o_orderkey"), F.lit("X").alias("o_orderstatus"), F.col("l_extendedprice").alias("o_totalprice"), F.lit("new").alias("note"), "l_partkey", "l_suppkey", F.col("l_extendedprice").alias("seq"))
-    q = jobs.merge_stream(rows, read, write, ["o_orderkey"], ["o_orderstatus", "o_totalprice"], ["l_partkey", "l_suppkey", "seq"], f"{base}/state")
-    q.awaitTermination()
-    return read()
+    jobs.merge_stream(rows, table, ["o_orderstatus", "o_totalprice"], ["l_partkey", "l_suppkey", "seq"], f"{base}/state").awaitTermination()
+    return table.read()
 
 
 @query("s6_daily_counts", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS count FROM events GROUP BY 1, 2")

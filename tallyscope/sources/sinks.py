@@ -1,13 +1,14 @@
-"""Writers: keyed merge, partitioned append, GeoJSON export, run statistics."""
+"""Writers: keyed merge, keyed table of buckets, partitioned append, GeoJSON export, run statistics."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.observation import Observation
-
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def merge(current: DataFrame, incoming: DataFrame, keys: Sequence[str], update: Sequence[str]) -> DataFrame:
@@ -41,9 +42,63 @@ def append_findings(df: DataFrame, path: str, partitions: Sequence[str]) -> None
     df.write.mode("append").partitionBy(*partitions).parquet(path)
 
 
-def overwrite_partitions(df: DataFrame, path: str, partitions: Sequence[str]) -> None:
-    """Replace only the partitions present in ``df``."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+@dataclass(frozen=True)
+class KeyedTable:
+    """A table in buckets of its keys, changed by whole buckets under numbered versions.
+
+    ``data/version=v/bucket=b`` holds what version ``v`` made of bucket ``b``;
+    ``manifest/version=v`` is one file that names the version of every bucket. It
+    appears as a whole, after the data, and commits the version: readers see the last
+    one, and what a stopped writer left behind is overwritten when it runs again.
+    """
+
+    spark: SparkSession
+    path: str
+    keys: tuple[str, ...]
+    schema: StructType
+    buckets: int = 64
+
+    def _dealt(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)))
+
+    def _put(self, dealt: DataFrame, version: int, held: dict[int, int]) -> None:
+        dealt.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/version={version}")
+        written = self.spark.read.schema(StructType([*self.schema, StructField("bucket", LongType())])).parquet(f"{self.path}/data/version={version}")
+        held = {**held, **{r["bucket"]: version for r in written.select("bucket").distinct().collect()}}  # at most one a bucket
+        rows = self.spark.createDataFrame([*held.items(), (None, version)], "bucket long, holds long")
+        rows.coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/version={version}")
+
+    def create(self, df: DataFrame) -> None:
+        """Version 0."""
+        self._put(self._dealt(df.select(*self.schema.names)), 0, {})
+
+    def manifest(self) -> tuple[int, dict[int, int]]:
+        """The last version, and the version that holds each bucket with rows."""
+        listed = self.spark.read.schema("bucket long, holds long, version long").json(f"{self.path}/manifest")
+        last = listed.agg(F.max("version")).first()[0]
+        rows = listed.filter(F.col("version") == last).filter("bucket IS NOT NULL").collect()  # at most one a bucket
+        return last, {r["bucket"]: r["holds"] for r in rows}
+
+    def read(self, only: Sequence[int] | None = None) -> DataFrame:
+        """The last version, or some of its buckets."""
+        _, held = self.manifest()
+        paths = [f"{self.path}/data/version={v}/bucket={b}" for b, v in sorted(held.items()) if only is None or b in only]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def merge(self, incoming: DataFrame, update: Sequence[str], order: Sequence[str], version: int) -> None:
+        """Merge rows (the last by ``order`` of each key) as ``version``; only their buckets are read and rewritten.
+
+        A version that is not above the last one was committed before: nothing happens.
+        """
+        last, held = self.manifest()
+        if version <= last:
+            return
+        new = self._dealt(latest(incoming, self.keys, *order)).persist()
+        try:
+            touched = [r[0] for r in new.select("bucket").distinct().collect()]
+            self._put(self._dealt(merge(self.read(touched), new, self.keys, update)), version, held)
+        finally:
+            new.unpersist()
 
 
 def geojson_features(df: DataFrame, properties: Sequence[str], geometry: Column) -> DataFrame:

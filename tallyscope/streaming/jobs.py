@@ -1,19 +1,18 @@
 """Structured Streaming versions of the time-clustered detectors.
 
 The batch operators define the results; late rows beyond the watermark are dropped.
+No job keeps state for ever: what lives longer than a window is a table of landed rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.sinks import latest, merge
+from ..sources.sinks import KeyedTable
 
 
 def upload_bursts(stream: DataFrame, work: str, ts: str, gap: str = "300 seconds", late: str = "1 hour", at_least: int = 5) -> DataFrame:
@@ -26,65 +25,49 @@ def upload_bursts(stream: DataFrame, work: str, ts: str, gap: str = "300 seconds
 
 
 def rapid_transfers(stream: DataFrame, fto: str, account: str, ts: str, amount: str, hours: int = 24, late: str = "1 hour") -> DataFrame:
-    """Orders paid to two or more accounts within a day, as far as payments are known.
-
-    An order is judged when the watermark has passed its last payment by the span.
-    State per order: count, first, last, total, the first account with a flag that a
-    second one was seen, and the last verdict told; its size does not grow with the
-    payments, and it stays, so that later payments correct the verdict. Of the rows of
-    an order the one with most ``payments`` holds; ``rapid`` is false where a later
-    payment took it back.
-    """
-    span = hours * 3_600_000
-    columns = [fto, "payments", "several", "span_hours", "total_amount", "rapid"]
-    out = f"{fto} string, payments long, several boolean, span_hours double, total_amount double, rapid boolean"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            n, lo, hi, total, first, several, told = state.get
-            rapid = bool(n >= 2 and several and hi - lo <= span)
-            state.update((n, lo, hi, total, first, several, rapid))
-            if rapid or told:
-                yield pd.DataFrame([(key[0], n, several, (hi - lo) / 3_600_000, total, rapid)], columns=columns)
-            return
-        n, lo, hi, total, first, several, told = state.get if state.exists else (0, None, None, 0.0, None, False, False)
-        for pdf in batches:
-            ms = pdf[ts].astype("datetime64[ms]").astype("int64")
-            n += len(pdf)
-            lo = int(ms.min()) if lo is None else min(lo, int(ms.min()))
-            hi = int(ms.max()) if hi is None else max(hi, int(ms.max()))
-            total += float(pdf[amount].sum())
-            names = pdf[account].astype(str)
-            first = names.iloc[0] if first is None else first
-            several = bool(several or (names != first).any())
-        state.update((n, lo, hi, total, first, several, told))
-        state.setTimeoutTimestamp(max(hi + span, state.getCurrentWatermarkMs()) + 1)
+    """What is known of an order from the payments of one window of the span.
 
+    A row is emitted when the watermark has passed the window, and its state goes: state
+    is one row for each order paid in the windows still open. Rows of an order add up
+    (``folded_transfers``), in any order and number, so a payment that comes in a later
+    window corrects the verdict without the stream having kept the order.
+    """
     rows = stream.withWatermark(ts, late).select(F.col(fto).cast("string").alias(fto), F.col(account).cast("string").alias(account), ts, F.col(amount).cast("double").alias(amount))
-    return rows.groupBy(fto).applyInPandasWithState(
-        step, out, "n long, lo long, hi long, total double, first string, several boolean, told boolean", "append", GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy(fto, F.window(ts, f"{hours} hours")).agg(
+        F.count(F.lit(1)).alias("payments"), F.min(ts).alias("first_paid"), F.max(ts).alias("last_paid"), F.sum(amount).alias("total_amount"),
+        F.min(account).alias("least_account"), F.max(account).alias("greatest_account"),
+    ).drop("window")
+
+
+def folded_transfers(parts: DataFrame, fto: str) -> DataFrame:
+    """The rows of ``rapid_transfers`` with one row per order; the registry is compacted by writing this."""
+    return parts.groupBy(fto).agg(
+        F.sum("payments").alias("payments"), F.min("first_paid").alias("first_paid"), F.max("last_paid").alias("last_paid"), F.sum("total_amount").alias("total_amount"),
+        F.min("least_account").alias("least_account"), F.max("greatest_account").alias("greatest_account"),
     )
 
 
-def reused_hashes(stream: DataFrame, hash_col: str, work: str) -> DataFrame:
-    """A row when a hash is seen in a second work; state is one work per hash."""
-    out = f"{hash_col} string, first_work string, other_work string"
+def rapid_verdicts(parts: DataFrame, fto: str, hours: int = 24) -> DataFrame:
+    """Orders by what was told of them so far: ``rapid`` if two or more accounts were paid within the span."""
+    span = (F.unix_micros("last_paid") - F.unix_micros("first_paid")) / 3_600_000_000
+    several = F.coalesce(F.col("least_account") != F.col("greatest_account"), F.lit(False))
+    return folded_transfers(parts, fto).select(fto, "payments", several.alias("several"), span.alias("span_hours"), "total_amount", (several & (span <= hours)).alias("rapid"))
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, told = state.get if state.exists else (None, False)
-        hit = None
-        for pdf in batches:
-            works = pdf[work].unique()
-            first = works[0] if first is None else first
-            others = works[works != first]
-            if len(others) and not told:
-                told, hit = True, others[0]
-        state.update((first, told))
-        if hit is not None:
-            yield pd.DataFrame([(key[0], first, hit)], columns=[hash_col, "first_work", "other_work"])
 
-    rows = stream.select(F.col(hash_col).cast("string").alias(hash_col), F.col(work).cast("string").alias(work))
-    return rows.groupBy(hash_col).applyInPandasWithState(step, out, "first string, told boolean", "append", GroupStateTimeout.NoTimeout)
+def hash_sightings(stream: DataFrame, hash_col: str, work: str, ts: str, life: str = "30 days", late: str = "1 hour") -> DataFrame:
+    """The least and greatest work that used a hash in one window of its life.
+
+    Counted before the shuffle, so a hash of many photos is one row a task. State goes
+    when the watermark has passed the window; ``reused_hashes`` joins the windows.
+    """
+    rows = stream.withWatermark(ts, late).filter(F.col(hash_col).isNotNull()).select(F.col(hash_col).cast("string").alias(hash_col), F.col(work).cast("string").alias(work), ts)
+    return rows.groupBy(hash_col, F.window(ts, life)).agg(F.min(work).alias("first_work"), F.max(work).alias("other_work"), F.min(ts).alias("first_seen")).drop("window")
+
+
+def reused_hashes(sightings: DataFrame, hash_col: str) -> DataFrame:
+    """Hashes seen in two or more works, with the least and the greatest of them, however far apart in time."""
+    folded = sightings.groupBy(hash_col).agg(F.min("first_work").alias("first_work"), F.max("other_work").alias("other_work"), F.min("first_seen").alias("first_seen"))
+    return folded.filter(F.col("first_work") != F.col("other_work"))
 
 
 def split_candidates(stream: DataFrame, account: str, ts: str, amount: str, threshold: float = 50_000, days: int = 7, late: str = "1 day") -> DataFrame:
@@ -131,13 +114,13 @@ def drain(stream: DataFrame, ts: str, build: Callable[[DataFrame], DataFrame], f
     return spark.read.schema(out.schema).parquet(f"{folder}/rows")
 
 
-def merge_stream(
-    stream: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], keys: Sequence[str], update: Sequence[str],
-    order: Sequence[str], checkpoint: str,
-) -> StreamingQuery:
-    """Merge every micro-batch into a keyed table; replaying a batch changes nothing."""
+def merge_stream(stream: DataFrame, table: KeyedTable, update: Sequence[str], order: Sequence[str], checkpoint: str) -> StreamingQuery:
+    """Merge every micro-batch into a keyed table as the version after its number.
 
-    def apply(batch: DataFrame, _: int) -> None:
-        write(merge(read(), latest(batch, keys, *order), keys, update))
+    The numbers go on from ``checkpoint`` after a restart; a batch that was committed
+    before the stop is run again by Spark and changes nothing.
+    """
+    def apply(batch: DataFrame, number: int) -> None:
+        table.merge(batch, update, order, number + 1)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
