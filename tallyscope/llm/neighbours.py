@@ -5,11 +5,12 @@ equally long; queries are scaled to that length. Then the largest inner product
 the smallest distance. A hash function is one random projection. Rows are dealt by
 a hash of their id into blocks of about ``block`` rows, queries likewise; every
 block of rows meets every block of queries in one task, where each projection is an
-array sorted by value. A query opens a window around its own value in every array;
-a row whose place in the array is inside the window collides. Rows that collide in ``threshold`` arrays or more
-are verified by their exact inner product. As long as the k-th best verified row is
-farther away than the radius the windows stand for, all windows grow by ``growth``
-(virtual rehashing: no array is built again).
+array sorted by value. A query opens a window at its own place in every array; the
+rows between the window's old and new ends collide once more, all others are not
+looked at. Rows that collide in ``threshold`` arrays or more are verified by their
+exact inner product. As long as the k-th best verified row is farther away than the
+radius the windows stand for, all windows grow by ``growth`` (virtual rehashing: no
+array is built again, no row is counted twice in one). A query that is done leaves.
 
 ``threshold`` follows from ``miss``: a row at the radius itself fails to reach it
 with about that probability, nearer rows with less.
@@ -50,26 +51,26 @@ def search_block(rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, que
     norms = np.sqrt((queries**2).sum(axis=1))
     centres = axes[:, :-1] @ (queries / norms[:, None]).T
     own = np.argsort(row_ids, kind="stable")
-    # place of each row in each array, counted from the window's lower end without sign
-    kind, tally = (np.uint16 if n < 1 << 16 else np.uint32), (np.uint8 if projections < 256 else np.uint16)
-    places = np.empty((projections, n), kind)
-    np.put_along_axis(places, order, np.arange(n, dtype=kind)[None, :].repeat(projections, axis=0), axis=1)
-    ahead, inside = np.empty_like(places), np.empty(places.shape, bool)
     closed = np.zeros((len(queries), n), bool)
     for q, who in enumerate(query_ids):
         closed[q, own[np.searchsorted(row_ids[own], who) : np.searchsorted(row_ids[own], who, "right")]] = True
     here = [np.zeros(0, np.int64) for _ in queries]
     scores = [np.zeros(0) for _ in queries]
+    # windows start empty at the query's place in each array; each round counts the rows that enter
+    at = np.array([np.searchsorted(v, c) for v, c in zip(values, centres)]).T
+    low, high = at.tolist(), at.tolist()
+    collisions = np.zeros((len(queries), n), np.uint8 if projections < 256 else np.uint16)
     active, reach = list(range(len(queries))), radius
     while active:
-        lo = np.array([np.searchsorted(v, c - reach, "left") for v, c in zip(values, centres)])
-        hi = np.array([np.searchsorted(v, c + reach, "right") for v, c in zip(values, centres)])
+        lo = np.array([np.searchsorted(v, c[active] - reach, "left") for v, c in zip(values, centres)]).T.tolist()
+        hi = np.array([np.searchsorted(v, c[active] + reach, "right") for v, c in zip(values, centres)]).T.tolist()
         going = []
-        for q in active:
-            np.subtract(places, lo[:, q, None].astype(kind), out=ahead)
-            np.less(ahead, (hi - lo)[:, q, None].astype(kind), out=inside)
-            collisions = np.add.reduce(inside.view(np.uint8), axis=0, dtype=tally)
-            found = np.flatnonzero((collisions >= need) & ~closed[q])
+        for q, to_low, to_high in zip(active, lo, hi):
+            rings = [line[a:b] for line, a, b in zip(order, to_low, low[q])] + [line[a:b] for line, a, b in zip(order, high[q], to_high)]
+            entered = np.bincount(np.concatenate(rings), minlength=n)
+            collisions[q] += entered.astype(collisions.dtype)
+            low[q], high[q] = to_low, to_high
+            found = np.flatnonzero((collisions[q] >= need) & ~closed[q])
             if len(found):
                 closed[q, found] = True
                 # row by row, so that equal vectors get equal numbers
@@ -83,7 +84,7 @@ def search_block(rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, que
             # distance of the k-th best among unit vectors
             cosine = scores[q].min() / (norms[q] * longest) if len(here[q]) >= k else -1.0
             near = len(here[q]) >= k and np.sqrt(max(0.0, 2 - 2 * cosine)) <= reach
-            if not near and not (hi[:, q] - lo[:, q] == n).all():
+            if not near and sum(to_high) - sum(to_low) < n * projections:
                 going.append(q)
         active, reach = going, reach * growth
     out = []
@@ -94,7 +95,7 @@ def search_block(rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, que
 
 
 def search(df: DataFrame, asks: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", projections: int = 64, miss: float = 0.1,
-           growth: float = 1.1, radius: float = 0.9, block: int = 8192, query_block: int = 1024, seed: int = 7) -> DataFrame:
+           growth: float = 1.2, radius: float = 0.6, block: int = 8192, query_block: int = 1024, seed: int = 7) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the k nearest rows of each row where ``asks``."""
     given = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), asks.alias("asks"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

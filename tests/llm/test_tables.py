@@ -180,6 +180,33 @@ def test_neighbours_recall_and_ties(spark):
     assert neighbours.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_recall_at_the_querys_parameters(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    ids, v = (np.array(x) for x in zip(*[(r.vec_id, r.embedding) for r in df.collect()]))
+    got = collections.defaultdict(set)
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        scores = v @ v[q]
+        scores[ids == ids[q]] = -np.inf
+        hits += len(got[ids[q]] & set(ids[np.lexsort((ids, -scores))[:20]].tolist()))
+    recall = hits / (20 * len(got))
+    print("recall", recall)
+    assert len(got) == (ids % 20 == 0).sum() and recall >= 0.95
+
+
+def test_windows_count_each_row_once_in_an_array():
+    # with windows of all rows every row collides everywhere: the result is exact, whatever the steps were
+    rng = np.random.default_rng(3)
+    v, ids = rng.standard_normal((300, 8)), np.arange(300)
+    for radius, growth in ((0.01, 1.3), (0.2, 2.0), (50.0, 1.1)):
+        found = neighbours.search_block(v, ids, v[:20], ids[:20], float(np.sqrt((v**2).sum(axis=1)).max()), 299, 16, 0.1, growth, radius, 1)
+        for q, rows, scores in found:
+            assert sorted(rows.tolist()) == [i for i in range(300) if i != q]
+            assert np.allclose(scores, v[rows] @ v[q]) and (np.diff(scores) <= 0).all()
+
+
 def brute_kneser_ney(train, frequent):
     """Returns the log probability of a list of words, by the textbook formula."""
     words = collections.Counter(w for t in train for w in t.split())
