@@ -137,19 +137,11 @@ def monthly_counts(df: DataFrame, keys: Sequence[str], day: str, as_of: str, mon
 def distinct_profile(df: DataFrame, keys: Sequence[str], distinct: Mapping[str, str], amount: str) -> DataFrame:
     """Distinct counts of several columns, total and number of rows per key.
 
-    One pass: every row gives its amount and one entry for each column; entries are
-    counted by (key, column, value) first, then by key, so neither a hot key nor a long
-    value list meets in one task.
+    Spark counts by (key, column, value) first, then by key, so neither a hot key nor
+    a long value list meets in one task; values keep their types.
     """
-    keys = list(keys)
-    kind = df.schema[amount].dataType
-    entries = [F.struct(F.lit(0).alias("_which"), F.lit(None).cast("string").alias("_value"), F.col(amount).alias("_amount"))]
-    for i, col in enumerate(distinct.values(), 1):
-        entries.append(F.struct(F.lit(i).alias("_which"), F.col(col).cast("string").alias("_value"), F.lit(None).cast(kind).alias("_amount")))
-    single = df.select(*keys, F.inline(F.array(*entries))).groupBy(*keys, "_which", "_value").agg(F.sum("_amount").alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    which = F.col("_which")
-    counts = [F.count(F.when((which == i) & F.col("_value").isNotNull(), 1)).alias(name) for i, name in enumerate(distinct, 1)]
-    return single.groupBy(*keys).agg(F.sum(F.when(which == 0, F.col("_sum"))).alias("total_amount"), F.sum(F.when(which == 0, F.col("_n"))).alias("transactions"), *counts)
+    return df.groupBy(*keys).agg(
+        F.sum(amount).alias("total_amount"), F.count(F.lit(1)).alias("transactions"), *[F.count_distinct(col).alias(name) for name, col in distinct.items()])
 
 
 def hierarchy(df: DataFrame, top: str, middle: str, leaf: str) -> DataFrame:
