@@ -4,11 +4,6 @@
 tables grow with the input, and only words never seen share one price. All languages
 are counted together; a word keeps its counts however small its language is.
 
-``train`` and ``score`` are a smaller bigram model: words that make up at least
-``frequent`` of the training words are its vocabulary, all others are one unknown
-word whose probability is shared by the unknown types seen. ``classify`` does not
-use it.
-
 A document is kept if its perplexity is at most the ``quantile`` of its language
 among trusted documents that were left out of training (a tenth, by hash of the id);
 a language without any takes the quantile of all. Without trusted documents there is
@@ -18,192 +13,12 @@ no perplexity and are not kept. Repeated ids stay separate rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-import numpy as np
-import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
 from . import ngrams
-from .columns import flat, pieces, run_hashes, spans_of
-from .pairing import _groups, if_small
-
-_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
-_SPACE = r"[\x20\x09-\x0D]+"
-BEGIN, UNKNOWN, FIRST = 0, 1, 2
-SHIFT = 20
-
-
-@dataclass(frozen=True)
-class Vocabulary:
-    """Hashes of the words, sorted, and their numbers."""
-
-    hashes: np.ndarray
-    numbers: np.ndarray
-
-    @staticmethod
-    def of(words: list[str]) -> Vocabulary:
-        raw = [w.encode() for w in words]
-        size = np.array([len(x) for x in raw], np.int64)
-        end = np.cumsum(size)
-        hashes = run_hashes(np.frombuffer(b"".join(raw), np.uint8), end - size, end)
-        order = np.argsort(hashes)
-        return Vocabulary(hashes[order], (np.arange(len(words)) + FIRST)[order])
-
-    def numbered(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of all rows in order, and how many each row has."""
-        start, end, row = spans_of(offsets, data, _BLANK)
-        count = np.bincount(row, minlength=len(offsets) - 1)
-        if not len(self.hashes):
-            return np.full(len(start), UNKNOWN), count
-        hashes = run_hashes(data, start, end)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.numbers[at], UNKNOWN), count
-
-
-def bigrams(numbers: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Code of each word with the one before it; a row's first word follows BEGIN."""
-    before = np.append(BEGIN, numbers[:-1])[: len(numbers)]
-    before[(np.cumsum(count) - count)[count > 0]] = BEGIN
-    return before.astype(np.int64) << SHIFT | numbers
-
-
-def discounts(n: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts of counts 0, 1, 2, 3 and more, from the number of counts 1 to 4."""
-    n1, n2, n3, n4 = (max(float(x), 1.0) for x in n)
-    y = n1 / (n1 + 2 * n2)
-    return np.array([0.0, *np.clip([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.05, [1, 2, 3])])
-
-
-@dataclass(frozen=True)
-class Model:
-    """Arrays over the vocabulary: counts of contexts, their weight for the lower order, continuation probabilities."""
-
-    vocabulary: Vocabulary
-    discount: np.ndarray
-    context: np.ndarray
-    lower: np.ndarray
-    continuation: np.ndarray
-    unknown: float  # log of the number of unknown types
-
-    def log_probability(self, codes: np.ndarray, seen: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each bigram; ``seen`` are sorted codes with counts ``n``."""
-        before, word = codes >> SHIFT, codes & (1 << SHIFT) - 1
-        p = self.lower[before] * self.continuation[word]
-        if len(seen):
-            at = np.minimum(np.searchsorted(seen, codes), len(seen) - 1)
-            count = np.where(seen[at] == codes, n[at], 0)
-            p = p + np.maximum(count - self.discount[np.minimum(count, 3)], 0.0) / np.maximum(self.context[before], 1.0)
-        return np.log(p) - np.where(word == UNKNOWN, self.unknown, 0.0)
-
-
-def train(trusted: DataFrame, frequent: float = 5e-5) -> tuple[Model, DataFrame]:
-    """The model and the distributed bigram table (``code``, ``n``) of the column ``text``."""
-    spark = trusted.sparkSession
-    words = trusted.select(F.explode(F.split("text", _SPACE)).alias("word")).filter("word != ''")
-    seen = Observation()
-    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).observe(seen, F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("types"))
-    often = durable(counted.filter("n >= 3"))
-    tokens, types = seen.get["tokens"] or 0, seen.get["types"] or 0
-    known = [r[0] for r in often.filter(F.col("n") >= F.lit(frequent * tokens)).orderBy(F.col("n").desc(), "word").collect()]  # at most 1 / frequent
-    shared = spark.sparkContext.broadcast(Vocabulary.of(known))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for part in pieces(batches, 0):
-            more, m = np.unique(bigrams(*shared.value.numbered(*flat(part.column(0)))), return_counts=True)
-            codes, back = np.unique(np.concatenate([codes, more]), return_inverse=True)
-            n = np.bincount(back, np.concatenate([n, m]), len(codes)).astype(np.int64)
-            if len(codes) > 1_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["code", "n"])
-                codes, n = codes[:0], n[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["code", "n"])
-
-    table = durable(trusted.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
-    size = len(known) + FIRST
-    word, before = F.col("code").bitwiseAND((1 << SHIFT) - 1), F.shiftright("code", SHIFT)
-    of_counts = dict(tuple(r) for r in table.groupBy("n").agg(F.count(F.lit(1))).filter("n <= 4").collect())
-    discount = discounts(np.array([of_counts.get(i, 0) for i in (1, 2, 3, 4)]))
-    context, lower, follows = np.zeros(size), np.ones(size), np.zeros(size)
-    kinds = [F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1)), F.count(F.when(F.col("n") >= 3, 1))]
-    for h, total, *ns in table.groupBy(before.alias("h")).agg(F.sum("n"), *kinds).collect():  # a row a word of the vocabulary
-        context[h] = total
-        lower[h] = float(np.dot(discount[1:], ns)) / total
-    for w, n in table.groupBy(word.alias("w")).agg(F.count(F.lit(1))).collect():  # the same
-        follows[w] = n
-    under = discounts(np.bincount(np.minimum(follows, 5).astype(int), minlength=6)[1:5])
-    cut = under[np.minimum(follows, 3).astype(int)]
-    everything = max(follows.sum(), 1.0)
-    continuation = np.maximum(follows - cut, 0) / everything + (cut.sum() / everything if follows.any() else 1.0) / size
-    return Model(Vocabulary.of(known), discount, context, lower, continuation, float(np.log(max(types - len(known), 1)))), table
-
-
-def score(docs: DataFrame, model: Model, table: DataFrame, chunk: int = 8 << 20) -> DataFrame:
-    """``id``, ``lang``, ``words`` and ``log_probability`` of every row of ``docs`` (``id``, ``text``, ``lang``)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = TaskContext.get().partitionId() << 32
-        held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
-
-        def closed() -> pa.RecordBatch:
-            # ids and languages as one Arrow stream
-            names, press = pa.BufferOutputStream(), zstandard.ZstdCompressor(3)
-            with pa.ipc.new_stream(names, held[0][0].schema) as out:
-                for batch, _, _ in held:
-                    out.write_batch(batch)
-            numbers, count = (np.concatenate([h[k] for h in held]) for k in (1, 2))
-            packed = [press.compress(x) for x in (names.getvalue().to_pybytes(), count.astype("<i4").tobytes(), numbers.astype("<u4").tobytes())]
-            return pa.RecordBatch.from_arrays([pa.array([place]), *[pa.array([x], pa.binary()) for x in packed]], ["chunk", "rows", "count", "numbers"])
-
-        size = 0
-        for part in pieces(batches, 1):
-            offsets, data = flat(part.column(1))
-            held.append((part.select([0, 2]), *shared.value.vocabulary.numbered(offsets, data)))
-            size += len(data)
-            if size >= chunk:
-                yield closed()
-                held, size, place = [], 0, place + 1
-        if held:
-            yield closed()
-
-    # written once: the two uses below must see the same chunks
-    chunks = durable(docs.select("id", "text", "lang").mapInArrow(number, "chunk long, rows binary, count binary, numbers binary"))
-
-    def opened(packed: list[bytes]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-        names, count, numbers = map(zstandard.ZstdDecompressor().decompress, packed)
-        return pa.ipc.open_stream(names).read_all(), np.frombuffer(count, "<i4"), np.frombuffer(numbers, "<u4")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                _, count, numbers = opened([batch.column(c)[i].as_py() for c in (1, 2, 3)])
-                codes = np.unique(bigrams(numbers.astype(np.int64), count))
-                for a in range(0, len(codes), 100_000):
-                    part = codes[a : a + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), batch.column(0)[i].as_py())), pa.array(part)], ["chunk", "code"])
-
-    answers = chunks.mapInArrow(ask, "chunk long, code long").join(table, "code")
-    blank = F.lit(None).cast("binary")
-    both = chunks.withColumns({"code": F.lit(-1).cast("long"), "n": F.lit(None).cast("long")}).unionByName(
-        answers.select("chunk", blank.alias("rows"), blank.alias("count"), blank.alias("numbers"), "code", "n"))
-    ordered = both.repartition("chunk").sortWithinPartitions("chunk", "code")
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 1):
-            rows, count, numbers = opened([group[c][0] for c in (1, 2, 3)])
-            seen, n = group[4][1:], group[5][1:]
-            logs = shared.value.log_probability(bigrams(numbers.astype(np.int64), count), seen, n)
-            sums = np.bincount(np.repeat(np.arange(len(count)), count), logs, len(count)).astype(float)
-            known = [rows.column(c).combine_chunks() for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*known, pa.array(count, pa.int64()), pa.array(sums, pa.float64())], ["id", "lang", "words", "log_probability"])
-
-    return ordered.mapInArrow(add_up, "id long, lang string, words long, log_probability double")
+from .pairing import if_small
 
 
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality",

@@ -207,65 +207,6 @@ def test_windows_count_each_row_once_in_an_array():
             assert np.allclose(scores, v[rows] @ v[q]) and (np.diff(scores) <= 0).all()
 
 
-def brute_kneser_ney(train, frequent):
-    """Returns the log probability of a list of words, by the textbook formula."""
-    words = collections.Counter(w for t in train for w in t.split())
-    total = sum(words.values())
-    known = {w for w, n in words.items() if n >= max(3, frequent * total)}
-    unknown = max(len(words) - len(known), 1)
-
-    def seq(t):
-        return ["<s>"] + [w if w in known else "<u>" for w in t.split()]
-
-    pairs = collections.Counter(p for t in train for p in zip(seq(t), seq(t)[1:]))
-
-    def cut(n):
-        n1, n2, n3, n4 = (max(n[i], 1) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
-        return [0.0] + [min(max(x, 0.05), k) for x, k in zip(raw, (1, 2, 3))]
-
-    d = cut(collections.Counter(pairs.values()))
-    follows = collections.Counter(w for _, w in pairs)
-    d1, size = cut(collections.Counter(follows.values())), len(known) + 2
-
-    def lower(w):
-        n = follows[w]
-        return max(n - d1[min(n, 3)], 0) / len(pairs) + sum(d1[min(x, 3)] for x in follows.values()) / len(pairs) / size
-
-    def p(h, w):
-        own = {y: n for (x, y), n in pairs.items() if x == h}
-        c = sum(own.values())
-        weight = sum(d[min(n, 3)] for n in own.values()) / c if c else 1.0
-        n = own.get(w, 0)
-        return (max(n - d[min(n, 3)], 0) / c if c else 0) + weight * lower(w)
-
-    return lambda t: sum(math.log(p(h, w)) - (math.log(unknown) if w == "<u>" else 0) for h, w in zip(seq(t), seq(t)[1:]))
-
-
-def test_kneser_ney_matches_the_formula(spark):
-    rng = random.Random(3)
-    pool = [f"w{i}" for i in range(40)]
-    train = [" ".join(rng.choice(pool) if rng.random() < 0.9 else f"x{rng.random()}" for _ in range(rng.randint(1, 30))) for _ in range(80)]
-    tests = train[:5] + ["", "w1 w2 new\tw3", None, "w1", "zz zz"]
-    model, table = perplexity.train(spark.createDataFrame([(t,) for t in train], "text string"), 0.001)
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(tests)], "id long, text string, lang string")
-    brute = brute_kneser_ney(train, 0.001)
-    got = {r.id: r for r in perplexity.score(docs, model, table, chunk=64).collect()}
-    for i, t in enumerate(tests):
-        assert got[i].words == len((t or "").split())
-        assert math.isclose(got[i].log_probability, brute(t or ""), rel_tol=1e-9, abs_tol=1e-9)
-
-
-def test_probabilities_add_up(spark):
-    model, table = perplexity.train(spark.createDataFrame([("a b a b c a",), ("b b a a",), ("c a b a",)], "text string"), 0.01)
-    counts = sorted((r.code, r.n) for r in table.collect())
-    seen, n = (np.array(x) for x in zip(*counts))
-    for h in range(len(model.context)):
-        codes = np.array([h << perplexity.SHIFT | w for w in range(len(model.context))])
-        assert math.isclose(np.exp(model.log_probability(codes, seen, n)).sum(), 1.0, rel_tol=1e-9)
-
-
 def test_classifier_keeps_clean_and_drops_junk(spark):
     rng = random.Random(4)
     pool = {"en": [f"e{i}" for i in range(60)], "de": [f"d{i}" for i in range(60)]}
