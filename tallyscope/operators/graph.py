@@ -321,9 +321,9 @@ def cycles(edges: DataFrame, shortest: int = 3, longest: int = 8) -> DataFrame:
     ahead = [core.filter("dst > src").select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"), amount.alias("_sum"), amount.alias("_min"))]
     behind = [core.filter("src > dst").select(F.col("dst").alias("first"), F.col("src").alias("last"), F.array("src").alias("path"), amount.alias("_sum"), amount.alias("_min"))]
     while len(ahead) < (longest + 1) // 2:
-        ahead.append(_further(ahead[-1], onward, False))
+        ahead.append(durable(_further(ahead[-1], onward, False)))  # each half meets two others
     while len(behind) < longest // 2:
-        behind.append(_further(behind[-1], backward, True))
+        behind.append(durable(_further(behind[-1], backward, True)))
     found = None
     for size in range(max(2, shortest), longest + 1):
         back = behind[size // 2 - 1].select("first", "last", F.slice("path", 2, size).alias("_rest"), F.col("_sum").alias("_s"), F.col("_min").alias("_m"))
@@ -341,12 +341,11 @@ def distinct_cycles(found: DataFrame) -> DataFrame:
 
 def official_cycles(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """Cycles through an official or a panchayat, with a confidence."""
-    keyed = found.withColumn("_id", F.array_join(F.transform("path", lambda v: v.cast("string")), ">"))
-    types = keyed.select("_id", F.explode("path").alias("id")).join(nodes.select("id", "node_type"), "id").groupBy("_id").agg(
+    typed = found.select("*", F.explode("path").alias("id")).join(nodes.select("id", "node_type"), "id").groupBy(*found.columns).agg(
         F.count_if(F.col("node_type") == "official").alias("officials"), F.count_if(F.col("node_type") == "panchayat").alias("panchayats")
     )
     conf = F.when(F.col("officials") > 0, 0.7).otherwise(0.5) + F.when(F.col("length") <= 4, 0.1).otherwise(0.0)
-    return keyed.join(types, "_id").filter((F.col("officials") > 0) | (F.col("panchayats") > 0)).withColumn("confidence", conf).drop("_id")
+    return typed.filter((F.col("officials") > 0) | (F.col("panchayats") > 0)).withColumn("confidence", conf)
 
 
 # -- centrality --------------------------------------------------------------------------
