@@ -89,12 +89,17 @@ def inr(value: Column) -> Column:
     return F.concat(F.lit("Rs "), indian_grouping(value))
 
 
+def _hundredths(value: Column) -> Column:
+    """Two decimals, rounded half up on the double ``100 * value`` itself, as SQL engines round doubles."""
+    return F.round(value * 100) / 100
+
+
 def to_lakhs(value: Column) -> Column:
-    return F.round(value / LAKH, 2)
+    return _hundredths(value / LAKH)
 
 
 def to_crores(value: Column) -> Column:
-    return F.round(value / CRORE, 2)
+    return _hundredths(value / CRORE)
 
 
 def _plain(value: Column) -> Column:
