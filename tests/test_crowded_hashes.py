@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tallyscope.operators import similarity
+from tallyscope.operators import photos, similarity
 
 
 def test_tiles_of_a_crowded_key(spark):
@@ -23,3 +23,12 @@ def test_a_key_costs_thousands_of_comparisons(spark):
     """Keys are shuffled, comparisons are not: 150,000 hashes take 11 keys each, not 286."""
     n = spark.createDataFrame([(150_000,)], "n long")
     assert n.select(similarity.slices_for(F.col("n"), 10, similarity._KEY_COST)).first()[0] == 1
+
+
+def test_near_duplicates_of_a_crowded_work(spark):
+    """Copies fold, pairs keep their work, and work without an id pairs nothing."""
+    rows = [(w, i + 100 * n, (1 << (i % 12)) - 1) for n, w in enumerate(("a", "b", None)) for i in range(24)]
+    got = photos.near_duplicates(spark.createDataFrame(rows, "work_id string, photo_id long, phash long")).collect()
+    want = {(w, i + 100 * n, j + 100 * n, j - i) for n, w in enumerate("ab") for i in range(12) for j in range(i, 12) if j - i <= 10}
+    assert {(r["work_id"], r["a"], r["b"], r["distance"]) for r in got if r["work_id"]} == want
+    assert all(r["a"] == r["b"] for r in got if r["work_id"] is None)
