@@ -62,6 +62,16 @@ def test_cycles_of_nothing(spark):
     assert graph.cycles(table(spark, [(1, 1, 1), (1, 2, 1), (2, 3, 1)])).count() == 0
 
 
+def test_cycles_of_a_long_row_need_few_tables(spark, monkeypatch):
+    # 150 rings in a row: what reaches along it must not cost a table for each step
+    row = [(3 * i + a, 3 * i + b, 1) for i in range(150) for a, b in ((0, 1), (1, 2), (2, 0), (2, 3), (3, 2))]
+    written, durable = [], graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df: written.append(1) or durable(df))
+    found = graph.cycles(table(spark, row), 3, 4).collect()
+    assert sorted(tuple(r["path"]) for r in found) == [(3 * i, 3 * i + 1, 3 * i + 2) for i in range(150)]
+    assert len(written) < 30
+
+
 def brute_betweenness(edges):
     near = {}
     for a, b, _ in edges:
