@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from ..functions.geo import haversine_m
 from ..operators.sequences import mode_per_group, primary_per_group
 from ..ordered import scan
+from ..session import durable
 
 # Action codes for kinds of anomaly found in a case.
 ACTIONS = {
@@ -232,9 +233,13 @@ def shared_accounts(df: DataFrame, account: str, holder: str) -> DataFrame:
 
 
 def against_peers(df: DataFrame, kind: str, spent: str, progress: str) -> DataFrame:
-    """Spending per unit of progress relative to the mean of works of the kind."""
+    """Spending per unit of progress relative to the mean of works of the kind.
+
+    The means are written once: their size is known then, and where kinds are few they go
+    to the works, which are not brought together by kind.
+    """
     rated = df.filter(F.col(progress) > 0).withColumn("ratio", F.col(spent) / F.col(progress))
-    mean = rated.groupBy(kind).agg(F.avg("ratio").alias("peer_ratio"))
+    mean = durable(rated.groupBy(kind).agg(F.avg("ratio").alias("peer_ratio")))
     return rated.join(mean, kind).withColumn("relative", F.col("ratio") / F.col("peer_ratio"))
 
 
