@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+import re
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import lru_cache
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +70,24 @@ def open_records(pages: DataFrame, records: str, aliases: Mapping[str, Sequence[
 
 # -- HTML ---------------------------------------------------------------------------
 
+# Tags with nothing but quoted attributes and no references, as report pages have them, are
+# cut at their brackets; a page with anything else goes to the general parser.
+_NAME = "(?i:a|b|body|br|center|div|em|font|form|h[1-6]|head|hr|html|i|img|input|label|li|ol|option|p|select|small|span|strong|table|tbody|td|tfoot|th|thead|tr|u|ul)"
+_ATTRIBUTE = "[ \\t\\n]+([a-zA-Z][a-zA-Z0-9_-]*)=(?:'([^']*)'|\"([^\"]*)\")"
+_ATTRIBUTES = re.compile(_ATTRIBUTE)
+_PLAIN = re.compile(f"/({_NAME})[ \\t\\n]*|({_NAME})((?:{re.sub('[(](?![?])', '(?:', _ATTRIBUTE)})*+)[ \\t\\n]*")
+
+
+@lru_cache(1024)
+def _plain_tag(body: str) -> tuple[str, str, list[tuple[str, str]]] | None:
+    """Name of an end tag, name and attributes of a start tag, from what stands in the brackets; nothing if it is not plain."""
+    found = _PLAIN.fullmatch(body)
+    if not found:
+        return None
+    attrs = [(k.lower(), a or b) for k, a, b in _ATTRIBUTES.findall(found[3])] if found[3] else []
+    return (found[1] or "").lower(), (found[2] or "").lower(), attrs
+
+
 class _Tables(HTMLParser):
     """Collects the tables of a page with their rows and links; nested rows count for both."""
 
@@ -78,9 +98,32 @@ class _Tables(HTMLParser):
         self.cells: list[list[str]] = []
         self.link: dict | None = None
 
+    def read(self, html: str) -> None:
+        if "&" in html or "\r" in html or "\0" in html:
+            return self.feed(html)
+        before, *pieces = html.split("<")
+        steps = []
+        for piece in pieces:
+            body, bracket, text = piece.partition(">")
+            tag = _plain_tag(body) if bracket else None
+            if tag is None:
+                return self.feed(html)
+            steps.append((*tag, text))
+        self.handle_data(before)
+        for ended, begun, attrs, text in steps:
+            if ended:
+                self.handle_endtag(ended)
+            else:
+                self.handle_starttag(begun, attrs)
+            if text and (self.cells or self.link is not None):
+                self.handle_data(text)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        at = dict(attrs)
-        if tag == "table":
+        if tag in ("td", "th"):
+            if self.open and hasattr(self, "row"):
+                self.cells.append([])
+        elif tag == "table":
+            at = dict(attrs)
             table = {"id": at.get("id"), "class": (at.get("class") or "").split(), "rows": [], "links": []}
             self.tables.append(table)
             self.open.append(table)
@@ -89,10 +132,8 @@ class _Tables(HTMLParser):
             for t in self.open:
                 t["rows"].append(row)
             self.row = row
-        elif tag in ("td", "th") and self.open and hasattr(self, "row"):
-            self.cells.append([])
-        elif tag == "a" and self.open and at.get("href") is not None:
-            self.link = {"text": [], "href": at["href"]}
+        elif tag == "a" and self.open and (href := dict(attrs).get("href")) is not None:
+            self.link = {"text": [], "href": href}
             for t in self.open:
                 t["links"].append(self.link)
 
@@ -113,7 +154,7 @@ class _Tables(HTMLParser):
 
 def _chosen(html: str, table_id: str | None, table_class: str | None) -> dict | None:
     parser = _Tables()
-    parser.feed(html or "")
+    parser.read(html or "")
     for t in parser.tables:
         if table_id and t["id"] == table_id:
             return t
@@ -123,35 +164,37 @@ def _chosen(html: str, table_id: str | None, table_class: str | None) -> dict |
     return max(parser.tables, key=lambda t: len(t["rows"]), default=None)
 
 
+def _of_pages(pages: DataFrame, key: str, html: str, columns: str, read: Callable[[str | None], list[tuple]]) -> DataFrame:
+    """``key`` and the ``columns`` of the rows that ``read`` finds in every page."""
+    schema = T.StructType([pages.select(key).schema[0], *T.StructType.fromDDL(columns)])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [read(text) for text in batch.column(1).to_pylist()]
+            at = [i for i, rows in enumerate(found) for _ in rows]
+            parts = list(zip(*[row for rows in found for row in rows])) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(list(p), k) for p, k in zip(parts, types)]], schema.names)
+
+    types = [{"int": pa.int32(), "string": pa.string()}.get(f.dataType.simpleString(), pa.list_(pa.string())) for f in schema[1:]]
+    return pages.select(key, html).mapInArrow(parse, schema)
+
+
 def html_rows(pages: DataFrame, key: str, html: str, table_id: str | None = None, table_class: str | None = None, skip: int = 1) -> DataFrame:
     """Non-empty rows of the chosen table of every page: ``key, row_no, cells``."""
-    kind = pages.schema[key].dataType.simpleString()
+    def rows(text: str | None) -> list[tuple]:
+        table = _chosen(text, table_id, table_class)
+        return list(enumerate(r for r in (table["rows"][skip:] if table else []) if any(r)))
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k, text in zip(pdf[key], pdf[html]):
-                table = _chosen(text, table_id, table_class)
-                kept = [r for r in (table["rows"][skip:] if table else []) if any(r)]
-                out += [(k, i, r) for i, r in enumerate(kept)]
-            yield pd.DataFrame(out, columns=[key, "row_no", "cells"])
-
-    return pages.select(key, html).mapInPandas(parse, f"{key} {kind}, row_no int, cells array<string>")
+    return _of_pages(pages, key, html, "row_no int, cells array<string>", rows)
 
 
 def html_links(pages: DataFrame, key: str, html: str, table_id: str | None = None, table_class: str | None = None) -> DataFrame:
     """Links inside the chosen table of every page: ``key, text, href``."""
-    kind = pages.schema[key].dataType.simpleString()
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k, text in zip(pdf[key], pdf[html]):
-                table = _chosen(text, table_id, table_class)
-                out += [(k, "".join(p.strip() for p in a["text"]), a["href"]) for a in (table["links"] if table else [])]
-            yield pd.DataFrame(out, columns=[key, "text", "href"])
+    def links(text: str | None) -> list[tuple]:
+        table = _chosen(text, table_id, table_class)
+        return [("".join(p.strip() for p in a["text"]), a["href"]) for a in (table["links"] if table else [])]
 
-    return pages.select(key, html).mapInPandas(parse, f"{key} {kind}, text string, href string")
+    return _of_pages(pages, key, html, "text string, href string", links)
 
 
 # Status words of report pages and the status they stand for.
