@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_M, METRES_PER_DEGREE, haversine_m
+from ..session import durable
 
 # Which analysis follows which kind of anomaly.
 ROUTES = {
@@ -155,7 +156,9 @@ def best_scenes(
     ``scenes`` has ``tile, scene_id, scene_day, cloud``. Since only the clearest
     scene counts, scenes are first reduced to one per tile and day; the range join
     on (tile, month) then meets at most 31 rows per key, however many scenes a
-    tile has.
+    tile has. Works of a tile and day ask for the same windows, so it is windows that
+    meet scenes, each once, and works look up the answer: windows are bounded by tiles
+    and days.
     """
     daily = (
         scenes.filter(F.col("cloud") <= max_cloud).groupBy(tile, "scene_day")
@@ -166,13 +169,21 @@ def best_scenes(
         F.struct(F.lit("before").alias("phase"), F.date_sub(F.col(start), before[0]).alias("lo"), F.date_sub(F.col(start), before[1]).alias("hi")),
         F.struct(F.lit("after").alias("phase"), F.date_add(F.col(end), after[0]).alias("lo"), F.date_add(F.col(end), after[1]).alias("hi")),
     )
-    asked = works.select(work_id, tile, F.inline(windows)).withColumn(
+    asked = works.select(work_id, tile, F.inline(windows))
+    window = ["phase", tile, "lo", "hi"]
+    met = asked.select(*window).distinct().withColumn(
         "_month", F.explode(F.sequence(F.trunc("lo", "month"), F.trunc("hi", "month"), F.expr("interval 1 month")))
     )
     best = F.min(F.struct("_best.cloud", "scene_day", "_best.scene_id"))
+    # written, so that their size is known before works are shuffled
+    found = durable(
+        met.join(daily, [tile, "_month"]).filter(F.col("scene_day").between(F.col("lo"), F.col("hi")))
+        .groupBy(*window).agg(best.alias("_b"))
+    )
+    # a work id may repeat, with windows of its own each time
     return (
-        asked.join(daily, [tile, "_month"]).filter(F.col("scene_day").between(F.col("lo"), F.col("hi")))
-        .groupBy(work_id, "phase").agg(best.alias("_b")).select(work_id, "phase", "_b.scene_id", "_b.scene_day", "_b.cloud")
+        asked.join(found, window).groupBy(work_id, "phase").agg(F.min("_b").alias("_b"))
+        .select(work_id, "phase", "_b.scene_id", "_b.scene_day", "_b.cloud")
     )
 
 
