@@ -9,6 +9,7 @@ from ..operators import payments as P
 from ..operators import photos, raster, rollup, stats
 from ..operators.sequences import latest_per_key, period_change
 from ..plans import findings, reports, risk
+from ..session import spread
 from . import joins, pictures, rasters, relational, roles
 from .audits import _WORK_COST, work_costs
 from .base import REGISTRY, Tables, query, rnd
@@ -328,7 +329,8 @@ def c8(t: Tables) -> DataFrame:
 @query("c8_top_panchayats", f"WITH {_SCORED}, lk AS (SELECT o_custkey AS panchayat, sum(l_extendedprice*l_discount) AS leakage FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) "
        "SELECT panchayat, round(leakage, 2) AS leakage, round(c*100, 4) AS risk_score FROM lk JOIN sc USING (panchayat) ORDER BY leakage DESC, panchayat LIMIT 10")
 def c8_top(t: Tables) -> DataFrame:
-    lost = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_extendedprice") * F.col("l_discount")).alias("lost")).join(t.orders, "o_orderkey")
+    lost = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_extendedprice") * F.col("l_discount")).alias("lost"))
+    lost = spread(lost, "o_orderkey").join(t.orders.select("o_orderkey", "o_custkey"), "o_orderkey")
     lost = lost.groupBy(F.col("o_custkey").alias("panchayat")).agg(F.sum("lost").alias("leakage"))
     top = lost.join(scored(t).select("panchayat", "composite_score"), "panchayat").orderBy(F.col("leakage").desc(), "panchayat").limit(10)
     return top.select("panchayat", rnd("leakage", 2).alias("leakage"), rnd(F.col("composite_score") * 100, 4).alias("risk_score"))
