@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import financial_year
+from ..session import spread
 from .base import Tables
 
 # -- works: orders under customer (panchayat) < nation (district) < region (state)
@@ -89,16 +90,16 @@ ANOMALIES = (
 
 
 def payments(t: Tables) -> DataFrame:
-    return (
-        t.lineitem.join(t.orders.select("o_orderkey", "o_custkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-        .select(
-            F.col("l_orderkey").alias("work_id"), F.col("l_partkey").alias("worker_id"), F.col("l_suppkey").alias("account"),
-            F.col("l_linenumber").alias("line"), F.col("l_extendedprice").alias("amount"), F.col("l_quantity").alias("quantity"),
-            F.to_date("l_shipdate").alias("paid_on"), F.col("o_orderpriority").alias("officer"),
-            F.col("o_custkey").alias("panchayat"), F.col("c_nationkey").alias("district"), F.col("l_returnflag").alias("material_type"),
-            F.col("l_linestatus").alias("line_status"),
-        )
+    # orders find their customer first, so that line items travel once, by their order
+    works = t.orders.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey", "o_custkey", "o_orderpriority", "c_nationkey")
+    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_shipdate", "l_returnflag", "l_linestatus")
+    return spread(lines, "l_orderkey").join(works, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("l_orderkey").alias("work_id"), F.col("l_partkey").alias("worker_id"), F.col("l_suppkey").alias("account"),
+        F.col("l_linenumber").alias("line"), F.col("l_extendedprice").alias("amount"), F.col("l_quantity").alias("quantity"),
+        F.to_date("l_shipdate").alias("paid_on"), F.col("o_orderpriority").alias("officer"),
+        F.col("o_custkey").alias("panchayat"), F.col("c_nationkey").alias("district"), F.col("l_returnflag").alias("material_type"),
+        F.col("l_linestatus").alias("line_status"),
     )
 
 
