@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.sinks import KeyedTable
@@ -84,6 +85,35 @@ def split_candidates(stream: DataFrame, account: str, ts: str, amount: str, thre
     )
 
 
+def small_payments(stream: DataFrame, account: str, ts: str, amount: str, threshold: float = 50_000, late: str = "1 day") -> DataFrame:
+    """The small payments of an account and day, from which ``split_windows`` tells what ``split_candidates`` would.
+
+    A payment is one state, not one for each of the windows that it lies in.
+    """
+    return (
+        stream.filter(F.col(amount) < threshold).withWatermark(ts, late).groupBy(account, F.window(ts, "1 day").alias("w"))
+        .agg(F.count(F.lit(1)).alias("payments"), F.sum(amount).alias("total"))
+        .select(account, F.to_date("w.start").alias("day"), "payments", "total")
+    )
+
+
+def split_windows(parts: DataFrame, account: str, threshold: float = 50_000, days: int = 7) -> DataFrame:
+    """The windows of ``split_candidates`` from the rows of ``small_payments``.
+
+    A day goes to its windows only where all that its windows reach would do for one.
+    """
+    def enough(payments: Column, total: Column) -> Column:
+        return (payments >= 3) & (total > 2 * threshold)
+
+    span = days + 2
+    daily = parts.groupBy(account, "day").agg(F.sum("payments").alias("payments"), F.sum("total").alias("total"))
+    # one row a day
+    reach = W.partitionBy(account).orderBy(F.unix_date("day")).rangeBetween(1 - span, span - 1)
+    near = daily.withColumns({"_n": F.sum("payments").over(reach), "_t": F.sum("total").over(reach)}).filter(enough(F.col("_n"), F.col("_t")))
+    starts = near.withColumn("window_start", F.explode(F.sequence(F.date_sub("day", span - 1), F.col("day"))))
+    return starts.groupBy(account, "window_start").agg(F.sum("payments").alias("payments"), F.sum("total").alias("total")).filter(enough(F.col("payments"), F.col("total")))
+
+
 def daily_counts(stream: DataFrame, ts: str, kind: str, late: str = "1 hour") -> DataFrame:
     """Rows per kind and day in append mode."""
     return (
