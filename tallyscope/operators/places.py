@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.geo import common_length, covered, crossing_heights, ring_edges, scanline, spans
+from ..session import durable
 
 
 #: Where in its cell the reference point lies: nowhere that rounded coordinates would put a vertex.
@@ -50,6 +51,10 @@ def cover(shapes: DataFrame, shape: str, rings: str, cell: float) -> DataFrame:
     return both.groupBy(shape, "_cx", "_cy").agg(F.collect_list("_edge").alias("_edges"), F.max("_in").alias("_inside"))
 
 
+#: Edges of a cell that are compared as plain columns; cells of more keep a list.
+_FLAT = 4
+
+
 def _passed(edges: Column, x: Column, y: Column, to_x: Column, to_y: Column) -> Column:
     """How many edges the way from (x, y) along the height y to ``to_x`` and on to ``to_y`` crosses."""
     def step(n: Column, e: Column) -> Column:
@@ -63,20 +68,51 @@ def _passed(edges: Column, x: Column, y: Column, to_x: Column, to_y: Column) ->
     return F.aggregate(edges, F.lit(0), step)
 
 
+def _flat(cells: DataFrame, to_x: Column, to_y: Column) -> tuple[DataFrame, Column]:
+    """(cells of few edges with all as columns, whether the point ``lon, lat`` is inside), by the sums of ``_passed``.
+
+    What does not hang on the point is worked out once a cell. No column is null, and
+    an edge that is not there crosses nothing.
+    """
+    columns, inside = {"_tx": to_x, "_in": F.coalesce("_inside", F.lit(False))}, F.col("_in")
+    for i in range(_FLAT):
+        e = F.get("_edges", F.lit(i))
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        up = e["y1"] + dy * (to_x - e["x1"]) / F.when(dx == 0, F.lit(1.0)).otherwise(dx)
+        nan = F.lit(float("nan"))  # lies above all heights
+        up = F.coalesce(F.when((e["x1"] > to_x) != (e["x2"] > to_x), up), nan)
+        values = {"x": e["x1"], "y": e["y1"], "z": e["y2"], "dx": dx, "dy": F.when(dy == 0, F.lit(1.0)).otherwise(dy)}
+        columns |= {f"_{k}{i}": F.coalesce(v, F.lit(1.0 if k == "dy" else 0.0)) for k, v in values.items()}
+        columns |= {f"_up{i}": up, f"_below{i}": to_y < up}
+        x, y, z, dx, dy = (F.col(f"_{k}{i}") for k in values)
+        across = x + dx * (F.col("lat") - y) / dy
+        first = ((y > F.col("lat")) != (z > F.col("lat"))) & ((F.col("lon") < across) != (F.col("_tx") < across))
+        inside = (inside != first) != ((F.col("lat") < F.col(f"_up{i}")) != F.col(f"_below{i}"))
+    kept = [c for c in cells.columns if c not in ("_edges", "_inside")]
+    return cells.filter(F.size("_edges") <= _FLAT).select(*kept, *[v.alias(k) for k, v in columns.items()]), inside
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, rings: str = "rings", cell: float = 0.1) -> DataFrame:
     """Points (``lon, lat``) joined to the polygons that contain them, holes left out.
 
     A point meets a polygon on its one cell (``cover``). In a cell without edges it is
     inside; in others it is where the reference point is, unless the way there crosses
     an odd number of the cell's edges. Equal polygons are covered once. Points and
-    polygons without coordinates meet nothing.
+    polygons without coordinates meet nothing. The edges of a cell of few are columns,
+    since pairs by far outnumber cells and a list is walked pair by pair.
     """
     known = polygons.withColumn("_shape", F.md5(F.to_json(rings)))
     cells = cover(known.groupBy("_shape").agg(F.first(rings).alias(rings)), "_shape", rings, cell).join(known.drop(rings), "_shape")
     placed = points.withColumn("_cx", F.floor(F.col("lon") / cell).cast("int")).withColumn("_cy", F.floor(F.col("lat") / cell).cast("int"))
-    crossed = _passed(F.col("_edges"), F.col("lon"), F.col("lat"), (F.col("_cx") + _REF_X) * cell, (F.col("_cy") + _REF_Y) * cell)
-    inside = F.when(F.size("_edges") == 0, F.col("_inside")).otherwise((crossed + F.col("_inside").cast("int")) % 2 == 1)
-    return placed.join(cells, ["_cx", "_cy"]).filter(inside).drop("_shape", "_cx", "_cy", "_edges", "_inside")
+    # pairs are many where points and cells are few
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed, cells = placed.repartition(tasks), durable(cells.repartition(tasks))
+    to_x, to_y = (F.col("_cx") + _REF_X) * cell, (F.col("_cy") + _REF_Y) * cell
+    crossed = _passed(F.col("_edges"), F.col("lon"), F.col("lat"), to_x, to_y)
+    many = (cells.filter(F.size("_edges") > _FLAT), (crossed + F.col("_inside").cast("int")) % 2 == 1)
+    kept = [*points.columns, *[c for c in known.columns if c not in (rings, "_shape")]]
+    parts = [placed.join(side, ["_cx", "_cy"]).filter(inside).select(*kept) for side, inside in (_flat(cells, to_x, to_y), many)]
+    return parts[0].unionByName(parts[1])
 
 
 def polygon_overlap(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:

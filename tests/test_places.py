@@ -69,3 +69,15 @@ def test_cells_hold_only_their_own_edges(spark):
     assert max(len(r["_edges"]) for r in cells) < 20
     assert sum(len(r["_edges"]) for r in cells) < 3 * 2000
     assert all(r["_inside"] for r in cells if not r["_edges"])
+
+
+def test_edges_as_columns_tell_what_lists_tell(spark, monkeypatch):
+    rng = random.Random(8)
+    shapes = [[star(rng, rng.uniform(-2, 2), rng.uniform(-2, 2), n)] for n in (3, 4, 7)] + [SQUARE]
+    points = spark.createDataFrame([(i, rng.uniform(-4, 4), rng.uniform(-4, 4)) for i in range(2000)], "i int, lon double, lat double")
+    polygons = spark.createDataFrame(list(enumerate(shapes)), "k int, rings array<array<array<double>>>")
+    found = []
+    for flat in (-1, 1, 4):
+        monkeypatch.setattr(places, "_FLAT", flat)
+        found.append({(r["i"], r["k"]) for r in places.points_in_polygons(points, polygons, cell=0.5).collect()})
+    assert found[0] and found[0] == found[1] == found[2]
